@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later failures do not recompute what stands before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tabulon_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tabulon-code-")) / "tabulon_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tabulon_shipped = True
