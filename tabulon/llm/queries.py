@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
+from tabulon.llm.packing import op8_packing
+from tabulon.llm.sharding import op10_shards
+from tabulon.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op6_simhash": op6_simhash,
+        "op8_packing": op8_packing,
+        "op10_shards": op10_shards,
     }
 
 
