@@ -10,6 +10,7 @@ from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
 from tabulon.llm.packing import op8_packing
 from tabulon.llm.sharding import op10_shards
 from tabulon.llm.simhash import op6_simhash
+from tabulon.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op6_simhash": op6_simhash,
         "op8_packing": op8_packing,
+        "op9_toxicity": op9_toxicity,
         "op10_shards": op10_shards,
     }
 
