@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.ensemble import op2_quality
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
 from tabulon.llm.packing import op8_packing
+from tabulon.llm.rules import op7_quality_rules
 from tabulon.llm.sharding import op10_shards
 from tabulon.llm.simhash import op6_simhash
 from tabulon.llm.toxicity import op9_toxicity
@@ -16,7 +18,9 @@ from tabulon.llm.toxicity import op9_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality": op2_quality,
         "op6_simhash": op6_simhash,
+        "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_shards": op10_shards,
