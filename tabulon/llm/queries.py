@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm.ensemble import op2_quality
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
 from tabulon.llm.packing import op8_packing
+from tabulon.llm.pieces import op5_pieces
 from tabulon.llm.rules import op7_quality_rules
 from tabulon.llm.sharding import op10_shards
 from tabulon.llm.simhash import op6_simhash
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
+        "op5_pieces": op5_pieces,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
