@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.chat import OP4_SQL, op4_chat
 from tabulon.llm.ensemble import op2_quality
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
 from tabulon.llm.packing import op8_packing
@@ -13,6 +14,7 @@ from tabulon.llm.pieces import op5_pieces
 from tabulon.llm.rules import op7_quality_rules
 from tabulon.llm.sharding import op10_shards
 from tabulon.llm.simhash import op6_simhash
+from tabulon.llm.substring import op3_substring
 from tabulon.llm.toxicity import op9_toxicity
 
 
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
+        "op3_substring": op3_substring,
+        "op4_chat": op4_chat,
         "op5_pieces": op5_pieces,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
@@ -32,4 +36,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op4_chat": OP4_SQL,
     }
