@@ -73,14 +73,20 @@ def with_statistics(docs: DataFrame, shares: bool = True) -> DataFrame:
     return out.select(*own, *COUNTS, "n_lines", *SHARES)
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, features: tuple[str, ...], max_labelled: int) -> tuple[list[list[float]], list[int]]:
-    """Features and labels of at most about ``max_labelled`` labelled rows, none held out, drawn by a hash of the id.
+def drawn_labels(labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
+    """``__id, __label`` of about ``max_labelled`` labelled rows at most, none held out, drawn by a hash of the id.
 
-    A document with two labels counts twice; null labels count for nothing. Only the drawn texts are analysed.
+    The count of labels gives the hash threshold, so there is no sort and no limit on unordered rows, and what comes
+    back may be broadcast whatever the corpus. A document with two labels counts twice; null labels count for nothing.
     """
     known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
     share = min(1.0, max_labelled / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, features: tuple[str, ...], max_labelled: int) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of a drawn sample of the labelled rows. Only the drawn texts are analysed, and none is shuffled."""
+    known = F.broadcast(drawn_labels(labels, label, max_labelled))
     drawn = with_statistics(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")))
     rows = sorted(drawn.select(*features, "__label").collect())
     return [[float(v) for v in r[:-1]] for r in rows], [int(r[-1]) for r in rows]
