@@ -51,7 +51,7 @@ def with_statistics(docs: DataFrame, shares: bool = True) -> DataFrame:
         }
     )
     if not shares:
-        return out.select(*own, *COUNTS)
+        return _settled(out, own, COUNTS)
     out = out.withColumn("n_lines", long(F.size("__lines")))
 
     def over(top: Column, bottom: str) -> Column:
@@ -70,7 +70,17 @@ def with_statistics(docs: DataFrame, shares: bool = True) -> DataFrame:
             "words_per_line": over(F.col("n_words"), "n_lines"),
         }
     )
-    return out.select(*own, *COUNTS, "n_lines", *SHARES)
+    return _settled(out, own, (*COUNTS, "n_lines", *SHARES))
+
+
+def _settled(out: DataFrame, own: list[str], names: tuple[str, ...]) -> DataFrame:
+    """``out`` with the named columns taken through a generator of one row each.
+
+    The optimizer moves no filter below a generator. Otherwise a filter on a statistic would take the statistic's whole
+    definition down with it, nested ones copied into each other's lambdas.
+    """
+    one = F.explode(F.array(F.struct(*names))).alias("__one")
+    return out.select(*own, one).select(*own, *(F.col("__one")[n].alias(n) for n in names))
 
 
 def drawn_labels(labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
