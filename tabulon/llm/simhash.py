@@ -17,8 +17,11 @@ from tabulon.session import cut, ship_code
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-#: Groups up to this many rows are compared pair by pair in one vectorised pass; larger ones by search from row to row.
-_PAIRWISE = 512
+#: Groups of up to this many comparisons are compared in one vectorised pass; larger ones by search from row to row.
+_PAIRWISE = 1 << 18
+
+#: Comparisons made at once.
+_BLOCK = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -81,51 +84,59 @@ def _balls(fp: np.ndarray, shift: int, width: int, radius: int) -> Iterator[tupl
             yield rows, value[rows] ^ np.uint64(sum(1 << b for b in bits))
 
 
-def _links(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between ``rep`` of rows of the same group whose fingerprints differ in at most ``distance`` bits.
+def _smallest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` with the groups of i and j merged for every pair, each group carrying its smallest row."""
+    while True:
+        new = label.copy()
+        least = np.minimum(label[i], label[j])
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
-    Of all links within a group only a spanning forest leaves: at most one edge a row.
+def _links(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ``rep`` of linked rows of the same group, at least one of the two the bucket's ``own``.
+
+    Own rows come first in a group. Probes are not compared with each other: two of them meet elsewhere. Of all links
+    within a group only a spanning forest leaves: at most one edge a row.
     """
-    out_a, out_b = [], []
-    small = sizes <= _PAIRWISE
+    before = np.r_[0, np.cumsum(own)]
+    owned = before[starts + sizes] - before[starts]
+    work = owned * sizes
+    small = (work > 0) & (work <= _PAIRWISE)
+    label = np.arange(len(fp))
     if small.any():
-        end = np.zeros(len(fp), np.int64)
-        for s, n in zip(starts[small], sizes[small], strict=True):
-            end[s : s + n] = s + n
-        label = np.arange(len(fp))
-        rows, found = np.flatnonzero(end), []
-        for d in range(1, int(sizes[small].max())):
-            rows = rows[rows + d < end[rows]]
-            hit = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]) <= distance]
-            if len(hit):
-                found.append((hit, hit + d))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            while True:  # smallest label of each group of linked rows, with pointer jumping
-                least = np.minimum(label[i], label[j])
-                new = label.copy()
-                np.minimum.at(new, i, least)
-                np.minimum.at(new, j, least)
-                new = np.minimum(new, new[new])
-                if (new == label).all():
-                    break
-                label = new
-            moved = np.flatnonzero(label != np.arange(len(fp)))
-            out_a.append(rep[moved])
-            out_b.append(rep[label[moved]])
-    for s, n in zip(starts[~small], sizes[~small], strict=True):
-        left = np.arange(s, s + n)
-        while len(left):
-            root, left, queue = left[0], left[1:], [left[0]]
-            while queue and len(left):
-                near = np.bitwise_count(fp[left] ^ fp[queue.pop()]) <= distance
-                if near.any():
-                    reached, left = left[near], left[~near]
-                    queue.extend(reached)
-                    out_a.append(rep[reached])
-                    out_b.append(np.full(len(reached), rep[root]))
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
+        first, size, mine = starts[small], sizes[small], owned[small]
+        for d in range(int(mine.max())):
+            keep = mine > d
+            first, size, mine = first[keep], size[keep], mine[keep]
+            rest = size - d - 1
+            bounds = np.flatnonzero(np.diff(np.cumsum(rest) // _BLOCK, prepend=-1))
+            for lo, hi in zip(bounds, np.r_[bounds[1:], len(rest)], strict=True):
+                n = rest[lo:hi]
+                i = np.repeat(first[lo:hi] + d, n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                hit = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+                if hit.any():
+                    label = _smallest(label, i[hit], j[hit])
+    for s, n, o in zip(starts[work > _PAIRWISE], sizes[work > _PAIRWISE], owned[work > _PAIRWISE], strict=True):
+        mine, probes = np.arange(s, s + o), np.arange(s + o, s + n)
+        while len(mine):
+            root, mine, queue = mine[0], mine[1:], [mine[0]]
+            while queue:
+                at = queue.pop()
+                near = np.bitwise_count(fp[mine] ^ fp[at]) <= distance
+                reached, mine = mine[near], mine[~near]
+                if at < s + o:
+                    near = np.bitwise_count(fp[probes] ^ fp[at]) <= distance
+                    reached, probes = np.r_[reached, probes[near]], probes[~near]
+                label[reached] = root
+                queue.extend(reached)
+    moved = np.flatnonzero(label != np.arange(len(fp)))
+    return rep[moved], rep[label[moved]]
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +153,7 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _hubs(distance: int) -> np.ndarray:
-    """Masks of at most distance / 2 bits. Two values differ in at most ``distance`` (even) bits just if they share a value
-    at most half as far from both: the midpoint of a shortest path on one hand, the triangle inequality on the other."""
-    masks = [sum(1 << b for b in bits) for n in range(distance // 2 + 1) for bits in combinations(range(64), n)]
-    return np.array(masks, np.uint64)
-
-
-def near_groups(prints: DataFrame, distance: int = 4, segments: int = 3, dense_rows: int = 65536) -> DataFrame:
+def near_groups(prints: DataFrame, distance: int = 4, segments: int = 3, dense_rows: int = 131072) -> DataFrame:
     """``rep, component`` for the representatives of all linked fingerprints.
 
     ``prints`` has distinct ``fp`` and ``rep``, a long that stands for all rows with that fingerprint; the component is
@@ -157,77 +161,49 @@ def near_groups(prints: DataFrame, distance: int = 4, segments: int = 3, dense_r
 
     Every fingerprint is stored once per segment and probes the small Hamming ball of its segment value; rows that meet
     in a bucket are verified on all 64 bits and leave a spanning forest, never all pairs. A bucket of more than
-    ``dense_rows`` rows does not enter one task: its members are linked through shared midpoints instead, which is exact
-    for an even distance and spreads over as many keys as there are midpoints. Odd distances have no such way, and their
-    dense buckets are searched in one task.
+    ``dense_rows`` rows does not enter one task: its rows are dealt into blocks, and each pair of blocks is a group of
+    its own, so every two rows still meet.
     """
     plan = segment_plan(distance, segments)
-    masks = _hubs(distance)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, rep in _columns(batches):
-            for i in range(0, len(fp), 4096):
-                part, own = fp[i : i + 4096].view(np.uint64), rep[i : i + 4096]
-                rows, keys = [], []
+            for i in range(0, len(fp), 2048):
+                part, mine = fp[i : i + 2048].view(np.uint64), rep[i : i + 2048]
+                rows, keys, probe = [], [], []
                 for k, (shift, width, radius) in enumerate(plan):
-                    for row, value in _balls(part, shift, width, radius):
+                    for n, (row, value) in enumerate(_balls(part, shift, width, radius)):
                         rows.append(row)
-                        keys.append(value | np.uint64(k << 58) if width < 58 else value)
+                        keys.append(value | np.uint64(k << 58))
+                        probe.append(np.full(len(row), n > 0))
                 rows, keys = np.concatenate(rows), np.concatenate(keys)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64)), pa.array(own[rows])], names=["bucket", "fp", "rep"])
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64)), pa.array(mine[rows]), pa.array(np.concatenate(probe))], names=["bucket", "fp", "rep", "probe"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for columns in _then_none(_columns(batches)):
             if columns is not None:
                 held = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-                starts, sizes = _runs(held[0])
-                if len(starts) < 2:
-                    continue
-                cut_at = starts[-1]
-            else:
-                cut_at = len(held[0])
-                starts, sizes = _runs(held[0])
-            done, held = [x[:cut_at] for x in held], [x[cut_at:] for x in held]
-            ready = (starts < cut_at) & (sizes > 1)
-            a, b = _links(done[1].view(np.uint64), done[2], starts[ready], sizes[ready], distance)
+            starts, sizes = _runs(held[0])
+            if not len(starts) or columns is not None and len(starts) < 2:
+                continue
+            end = len(held[0]) if columns is None else starts[-1]
+            done, held = [x[:end] for x in held], [x[end:] for x in held]
+            ready = (starts < end) & (sizes > 1)
+            a, b = _links(done[1].view(np.uint64), done[2], ~done[3].astype(bool), starts[ready], sizes[ready], distance)
             if len(a):
-                yield _edges(a, b)
-
-    def hub_scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, rep in _columns(batches):
-            for i in range(0, len(fp), 64):
-                keys = (fp[i : i + 64].view(np.uint64)[:, None] ^ masks).ravel()
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(rep[i : i + 64], len(masks)))], names=["hub", "rep"])
-
-    def hub_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
-        for hub, rep in _columns(batches):
-            if last is not None:
-                hub, rep = np.r_[last[0], hub], np.r_[last[1], rep]
-            same = (hub[1:] == hub[:-1]) & (rep[1:] != rep[:-1])
-            if same.any():
-                yield _edges(rep[1:][same], rep[:-1][same])
-            if len(hub):
-                last = (hub[-1], rep[-1])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ship_code(prints.sparkSession)
-    prints = prints.select("fp", "rep")
-    rows = prints.mapInArrow(scatter, "bucket bigint, fp bigint, rep bigint")
-    if distance % 2 == 0:
-        dense = cut(rows.groupBy("bucket").count().filter(F.col("count") > dense_rows).select("bucket"))
-        if not dense.isEmpty():
-            crowded = cut(rows.join(dense, "bucket", "left_semi").select("fp", "rep").distinct())
-            rows = rows.join(dense, "bucket", "left_anti")
-            hubs = crowded.mapInArrow(hub_scatter, "hub bigint, rep bigint").repartition("hub").sortWithinPartitions("hub", "rep")
-            extra = hubs.mapInArrow(hub_chain, "a bigint, b bigint").distinct()
-        else:
-            extra = None
-    else:
-        extra = None
-    edges = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint")
-    if extra is not None:
-        edges = edges.unionByName(extra)
+    rows = prints.select("fp", "rep").mapInArrow(scatter, "bucket bigint, fp bigint, rep bigint, probe boolean")
+    dense = cut(rows.groupBy("bucket").count().filter(F.col("count") > dense_rows))
+    if not dense.isEmpty():
+        blocks = F.ceil(F.col("count") * 2 / dense_rows).cast("int")
+        own = F.pmod(F.xxhash64("fp", "probe"), F.col("blocks")).cast("int")
+        crowd = rows.join(dense.withColumn("blocks", blocks), "bucket").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        crowd = crowd.select(F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y")).alias("bucket"), "fp", "rep", "probe")
+        rows = rows.join(dense, "bucket", "left_anti").unionByName(crowd)
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(meet, "a bigint, b bigint")
     return connected_components(edges).select(F.col("node").alias("rep"), "component")
 
 
@@ -250,7 +226,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, seg
     return prints.join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 4, segments: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 11, segments: int = 4) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each near-duplicate group; columns as they were.
 
     Rows that repeat that ``doc_id`` with the same fingerprint stay or go together; rows whose ``doc_id`` is null stay.
