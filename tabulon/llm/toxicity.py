@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.statistics import drawn_labels
 from tabulon.llm.text import held_out, table
 from tabulon.session import ship_code
 
@@ -120,17 +121,12 @@ def fit(texts: list[str], labels: np.ndarray, orders: tuple[int, ...] = (4, 5, 6
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
-    """At most ``max_labelled`` labelled rows that are not held out, of at most ``max_bytes`` of text, drawn by id hash.
-
-    The draw is by a hash threshold that the two counts give, so no sort and no row limit on unordered rows is needed.
-    A document that is labelled twice counts twice; null labels count for nothing.
-    """
-    known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
-    joined = docs.join(known, F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), "__label", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("__draw"))
-    rows, size = joined.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, max_labelled / max(1, rows), max_bytes / max(1, size or 0))
-    drawn = joined.filter(F.col("__draw") < int(share * (1 << 20))).select("text", "__label").collect()
-    drawn.sort()
+    """Texts and labels of a drawn sample of the labelled rows, fewer of them if they hold more than ``max_bytes``."""
+    known = F.broadcast(drawn_labels(labels, label, max_labelled))
+    joined = docs.join(known, F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), "__label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)).alias("__draw"))
+    size = joined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, max_bytes / max(1, size))
+    drawn = sorted(joined.filter(F.col("__draw") < int(share * (1 << 20))).select("text", "__label").collect())
     return [r["text"] for r in drawn], np.array([r["__label"] for r in drawn], float)
 
 
