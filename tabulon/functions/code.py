@@ -39,7 +39,7 @@ def fnv1a(name: Column) -> Column:
     at = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
     octets = F.when(F.length(digits) > 0, F.transform(at, lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     mixed = F.aggregate(octets, F.lit(FNV_OFFSET), lambda h, b: ((h.bitwiseXOR(b)) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.concat(F.lit("h"), F.lower(F.lpad(F.hex(mixed), 8, "0")))
+    return F.when(name.isNotNull(), F.concat(F.lit("h"), F.lower(F.lpad(F.hex(mixed), 8, "0"))))
 
 
 def identifiers(code: Column, language: str) -> Column:

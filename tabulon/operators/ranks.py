@@ -19,6 +19,7 @@ from tabulon.session import ship_code
 
 def _ranked(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
     """``counts`` (``by``, ``value``, ``n`` and more) with ``rank``, the average rank of the value among all of its ``by`` group."""
+    ranges = max(2, ranges)
     cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("__cuts"))
     placed = counts.join(cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
     totals = placed.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))

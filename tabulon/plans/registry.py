@@ -50,7 +50,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c, kind in df.dtypes if kind == "double"})  # + 0.0: no negative zero
 
 
 # Counts, filters, deduplication
@@ -301,7 +301,9 @@ def identifiers(spark, d):
     return _table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(code.identifiers(text, "python")), " ").alias("names"))
 
 
-@query()
+@query(r"""
+SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name || ' = ' || p_type, '(\w+|\W+)'), lambda w: CASE WHEN regexp_matches(w, '^[a-zA-Z_][a-zA-Z0-9_]*$')
+  THEN 'h' || printf('%08x', list_reduce(list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT)) ELSE w END), '') AS hidden FROM part""")
 def obfuscate(spark, d):
     text = F.concat_ws(" = ", "p_name", "p_type")
     return _table(spark, d, "part").select("p_partkey", code.obfuscate(text, "python").alias("hidden"))
@@ -399,7 +401,7 @@ def sage_layer(spark, d):
 _UNNESTED = "(SELECT *, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM embeddings)"
 
 
-@query(f"SELECT label, dim, round(sum(x * (vec_id % 3 > 0)::INT) / greatest(sum((vec_id % 3 > 0)::INT), 1e-6), 5) AS value FROM {_UNNESTED} GROUP BY label, dim")
+@query(f"SELECT label, dim, round(sum(x * (vec_id % 3 > 0)::INT) / greatest(sum((vec_id % 3 > 0)::INT), 1e-6), 5) + 0 AS value FROM {_UNNESTED} GROUP BY label, dim")
 def mean_pool(spark, d):
     rows = _table(spark, d, "embeddings").withColumn("mask", (F.col("vec_id") % 3 > 0).cast("int"))
     return _rounded(vectors.mean_pool(rows, "label", "embedding", "mask"), 5)
@@ -407,19 +409,19 @@ def mean_pool(spark, d):
 
 @query(f"""
 WITH m AS (SELECT vec_id % 7 AS graph, label % 3 AS type, dim, avg(x) AS m FROM {_UNNESTED} WHERE vec_id % 7 <> label % 3 GROUP BY ALL)
-SELECT graph, dim, round(sum(m) / 3, 5) AS value FROM m GROUP BY graph, dim""")
+SELECT graph, dim, round(sum(m) / 3, 5) + 0 AS value FROM m GROUP BY graph, dim""")
 def type_pool(spark, d):
     rows = _table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("graph"), (F.col("label") % 3).alias("type"), F.posexplode("embedding").alias("dim", "value")).filter("graph <> type")
     return _rounded(graph.type_pool(rows.withColumn("value", F.col("value").cast("double"))), 5)
 
 
-@query(f"SELECT vec_id, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12), 5) AS value FROM {_UNNESTED}")
+@query(f"SELECT vec_id, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12), 5) + 0 AS value FROM {_UNNESTED}")
 def l2_norm(spark, d):
     unit = vectors.l2_normalise(F.col("embedding"))
     return _rounded(_table(spark, d, "embeddings").select("vec_id", F.posexplode(unit).alias("dim", "value")), 5)
 
 
-@query(f"WITH u AS {_UNNESTED} SELECT a.dim AS i, b.dim AS j, round(sum(a.x * b.x) / (SELECT count(*) FROM embeddings), 5) AS value FROM u a JOIN u b USING (vec_id) GROUP BY a.dim, b.dim")
+@query(f"WITH u AS {_UNNESTED} SELECT a.dim AS i, b.dim AS j, round(sum(a.x * b.x) / (SELECT count(*) FROM embeddings), 5) + 0 AS value FROM u a JOIN u b USING (vec_id) GROUP BY a.dim, b.dim")
 def gram(spark, d):
     return _rounded(vectors.gram(_table(spark, d, "embeddings"), "embedding"), 5)
 

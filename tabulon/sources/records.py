@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabulon.functions.code import suffix
 from tabulon.session import ship_code
 
-RECORD = T.StructType.fromDDL("idx bigint, hash string, target string, model string, language string, split string, source string, code string, graphml string")
+RECORD = T.StructType([T.StructField(name, T.LongType() if name == "idx" else T.StringType()) for name in ("idx", "hash", "target", "model", "language", "split", "source", "code", "graphml")])
 REQUIRED = ("target", "model", "language", "source", "hash", "split", "code")
 
 
