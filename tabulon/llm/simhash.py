@@ -97,8 +97,8 @@ def _smallest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between ``rep`` of linked rows of the same group, at least one of the two the bucket's ``own``.
+def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the fingerprints of linked rows of the same group, at least one of the two the bucket's ``own``.
 
     Own rows come first in a group. Probes are not compared with each other: two of them meet elsewhere. Of all links
     within a group only a spanning forest leaves: at most one edge a row.
@@ -136,7 +136,7 @@ def _links(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, starts: np.ndarray,
                 label[reached] = root
                 queue.extend(reached)
     moved = np.flatnonzero(label != np.arange(len(fp)))
-    return rep[moved], rep[label[moved]]
+    return fp[moved], fp[label[moved]]
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,57 +154,61 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def near_groups(prints: DataFrame, distance: int = 4, segments: int = 3, dense_rows: int = 131072) -> DataFrame:
-    """``rep, component`` for the representatives of all linked fingerprints.
+    """``fp, label`` for every linked one of the distinct ``fp`` of ``prints``; fingerprints without a link are left out.
 
-    ``prints`` has distinct ``fp`` and ``rep``, a long that stands for all rows with that fingerprint; the component is
-    the smallest ``rep`` reachable over links of at most ``distance`` bits. Fingerprints without a link are left out.
+    The label, one fingerprint of the group, is the same for all that links of at most ``distance`` bits connect.
 
     Every fingerprint is stored once per segment and probes the small Hamming ball of its segment value; rows that meet
     in a bucket are verified on all 64 bits and leave a spanning forest, never all pairs. A bucket of more than
     ``dense_rows`` rows does not enter one task: its rows are dealt into blocks, and each pair of blocks is a group of
-    its own, so every two rows still meet.
+    its own, so every two rows still meet. Which buckets are that large is told from a part of the fingerprints; a bucket
+    that is misjudged is compared all the same, in a task somewhat larger or smaller.
     """
     plan = segment_plan(distance, segments)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, rep in _columns(batches):
-            for i in range(0, len(fp), 2048):
-                part, mine = fp[i : i + 2048].view(np.uint64), rep[i : i + 2048]
-                rows, keys, probe = [], [], []
+        for (fp,) in _columns(batches):
+            for i in range(0, len(fp), 8192):
+                part = fp[i : i + 8192].view(np.uint64)
+                rows, keys = [], []
                 for k, (shift, width, radius) in enumerate(plan):
                     for n, (row, value) in enumerate(_balls(part, shift, width, radius)):
                         rows.append(row)
-                        keys.append(value | np.uint64(k << 58))
-                        probe.append(np.full(len(row), n > 0))
-                rows, keys = np.concatenate(rows), np.concatenate(keys)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64)), pa.array(mine[rows]), pa.array(np.concatenate(probe))], names=["bucket", "fp", "rep", "probe"])
+                        keys.append((value | np.uint64(k << 57)) << np.uint64(1) | np.uint64(n > 0))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(part[np.concatenate(rows)].view(np.int64))], names=["key", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 2
         for columns in _then_none(_columns(batches)):
             if columns is not None:
                 held = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            starts, sizes = _runs(held[0])
+            starts, sizes = _runs(held[0] >> 1)
             if not len(starts) or columns is not None and len(starts) < 2:
                 continue
             end = len(held[0]) if columns is None else starts[-1]
             done, held = [x[:end] for x in held], [x[end:] for x in held]
             ready = (starts < end) & (sizes > 1)
-            a, b = _links(done[1].view(np.uint64), done[2], ~done[3].astype(bool), starts[ready], sizes[ready], distance)
+            a, b = _links(done[1].view(np.uint64), done[0] & 1 == 0, starts[ready], sizes[ready], distance)
             if len(a):
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     ship_code(prints.sparkSession)
-    rows = prints.select("fp", "rep").mapInArrow(scatter, "bucket bigint, fp bigint, rep bigint, probe boolean")
-    dense = cut(rows.groupBy("bucket").count().filter(F.col("count") > dense_rows))
+    prints = prints.select("fp")
+    rows = prints.mapInArrow(scatter, "key bigint, fp bigint")
+    bucket = F.shiftright("key", 1)
+    part = 64 if dense_rows >= 1024 else 1
+    sample = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0).mapInArrow(scatter, "key bigint, fp bigint")
+    dense = cut(sample.groupBy(bucket.alias("bucket")).count().filter(F.col("count") * part > dense_rows))
     if not dense.isEmpty():
-        blocks = F.ceil(F.col("count") * 2 / dense_rows).cast("int")
-        own = F.pmod(F.xxhash64("fp", "probe"), F.col("blocks")).cast("int")
-        crowd = rows.join(dense.withColumn("blocks", blocks), "bucket").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        crowd = crowd.select(F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y")).alias("bucket"), "fp", "rep", "probe")
-        rows = rows.join(dense, "bucket", "left_anti").unionByName(crowd)
-    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(meet, "a bigint, b bigint")
-    return connected_components(edges).select(F.col("node").alias("rep"), "component")
+        rows = rows.withColumn("bucket", bucket)
+        blocks = F.ceil(F.col("count") * part * 2 / dense_rows).cast("int")
+        crowd = rows.join(dense.withColumn("blocks", blocks), "bucket").withColumn("x", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
+        crowd = crowd.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = F.shiftleft(F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y")), 1)
+        crowd = crowd.select(pair.bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("key"), "fp")
+        rows = rows.join(dense, "bucket", "left_anti").select("key", "fp").unionByName(crowd)
+    edges = rows.repartition(bucket).sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    return connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label"))
 
 
 def _then_none(items: Iterator) -> Iterator:
@@ -216,17 +220,18 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, seg
     """``doc_id, fp, component_id`` for every row of ``docs``; the component is the smallest ``doc_id`` reachable.
 
     Exact copies share a fingerprint and collapse before anything is compared. Null and empty texts have fingerprint 0 and
-    link like any other. Rows that repeat a ``doc_id`` keep a row each. A null ``doc_id`` stands for a group only if the
-    group has no other, and then its component is null. Other columns of ``docs`` are ignored.
+    link like any other. Rows that repeat a ``doc_id`` keep a row each. A null ``doc_id`` links like any other and is the
+    component of a group only if the group has no other. Other columns of ``docs`` are ignored.
     """
     prints = cut(fingerprints(docs, shingle, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    grouped = near_groups(distinct.filter("rep IS NOT NULL"), distance, segments)
-    named = cut(distinct.join(grouped, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    labelled = cut(distinct.join(near_groups(distinct, distance, segments), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    smallest = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
+    named = cut(labelled.join(smallest, "label").select("fp", "component_id"))
     return prints.join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 11, segments: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 11, segments: int = 6) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each near-duplicate group; columns as they were.
 
     Rows that repeat that ``doc_id`` with the same fingerprint stay or go together; rows whose ``doc_id`` is null stay.
