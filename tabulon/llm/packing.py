@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -61,57 +62,96 @@ def improve(plan: Plan, capacity: int, max_steps: int = 20_000) -> Plan:
     """Swap-based local search between underfull bins.
 
     The emptiest bin gives: an item moves to another bin, is exchanged for a smaller one there, or two items are exchanged
-    for one smaller than both together, whenever that raises the sum of squared fills. A bin that has given all is gone. A bin
-    from which no step leads on is set aside. Bins of equal pattern step together where they can. ``max_steps`` bounds
+    for one smaller than both together, whichever raises the sum of squared fills most. A bin that has given all is gone;
+    a bin that no step leads on from is set aside until the others have been tried. Bins of equal pattern step together where they can. The search ends
+    when the room left in all underfull bins is less than one bin, since then none can be emptied. ``max_steps`` bounds
     the search, not the items: where it ends every item still has its place.
     """
-    plan = Counter({p: n for p, n in plan.items() if n})
-    stuck: Plan = Counter()
-    open_ = Counter({p: n for p, n in plan.items() if sum(p) < capacity})
-    full = Counter({p: n for p, n in plan.items() if sum(p) == capacity})
+    full = Counter({p: n for p, n in plan.items() if n and sum(p) == capacity})
+    open_ = {p: n for p, n in plan.items() if n and sum(p) < capacity}
+    stuck: set[tuple] = set()
+    takers = _Takers(capacity)
+    for p in sorted(open_):
+        takers.add(p)
+    room = sum((capacity - sum(p)) * n for p, n in open_.items())
+    queue, moved = [], True
     for _ in range(max_steps):
-        if not open_ or sum(capacity * n - sum(p) * n for p, n in (open_ + stuck).items()) < capacity:
+        if room < capacity:
             break
-        giver = min(open_, key=lambda p: (sum(p), p))
-        step = _best_step(giver, open_ if open_[giver] > 1 else open_ - Counter({giver: 1}), stuck, capacity)
+        if not queue:  # all are set aside: try them again if anything has changed since
+            if not moved:
+                break
+            queue, moved = [(sum(p), p) for p in open_], False
+            heapify(queue)
+            stuck.clear()
+        giver = queue[0][1]
+        if giver not in open_ or giver in stuck:
+            heappop(queue)
+            continue
+        step = takers.best(giver, alone=open_[giver] == 1)
         if step is None:
-            stuck[giver] += open_.pop(giver)
+            stuck.add(giver)
             continue
         taker, given, taken = step
-        source = open_ if open_[taker] else stuck
-        times = open_[giver] // 2 if taker == giver else min(open_[giver], source[taker])
-        for pattern, where in ((giver, open_), (taker, source)):
-            where[pattern] -= times
-            if not where[pattern]:
-                del where[pattern]
+        moved = True
+        times = open_[giver] // 2 if taker == giver else min(open_[giver], open_[taker])
+        for pattern in (giver, taker):
+            open_[pattern] -= times
+        for pattern in {giver, taker}:
+            if not open_[pattern]:
+                del open_[pattern]
+                takers.drop(pattern)
         for old, out, into in ((giver, given, taken), (taker, taken, given)):
-            new = Counter(old) - Counter(out) + Counter(into)
-            new = tuple(sorted(new.elements(), reverse=True))
-            if new:
-                (full if sum(new) == capacity else open_)[new] += times
-    return full + open_ + stuck
-
-
-def _best_step(giver: tuple, open_: Plan, stuck: Plan, capacity: int) -> tuple[tuple, tuple, tuple] | None:
-    """``(taker, given, taken)`` with the greatest gain in squared fill, or None."""
-    fill = sum(giver)
-    best, found = 0, None
-    singles = sorted(set(giver))
-    pairs = {(a, b) for i, a in enumerate(singles) for b in singles[i:] if a != b or giver.count(a) > 1} if len(giver) <= 12 else set()
-    for taker in (*open_, *stuck):
-        other = sum(taker)
-        room = capacity - other
-        for given in [*((x,) for x in singles), *pairs]:
-            out = sum(given)
-            options = [()] if len(given) == 1 else []
-            options += [(y,) for y in set(taker)]
-            for taken in options:
-                shift = out - sum(taken)  # what the taker's fill gains
-                if 0 < shift <= room:
-                    gain = shift * (other - fill + shift)
-                    if gain > best:
-                        best, found = gain, (taker, given, taken)
-    return found
+            new = tuple(sorted((Counter(old) - Counter(out) + Counter(into)).elements(), reverse=True))
+            if not new:
+                room -= capacity * times
+            elif sum(new) == capacity:
+                full[new] += times
+            else:
+                if new not in open_:
+                    takers.add(new)
+                    heappush(queue, (sum(new), new))
+                open_[new] = open_.get(new, 0) + times
+                stuck.discard(new)
+    return full + Counter(open_)
+
+
+class _Takers:
+    """What each underfull pattern can give back: its fill and, a row each, nothing or one of its items."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.patterns, self.rows_of = capacity, [], {}
+        self.fill, self.item, self.live = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+
+    def add(self, pattern: tuple) -> None:
+        first, items = len(self.patterns), [0, *sorted(set(pattern))]
+        while first + len(items) > len(self.fill):
+            self.fill, self.item, self.live = (np.r_[x, np.zeros_like(x)] for x in (self.fill, self.item, self.live))
+        rows = slice(first, first + len(items))
+        self.fill[rows], self.item[rows], self.live[rows] = sum(pattern), items, True
+        self.patterns += [pattern] * len(items)
+        self.rows_of[pattern] = rows
+
+    def drop(self, pattern: tuple) -> None:
+        self.live[self.rows_of.pop(pattern)] = False
+
+    def best(self, giver: tuple, alone: bool) -> tuple[tuple, tuple, tuple] | None:
+        """``(taker, given, taken)`` with the greatest gain in squared fill, or None. ``alone``: there is but one giver."""
+        rows = np.flatnonzero(self.live)
+        if alone:
+            own = self.rows_of[giver]
+            rows = rows[(rows < own.start) | (rows >= own.stop)]
+        fill, item, own_fill = self.fill[rows], self.item[rows], sum(giver)
+        singles = sorted(set(giver))
+        options = [(x,) for x in singles] + [(a, b) for i, a in enumerate(singles) for b in singles[i:] if a != b or giver.count(a) > 1][:64]
+        best, found = 0, None
+        for given in options:
+            shift = sum(given) - item
+            gain = np.where((shift > 0) & (shift <= self.capacity - fill) & ((item > 0) | (len(given) == 1)), shift * (fill - own_fill + shift), 0)
+            top = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[top] > best:
+                best, found = gain[top], (self.patterns[rows[top]], given, (int(item[top]),) if item[top] else ())
+        return found
 
 
 def solve(counts: dict[int, int], capacity: int) -> Plan:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Callable
 from pathlib import Path
 
 import tiktoken
@@ -12,7 +14,7 @@ import tiktoken
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct words kept per worker process; beyond that the memory is emptied and filled anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 
 #: Before such a space the text can be cut without changing any id: it has a visible character on either side.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -41,7 +43,7 @@ class ByteBPE:
                 ranks[bytes(stand[c] for c in piece)] = rank
         ranks.pop(b"<|endoftext|>", None)
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._raw)
 
     @classmethod
     def at(cls, vocabulary: str) -> ByteBPE:
@@ -51,25 +53,29 @@ class ByteBPE:
         return cls._open[vocabulary]
 
     def _raw(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text).astype("<u4").tobytes()
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         parts = _LONE_SPACE.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
-        known = self.words
-        ids = [self._raw(parts[0])]
-        for part in parts[1:]:
-            found = known.get(part)
-            if found is None:
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                found = self._raw(" " + part)
-                if len(part) <= 64:
-                    known[part] = found
-            ids.append(found)
-        return b"".join(ids)
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        return self._raw(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
+
+
+class _Words(dict):
+    """Ids by word, the space before it included; long words are encoded each time."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
