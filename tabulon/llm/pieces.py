@@ -19,7 +19,10 @@ from tabulon.session import ship_code
 SPACE = "▁"
 
 #: Distinct units kept per worker process, and the longest one kept; the memory is emptied when full.
-MAX_UNITS, MAX_UNIT_CHARS = 600_000, 64
+MAX_UNITS, MAX_UNIT_CHARS = 400_000, 64
+
+#: Characters of new units matched at once; bounds the arrays of edges.
+MAX_MATCHED = 300_000
 
 _NONE, _START = -1, -2
 
@@ -148,6 +151,19 @@ class PieceModel:
             lo, hi = np.where(go, mid + 1, lo), np.where(go | (lo >= hi), hi, mid)
         return lo
 
+    def _suffixes(self, four: np.ndarray) -> np.ndarray:
+        """Places sorted by as many characters as the longest piece has, from their first four, by prefix doubling."""
+        order, size = np.argsort(four), 4
+        while size < 4 * self.words:
+            sorted_ = four[order]
+            rank = np.empty(len(four), np.uint64)
+            rank[order] = np.cumsum(np.r_[True, sorted_[1:] != sorted_[:-1]]).astype(np.uint64)
+            behind = np.zeros(len(four), np.uint64)
+            behind[:-size] = rank[size:]
+            four = rank << np.uint64(32) | behind
+            order, size = np.argsort(four), 2 * size
+        return order
+
     def edges(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start position and piece of every occurrence in the concatenated units, and the units' own starts and ends.
 
@@ -160,7 +176,7 @@ class PieceModel:
         padded = np.r_[codes, np.zeros(4 * self.words, np.uint64)]
         four = padded[:-3] << np.uint64(48) | padded[1:-2] << np.uint64(32) | padded[2:-1] << np.uint64(16) | padded[3:]
         keys = [four[4 * k : 4 * k + len(codes)] for k in range(self.words)]
-        suffixes = np.lexsort(keys[::-1])
+        suffixes = self._suffixes(four[: len(codes)])
         ordered = [k[suffixes] for k in keys]
         first, last = self._bound(ordered, self.low, False), self._bound(ordered, self.high, True)
         count = last - first
@@ -219,15 +235,13 @@ class PieceModel:
             here = here[last[here] != _START]
         path = np.flatnonzero(on_path)
         ids, bounds = last[path], np.searchsorted(path, np.r_[starts, len(base)], side="right")
-        out = []
-        for unit, start, lo, hi in zip(units, starts, bounds[:-1], bounds[1:], strict=True):
-            own = ids[lo:hi]
-            if (own == self.unknown).any():
-                spelled: list[int] = []
-                for i, end in zip(own, path[lo:hi], strict=True):
-                    spelled += [self.byte_ids[x] for x in unit[end - start - 1].encode("utf-8", "surrogatepass")] if i == self.unknown else [i]
-                own = np.array(spelled)
-            out.append(own.astype("<u4").tobytes())
+        blob, odd = ids.astype("<u4").tobytes(), np.add.reduceat(np.r_[ids == self.unknown, False], bounds[:-1])
+        out = [blob[4 * lo : 4 * hi] for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        for n in np.flatnonzero(odd):
+            spelled: list[int] = []
+            for i, end in zip(ids[bounds[n] : bounds[n + 1]], path[bounds[n] : bounds[n + 1]], strict=True):
+                spelled += [self.byte_ids[x] for x in units[n][end - starts[n] - 1].encode("utf-8", "surrogatepass")] if i == self.unknown else [i]
+            out[n] = np.array(spelled, "<u4").tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -244,8 +258,13 @@ class PieceModel:
         odd = [u for u in new if u[:2] == SPACE * 2]
         plain = [u for u in new if u[:2] != SPACE * 2]
         plain += {SPACE + u.lstrip(SPACE) for u in odd} - {SPACE} - new.keys()
-        if plain:
-            new |= zip(plain, self.encode_units(plain), strict=True)
+        at = 0
+        while at < len(plain):
+            end, size = at, 0
+            while end < len(plain) and (end == at or size + len(plain[end]) <= MAX_MATCHED):
+                size, end = size + len(plain[end]), end + 1
+            new |= zip(plain[at:end], self.encode_units(plain[at:end]), strict=True)
+            at = end
         for u in odd:
             new[u] = self._after_spaces(u, new)
         known.update((u, v) for u, v in new.items() if len(u) <= MAX_UNIT_CHARS)
@@ -304,38 +323,30 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", batch_rows: int
     return docs.mapInArrow(run, _with(docs, T.StructField("ids", T.ArrayType(T.IntegerType()))))
 
 
-def decode(coded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
-    """``coded`` with ``decoded``, the text of ``ids_col``; null arrays give the empty text."""
-    if "decoded" in coded.columns:
-        raise ValueError("rename the column decoded first")
+def decode(coded: DataFrame, model: str, ids_col: str = "ids", checksums: bool = False) -> DataFrame:
+    """``coded`` with ``decoded``, the text of ``ids_col``; null arrays give the empty text.
+
+    With ``checksums`` the ids give way to ``n_ids`` and ``ids_crc32``, of the little-endian unsigned 32-bit ids.
+    """
+    added = ["decoded", "n_ids", "ids_crc32"] if checksums else ["decoded"]
+    if set(added) & set(coded.columns):
+        raise ValueError(f"rename the columns {sorted(set(added) & set(coded.columns))} first")
     ship_code(coded.sparkSession)
-    k = coded.columns.index(ids_col)
+    k, kept = coded.columns.index(ids_col), [c for c in coded.columns if not checksums or c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.at(model)
         for batch in batches:
-            column = batch.column(k)
-            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            texts = [pieces.decode(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
-
-    return coded.mapInArrow(run, _with(coded, T.StructField("decoded", T.StringType())))
-
-
-def _digests(coded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """``coded`` with ``ids_crc32`` of the little-endian unsigned 32-bit ids in place of the ids."""
-    k = coded.columns.index(ids_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(k)
-            values, offsets = column.values.to_numpy().astype("<u4"), column.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            rest = [c for n, c in enumerate(batch.columns) if n != k]
-            yield pa.record_batch([*rest, pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())], names=[*(n for n in batch.schema.names if n != ids_col), "n_ids", "ids_crc32"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows = [np.zeros(0, "<u4") if x.values is None else x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in part.column(k)]
+                new = [pa.array([pieces.decode(r) for r in rows], pa.string())]
+                if checksums:
+                    new += [pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64())]
+                yield pa.record_batch([*(part.column(c) for c in kept), *new], names=[*kept, *added])
 
-    schema = _with(coded.drop(ids_col), T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()))
-    return coded.mapInArrow(run, schema)
+    kinds = [T.StringType(), T.LongType(), T.LongType()]
+    return coded.mapInArrow(run, _with(coded.select(*kept), *[T.StructField(n, t) for n, t in zip(added, kinds, strict=False)]))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
@@ -345,5 +356,5 @@ def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> Da
 
         model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = _digests(decode(encode(docs, model), model))
+    out = decode(encode(docs, model), model, checksums=True)
     return out.select("doc_id", "n_ids", "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
