@@ -40,9 +40,10 @@ class DigestIndex:
 
         ``digests`` has ``doc_id`` and ``digest``. Copies within the batch collapse before the shuffle (partial
         aggregation), the largest ``doc_id`` standing for them; the index side of the sort-merge anti-join is read in
-        its buckets without an exchange.
+        its buckets without an exchange. The collapsed batch is cut off, since the optimizer would otherwise move the
+        anti-join, whose key is the grouping key, below the aggregation and shuffle every copy.
         """
-        batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        batch = cut(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
         new = cut(batch.join(self.bucketed().select("digest").hint("merge"), "digest", "left_anti"))
         new.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.location).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
