@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group on five-word shingles the document with the smallest id."""
+    """Of each group linked by a similarity of 0.8 (Jaccard, five-word shingles) the document with the smallest id."""
     return drop_near_copies(docs)
 
 

@@ -231,14 +231,175 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, seg
     return prints.join(named, "fp")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 11, segments: int = 6) -> DataFrame:
+def _pairs(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int, most: int | None, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Linked rows i, j of the same group and of different labels, at least one of the two the bucket's ``own``.
+
+    Of a row with more than ``most`` later links so many are given, from a place that differs from row to row; the third
+    array is the rows of the pairs left out.
+    """
+    before = np.r_[0, np.cumsum(own)]
+    owned = before[starts + sizes] - before[starts]
+    first, size, mine = starts[owned > 0], sizes[owned > 0], owned[owned > 0]
+    for d in range(int(mine.max(initial=0))):
+        keep = mine > d
+        first, size, mine = first[keep], size[keep], mine[keep]
+        rest = size - d - 1
+        bounds = np.flatnonzero(np.diff(np.cumsum(rest) // _BLOCK, prepend=-1))
+        for lo, hi in zip(bounds, np.r_[bounds[1:], len(rest)], strict=True):
+            n = rest[lo:hi]
+            i = np.repeat(first[lo:hi] + d, n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= distance)
+            i, j = i[hit], j[hit]
+            other = label[i] != label[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                continue
+            take = np.ones(len(i), bool)
+            if most is not None:
+                at, count = _runs(i)
+                count, rank = np.repeat(count, count), np.arange(len(i)) - np.repeat(at, count)
+                take = (rank - i * most) % count < most
+            yield i[take], j[take], np.unique(np.r_[i[~take], j[~take]])
+
+
+def near_pairs(nodes: DataFrame, distance: int, segments: int, most: int | None = None, dense_rows: int = 131072) -> DataFrame:
+    """``a, b``: pairs of ``node`` with different ``label`` whose ``fp`` differ in at most ``distance`` bits.
+
+    ``nodes`` has distinct ``node``. The search is that of ``near_groups``, but gives the linked pairs themselves. With
+    ``most``, a row with more links in a bucket gives so many of them, and the nodes of each pair left out come as a row
+    of their own with a null ``b``, so that the caller can search among them again.
+    """
+    plan = segment_plan(distance, segments)
+    kind = "key bigint, fp bigint, node bigint, label bigint"
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _columns(batches):
+            for i in range(0, len(columns[0]), 8192):
+                part = [c[i : i + 8192] for c in columns]
+                for k, (shift, width, radius) in enumerate(plan):
+                    balls = list(_balls(part[0].view(np.uint64), shift, width, radius))
+                    rows = np.concatenate([row for row, _ in balls])
+                    keys = np.concatenate([(value | np.uint64(k << 57)) << np.uint64(1) | np.uint64(n > 0) for n, (_, value) in enumerate(balls)])
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), *(pa.array(c[rows]) for c in part)], names=["key", "fp", "node", "label"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for columns in _then_none(_columns(batches)):
+            if columns is not None:
+                held = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            starts, sizes = _runs(held[0] >> 1)
+            if not len(starts) or columns is not None and len(starts) < 2:
+                continue
+            end = len(held[0]) if columns is None else starts[-1]
+            (key, fp, node, label), held = [x[:end] for x in held], [x[end:] for x in held]
+            ready = (starts < end) & (sizes > 1)
+            for i, j, left in _pairs(fp.view(np.uint64), key & 1 == 0, starts[ready], sizes[ready], distance, most, label):
+                a, b = pa.array(np.r_[node[i], node[left]]), pa.array(np.r_[node[j], node[left]], mask=np.r_[np.zeros(len(j), bool), np.ones(len(left), bool)])
+                yield pa.record_batch([a, b], names=["a", "b"])
+
+    ship_code(nodes.sparkSession)
+    nodes = nodes.select("fp", "node", "label")
+    rows = nodes.mapInArrow(scatter, kind)
+    bucket = F.shiftright("key", 1)
+    part = 64 if dense_rows >= 1024 else 1
+    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).mapInArrow(scatter, kind)
+    dense = cut(sample.groupBy(bucket.alias("bucket")).count().filter(F.col("count") * part > dense_rows))
+    if not dense.isEmpty():
+        rows = rows.withColumn("bucket", bucket)
+        blocks = F.ceil(F.col("count") * part * 2 / dense_rows).cast("int")
+        crowd = rows.join(dense.withColumn("blocks", blocks), "bucket").withColumn("x", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+        crowd = crowd.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = F.shiftleft(F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y")), 1)
+        crowd = crowd.select(pair.bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("key"), "fp", "node", "label")
+        rows = rows.join(dense, "bucket", "left_anti").select("key", "fp", "node", "label").unionByName(crowd)
+    found = rows.repartition(bucket).sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_LOWER).split()
+
+
+def word_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_digest, node, fp`` for every row of ``docs``; ``node`` is a digest of the lower-cased words, 0 if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2).cast(pa.binary())]
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            words = map(_words, texts)
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w), 2) if w else 0 for w in words), np.uint64, len(texts))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], names=["doc_id", "text_digest", "node", "fp"])
+
+    ship_code(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_digest bigint, node bigint, fp bigint")
+
+
+def _digest() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles``: the distinct hashes of the shingles of ``text``; of fewer words the whole sequence is the only one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part, sets = batch.slice(i, 500), []
+                for t in part.column(1).cast(pa.binary()):
+                    words = _words(t.as_py())
+                    parts = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [words]
+                    sets.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(p)) for p in parts), np.uint64)).view(np.int64))
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def near_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 13, segments: int = 5, caps: tuple[int | None, ...] = (4, 16, None)) -> DataFrame:
+    """``doc_id, text_digest, component_id`` for every row of ``docs``; the component is the smallest ``doc_id`` reachable.
+
+    Texts of the same lower-cased words are one. Others link if their fingerprints differ in at most ``distance`` bits and
+    the Jaccard similarity of their sets of shingles is at least ``similarity``: the fingerprints only propose pairs.
+
+    A large group of close fingerprints proposes few pairs a row at first. Pairs left out are proposed in the next round
+    unless links verified till then connect them anyway; the last round has no bound, so no proposed pair is left out that
+    could join two components. Texts without words are one component; nulls count as such.
+    """
+    prints = cut(word_prints(docs, shingle))
+    nodes = cut(prints.filter("node <> 0").groupBy("node").agg(F.first("fp").alias("fp"), F.min("text_digest").alias("text_digest")).withColumn("label", F.col("node")))
+    texts = docs.select(_digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
+    links, among = None, nodes
+    for most in caps:
+        found = cut(near_pairs(among, distance, segments, most))
+        pairs, left = found.filter("b IS NOT NULL"), found.filter("b IS NULL").select(F.col("a").alias("node"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "text_digest")
+        sets = cut(shingle_sets(texts.join(wanted, "text_digest").dropDuplicates(["node"]), shingle))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        verified = both.filter(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
+        links = cut(verified if links is None else links.unionByName(verified))
+        labels = connected_components(links).select("node", F.col("component").alias("label"))
+        if left.isEmpty():
+            break
+        labels = cut(labels)
+        among = cut(nodes.drop("label").join(left, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = cut(prints.join(labels, "node", "left").select("doc_id", "text_digest", F.coalesce("label", "node").alias("label")))
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "label").select("doc_id", "text_digest", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 13, segments: int = 5) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each near-duplicate group; columns as they were.
 
-    Rows that repeat that ``doc_id`` with the same fingerprint stay or go together; rows whose ``doc_id`` is null stay.
+    Rows that repeat that ``doc_id`` within the group stay; rows whose ``doc_id`` is null stay. A row goes for its own text
+    alone: other texts of the same ``doc_id`` do not matter.
     """
-    groups = simhash_components(docs, shingle, distance, segments)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    groups = near_components(docs, shingle, similarity, distance, segments)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (_digest() == F.col("__digest")), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

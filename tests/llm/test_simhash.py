@@ -79,3 +79,41 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (None, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("caps", [(None,), (1, None)])
+def test_near_copies_are_verified_by_words(spark, caps):
+    draw, texts = random.Random(8), []
+    for f in range(4):
+        base = [f"{f}w{draw.randrange(4000)}" for _ in range(150)]
+        for _ in range(20):
+            words = list(base)
+            for at in draw.sample(range(150), draw.randrange(0, 6)):
+                words[at] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    prints, sets = [brute_print(t, 5) for t in texts], [shingles(t) for t in texts]
+    near = {(i, j): (prints[i] ^ prints[j]).bit_count() for i in range(len(rows)) for j in range(i)}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in near}
+    assert any(d <= 11 and alike[p] < 0.8 for p, d in near.items()) and any(11 < d <= 13 and alike[p] >= 0.8 for p, d in near.items())
+    linked = {p for p, d in near.items() if d <= 13 and alike[p] >= 0.8}
+    want = {}
+    for i, _ in rows:
+        want[i] = i
+    for _ in rows:
+        for i, j in linked:
+            want[i] = want[j] = min(want[i], want[j])
+    got = simhash.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), caps=caps).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_one_text_of_a_repeated_id_goes(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:299], "other"])), (2, " ".join(reversed(base)))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[2]])
