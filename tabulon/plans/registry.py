@@ -242,6 +242,11 @@ def format_p(spark, d):
     return _table(spark, d, "events").filter("value < 50").select("event_id", effects.format_p(F.col("value") / 1000).alias("shown"))
 
 
+@query("""SELECT event_id, CASE WHEN value / 1000 < 0.001 THEN '<0.001' WHEN value / 1000 < 0.01 THEN '<0.01' WHEN value / 1000 < 0.05 THEN '<0.05' ELSE printf('%.3f', value / 1000) END AS shown FROM events WHERE value IS NOT NULL""")
+def format_p_all(spark, d):
+    return _table(spark, d, "events").filter("value IS NOT NULL").select("event_id", effects.format_p(F.col("value") / 1000).alias("shown"))
+
+
 # Evaluation: the language told from its letters, against the language given
 
 _GUESS_SQL = "CASE WHEN regexp_matches(text, '[äöüß]') THEN 'de' WHEN regexp_matches(text, '[ñó]') THEN 'es' WHEN regexp_matches(text, '[éèç]') THEN 'fr' ELSE 'en' END"
