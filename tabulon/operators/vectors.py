@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,15 +95,43 @@ def fuse(a: Column, b: Column, weights: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.get(weights, F.lit(0)) * x.cast("double") + F.get(weights, F.lit(1)) * y.cast("double"))
 
 
-def silhouette(rows: DataFrame, key: str, label: str, vector: str, max_rows: int = 6000, seed: int = 42) -> DataFrame:
-    """``silhouette``: the mean Euclidean silhouette of a seeded sample of at most about ``max_rows`` rows.
+def silhouette(rows: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
+    """``silhouette``: the mean Euclidean silhouette over all rows.
 
-    The sample is an operator of its own here: it bounds the pairs, which are formed for it alone.
+    Rows are dealt into blocks of about ``block``; each pair of blocks is a task of its own and leaves a sum and a count of
+    distances per row and class. A vector that is null, has a null or another length has no distance.
     """
-    share = min(1.0, max_rows / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(key).alias("k"), F.col(label).alias("c"), F.col(vector).alias("v"))
-    other = F.broadcast(drawn.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("v").alias("v2")))
-    far = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    means = drawn.join(other, F.col("k") != F.col("k2")).groupBy("k", "c", "c2").agg(F.avg(far).alias("d"))
+    n = max(1, -(-rows.count() // block))
+    base = rows.select(F.col(key).cast("string").alias("k"), F.col(label).cast("string").alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("k IS NOT NULL")
+    base = base.withColumn("at", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = base.withColumn("x", F.col("at")).withColumn("y", every), base.withColumn("y", F.col("at")).withColumn("x", every)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ka, kb = (np.array(t.column("k").to_pylist(), object) for t in (a, b))
+        va, vb = (t.column("v").to_pylist() for t in (a, b))
+        size = lambda v: -1 if v is None or None in v else len(v)
+        la, lb = np.array([size(v) for v in va], int), np.array([size(v) for v in vb], int)
+        ca, cb = a.column("c").to_pylist(), b.column("c").to_pylist()
+        names = list(dict.fromkeys(cb))
+        place = np.array([names.index(c) for c in cb], int)
+        totals, counts, met = (np.zeros((len(ka), len(names))) for _ in range(3))
+        for length in np.unique(np.r_[la, lb]):
+            i, j = np.flatnonzero(la == length), np.flatnonzero(lb == length)
+            if length < 0 or not len(i) or not len(j):
+                continue
+            onto = np.eye(len(names))[place[j]]
+            x, y = (np.array([v[r] for r in at], float).reshape(len(at), length) for v, at in ((va, i), (vb, j)))
+            for s in range(0, len(i), 16):
+                far, other = np.sqrt(((x[s : s + 16, None] - y[None]) ** 2).sum(axis=2)), ka[i[s : s + 16], None] != kb[None, j]
+                totals[i[s : s + 16]] += np.where(other, far, 0) @ onto
+                counts[i[s : s + 16]] += other @ onto
+        for r in range(len(ka)):
+            met[r] = np.bincount(place[kb != ka[r]], minlength=len(names))
+        r, c = np.nonzero(met)
+        return pa.table({"k": pa.array(ka[r], pa.string()), "c": pa.array([ca[q] for q in r], pa.string()), "c2": pa.array([names[q] for q in c], pa.string()), "d": totals[r, c], "n": counts[r, c]})
+
+    sums = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, "k string, c string, c2 string, d double, n double")
+    means = sums.groupBy("k", "c", "c2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
     ab = means.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
-    return ab.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+    return ab.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).alias("silhouette"))

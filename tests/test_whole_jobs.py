@@ -21,3 +21,30 @@ def same_as_sql(spark, name, digits=4):
 def test_format_p_of_all_events(spark):
     shown = {r[1] for r in same_as_sql(spark, "format_p_all")}
     assert {"<0.001", "<0.01", "<0.05"} < shown
+
+
+def test_silhouette_takes_all_rows(spark):
+    import numpy as np
+
+    from tabulon.operators import vectors
+
+    draw = np.random.default_rng(5)
+    label = np.r_[np.arange(6200) % 3, [7, 7, 8]]
+    x = draw.normal(size=(len(label), 2)) + label[:, None]
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    classes, want = np.unique(label), []
+    sums = np.stack([far[:, label == c].sum(axis=1) for c in classes], axis=1)
+    sizes = np.array([(label == c).sum() for c in classes])
+    for i, c in enumerate(label):
+        own = classes == c
+        if sizes[own][0] == 1:
+            want.append(0.0)
+            continue
+        a, b = sums[i][own][0] / (sizes[own][0] - 1), (sums[i] / sizes)[~own].min()
+        want.append((b - a) / max(a, b))
+    rows = spark.createDataFrame([(i, int(c), [float(v) for v in p]) for i, (c, p) in enumerate(zip(label, x, strict=True))], "k long, c long, v array<double>")
+    assert vectors.silhouette(rows, "k", "c", "v").first()[0] == pytest.approx(np.mean(want), abs=1e-9)
+
+
+def test_silhouette_equals_sql(spark):
+    same_as_sql(spark, "silhouette")
