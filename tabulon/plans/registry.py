@@ -459,6 +459,17 @@ def fusion(spark, d):
     return _rounded(rows.select("vec_id", F.get("w", F.lit(0)).alias("gate"), F.get(vectors.fuse(e, F.reverse(e), F.col("w")), F.lit(0)).alias("first")), 5)
 
 
+@query("""
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, 0.01 + 0.98 / (1 + exp(embedding[2]::DOUBLE - embedding[1]::DOUBLE)) AS g FROM embeddings),
+u AS (SELECT vec_id, g, unnest(a) AS x, unnest(list_reverse(a)) AS y, generate_subscripts(a, 1)::INT - 1 AS dim FROM w)
+SELECT vec_id, dim, round(g * x + (1 - g) * y, 5) + 0 AS value FROM u""")
+def fusion_all(spark, d):
+    e = F.col("embedding")
+    weights = vectors.routing(F.transform(F.slice(e, 1, 2), lambda x: x.cast("double")))
+    rows = _table(spark, d, "embeddings").select("vec_id", "embedding", weights.alias("w"))
+    return _rounded(rows.select("vec_id", F.posexplode(vectors.fuse(e, F.reverse(e), F.col("w"))).alias("dim", "value")), 5)
+
+
 @query()
 def isotropy(spark, d):
     return spark.createDataFrame([(vectors.isotropy_penalty(_table(spark, d, "embeddings"), "embedding"),)], "penalty double")
@@ -503,9 +514,10 @@ def ast_graph(spark, d):
 
 @query()
 def forest_scores(spark, d):
-    rows = _table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
-    features = [f"x{i}" for i in range(8)]
-    return forest.by_fold(forest.cross_validated(rows, "vec_id", "label", features, k=3, trees=10, depth=5))
+    embeddings = _table(spark, d, "embeddings")
+    features = [f"x{i}" for i in range(embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)])
+    return forest.by_fold(forest.cross_validated(rows, "vec_id", "label", features))
 
 
 __all__ = ["oracle_sql", "queries"]

@@ -48,3 +48,21 @@ def test_silhouette_takes_all_rows(spark):
 
 def test_silhouette_equals_sql(spark):
     same_as_sql(spark, "silhouette")
+
+
+def test_fusion_gives_every_component(spark):
+    assert {r[0] for r in same_as_sql(spark, "fusion_all")} == set(range(64))
+
+
+def test_forest_takes_the_whole_job(spark, monkeypatch):
+    from tabulon.operators import forest
+
+    called = {}
+
+    def seen(df, key, label, features, k=5, trees=100, depth=10, seed=42):
+        called.update(features=len(features), k=k, trees=trees, depth=depth)
+        return spark.createDataFrame([(0, 1, 1, 0)], "vec_id int, truth int, predicted int, fold int")
+
+    monkeypatch.setattr(forest, "cross_validated", seen)
+    registry.queries()["forest_scores"](spark, SMALL).collect()
+    assert called == {"features": 64, "k": 5, "trees": 100, "depth": 10}
