@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.order import running
+
 
 def known_and_not(df: DataFrame, known: str, other: str, value) -> DataFrame:
     """Rows whose ``known`` is not null and whose ``other`` is not ``value``; null counts as different."""
@@ -63,8 +65,8 @@ def valid_classes(df: DataFrame, label: str, at_least: int) -> DataFrame:
 def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
     """``out``: the place of the label among all distinct ones, sorted as strings by code point, null as ``None``.
 
-    The window without partitions runs over the distinct labels alone.
+    Only the distinct labels are put in order, in ranges.
     """
     text = F.coalesce(F.col(label).cast("string"), F.lit("None"))
-    ids = df.select(text.alias("__label")).distinct().withColumn(out, F.row_number().over(Window.orderBy("__label")) - 1)
+    ids = running(df.select(text.alias("__label")).distinct(), [], ["__label"], out).withColumn(out, F.col(out).cast("int"))
     return df.withColumn("__label", text).join(ids, "__label").drop("__label")

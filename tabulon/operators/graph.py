@@ -1,19 +1,24 @@
 """Relational algebra of typed graphs: indexes, edges, catalogs, and one layer of message passing.
 
-Nodes are rows ``graph, node, type, pos``; edges are rows ``graph, source, target, rel, epos``. All joins and windows
-share the partitioning by ``graph``.
+Nodes are rows ``graph, node, type, pos``; edges are rows ``graph, source, target, rel, epos``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators import order
+
 
 def index_nodes(nodes: DataFrame) -> DataFrame:
-    """``type_pos``, the number of earlier nodes of the type in the graph, and ``pos0``, that of all earlier nodes."""
-    by_type = Window.partitionBy("graph", "type").orderBy("pos")
-    return nodes.withColumn("type_pos", F.row_number().over(by_type) - 1).withColumn("pos0", F.row_number().over(Window.partitionBy("graph").orderBy("pos")) - 1)
+    """``type_pos``, the number of earlier nodes of the type in the graph, and ``pos0``, that of all earlier nodes.
+
+    Nodes of the same ``pos`` are taken in the order of their ids. No graph has to pass through one task.
+    """
+    placed = order.in_ranges(nodes, ["graph", "pos", "node"])
+    typed = order.before(placed, "__part", ["graph", "type"], ["pos", "node"], "type_pos")
+    return order.before(typed, "__part", ["graph"], ["pos", "node"], "pos0").drop("__part")
 
 
 def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,7 +27,7 @@ def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Where a graph repeats a node id, all nodes stay but edges bind to the last.
     """
     indexed = index_nodes(nodes)
-    last = indexed.groupBy("graph", "node").agg(F.max_by(F.struct("type", "type_pos", "pos0"), "pos").alias("at"))
+    last = indexed.groupBy("graph", "node").agg(F.max_by(F.struct("type", "type_pos", "pos0"), "pos0").alias("at"))
     for end, name in (("source", "src"), ("target", "dst")):
         found = last.select("graph", F.col("node").alias(end), F.col("at.type").alias(f"{name}_type"), F.col("at.type_pos").alias(f"{name}_pos"), F.col("at.pos0").alias(f"{name}_pos0"))
         edges = edges.join(found, ["graph", end])

@@ -10,24 +10,18 @@ import math
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.effects import cliff_effect, eta_effect, eta_squared
+from tabulon.functions.effects import clip_above, cliff_effect, eta_effect, eta_squared
+from tabulon.operators.order import running
+from tabulon.operators.sampling import first_of_each
 from tabulon.session import ship_code
 
 
-def _ranked(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
+def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
     """``counts`` (``by``, ``value``, ``n`` and more) with ``rank``, the average rank of the value among all of its ``by`` group."""
-    ranges = max(2, ranges)
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("__cuts"))
-    placed = counts.join(cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
-    totals = placed.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
-    order = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "__range", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy(*by, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__start") + F.coalesce(F.sum("n").over(inner), F.lit(0))
-    return placed.join(starts, [*by, "__range"]).withColumn("rank", before + (F.col("n") + 1) / 2).drop("__range", "__start")
+    return running(counts, by, ["value"], "__before", F.col("n")).withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2).drop("__before")
 
 
 def _long(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
@@ -57,13 +51,13 @@ def chi_square_tail(x: Column, freedom: int) -> Column:
     return tail(x)
 
 
-def kruskal(df: DataFrame, label: str, features: list[str], classes: list[str], ranges: int = 64) -> DataFrame:
+def kruskal(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
     """``feature, n, h, p, eta2, effect`` per feature, corrected for ties. Missing values are left out feature by feature.
 
     Classes without a value of a feature do not count as groups of it. All values equal give a null ``h``.
     """
     ship_code(df.sparkSession)
-    counts = _ranked(_long(df, label, features, classes), ["feature"], ranges)
+    counts = _ranked(_long(df, label, features, classes), ["feature"])
     sums = [F.sum(F.col(f"n{i}") * F.col("rank")).alias(f"r{i}") for i in range(len(classes))]
     sizes = [F.sum(f"n{i}").alias(f"c{i}") for i in range(len(classes))]
     n = F.col("n").cast("double")
@@ -77,7 +71,7 @@ def kruskal(df: DataFrame, label: str, features: list[str], classes: list[str],
     return out.select("feature", "n", "h", "p", "eta2", eta_effect(F.col("eta2")).alias("effect"))
 
 
-def mann_whitney(df: DataFrame, label: str, features: list[str], classes: list[str], ranges: int = 64) -> DataFrame:
+def mann_whitney(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
     """``feature, first, second, n1, n2, u, z, delta, effect`` for every unordered pair of classes, in the order given.
 
     U is the first class's; z is the normal approximation with ties and continuity corrected; delta is Cliff's, from the
@@ -87,7 +81,7 @@ def mann_whitney(df: DataFrame, label: str, features: list[str], classes: list[s
     names = list(combinations(range(len(classes)), 2))
     pairs = F.explode(F.array(*[F.struct(F.lit(classes[i]).alias("first"), F.lit(classes[j]).alias("second"), F.col(f"n{i}").alias("a"), F.col(f"n{j}").alias("b")) for i, j in names]))
     rows = counts.select("feature", "value", pairs.alias("p")).select("feature", "value", "p.*").withColumn("n", F.col("a") + F.col("b")).filter("n > 0")
-    ranked = _ranked(rows, ["feature", "first", "second"], ranges)
+    ranked = _ranked(rows, ["feature", "first", "second"])
     n = F.col("n").cast("double")
     out = ranked.groupBy("feature", "first", "second").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(n * n * n - n).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -133,9 +127,31 @@ def standardise(df: DataFrame, features: list[str]) -> DataFrame:
     return joined.withColumns(scaled).select(*df.columns)
 
 
+def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """``value``: the exact quantile, interpolated between neighbours, as one row; null if there is no value.
+
+    Distinct values are counted and ranked in ranges, so neither the rows nor the distinct values meet in one task.
+    """
+    counts = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(counts, [], ["v"], "before", F.col("n"))
+    total = ranked.agg(F.sum("n").alias("total"))  # one row
+    at = F.lit(q) * (F.col("total") - 1)
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    found = ranked.crossJoin(F.broadcast(total)).agg(F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("low"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("high"), F.max(at - F.floor(at)).alias("share"))
+    return found.select((F.col("low") + F.col("share") * (F.col("high") - F.col("low"))).alias("value"))
+
+
 def clip_at_quantile(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
     """The column capped at its exact quantile; nulls stay."""
-    from tabulon.functions.effects import clip_above
-
-    cap = df.agg(F.percentile(column, q).alias("__cap"))  # one row
+    cap = quantile(df, column, q).withColumnRenamed("value", "__cap")  # one row
     return df.crossJoin(F.broadcast(cap)).withColumn(column, clip_above(F.col(column).cast("double"), F.col("__cap"))).drop("__cap")
+
+
+def significant(table: DataFrame) -> DataFrame:
+    """The pairs of ``pairwise_table`` that are significant; none of an empty table."""
+    return table.filter(F.col("significant") == "Yes")
+
+
+def capped(df: DataFrame, label: str, key: str, most: int = 3000, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows of each class, in seeded order: the optional sample before pairwise tests, which do not need it here."""
+    return first_of_each(df, [label], F.lit(most), key, seed)
