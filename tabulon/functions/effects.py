@@ -24,7 +24,8 @@ def eta_squared(h: Column, groups: Column, rows: Column) -> Column:
 
 
 def format_p(p: Column) -> Column:
-    return F.when(p < 0.001, "<0.001").when(p < 0.01, "<0.01").when(p < 0.05, "<0.05").otherwise(F.format_number(p, 3))
+    """A p-value below one of three bounds as that bound, else to three places."""
+    return F.when(p < 0.001, "p < 0.001").when(p < 0.01, "p < 0.01").when(p < 0.05, "p < 0.05").otherwise(F.concat(F.lit("p = "), F.format_number(p, 3)))
 
 
 def evidence(accuracy: Column, features: Column) -> Column:

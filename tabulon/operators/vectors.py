@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.session import ship_code
+
 
 def l2_normalise(v: Column) -> Column:
     """The vector over its length, which counts as 1e-12 at least."""
@@ -24,20 +28,51 @@ def mean_pool(rows: DataFrame, group: str, vector: str, mask: str) -> DataFrame:
     return long.groupBy(group, "dim").agg((F.sum(F.col("__x").cast("double") * F.col("__m")) / F.greatest(F.sum("__m"), F.lit(1e-6))).alias("value"))
 
 
+def _rectangle(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of ``width`` numbers, and which of these are there; nulls and what a shorter vector lacks are 0."""
+    values, there = np.zeros((len(vectors), width)), np.zeros((len(vectors), width))
+    for row, v in enumerate(vectors):
+        if v.is_valid:
+            x = v.values.to_numpy(zero_copy_only=False).astype(float)
+            values[row, : len(x)], there[row, : len(x)] = np.where(np.isnan(x), 0, x), ~np.isnan(x)
+    return values, there
+
+
+def _products(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``i, j, n, xy, sx, sy`` for each pair of places: count, sum of products and sums over the rows that have both.
+
+    A task multiplies a block of rows at a time and leaves one matrix, so the shuffle is that of a few matrices, whatever the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, 0, 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                sides = [batch.column(k).slice(at, 1000) for k in (0, 1)]
+                widths = [max([old, *(len(v) for v in side if v.is_valid)]) for side, old in zip(sides, total.shape[1:], strict=True)]
+                if [*total.shape[1:]] != widths:
+                    total = np.pad(total, [(0, 0), *((0, w - old) for w, old in zip(widths, total.shape[1:], strict=True))])
+                (x, mx), (y, my) = (_rectangle(side, w) for side, w in zip(sides, widths, strict=True))
+                total += np.stack([mx.T @ my, x.T @ y, x.T @ my, mx.T @ y])
+        i, j = np.nonzero(total[0])
+        for at in range(0, len(i), 10_000):
+            cells = i[at : at + 10_000], j[at : at + 10_000]
+            yield pa.record_batch([pa.array(c.astype(np.int32)) for c in cells] + [pa.array(t[cells]) for t in total], names=["i", "j", "n", "xy", "sx", "sy"])
+
+    ship_code(rows.sparkSession)
+    parts = rows.select(F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b")).mapInArrow(run, "i int, j int, n double, xy double, sx double, sy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "sx", "sy")])
+
+
 def gram(rows: DataFrame, vector: str) -> DataFrame:
-    """``i, j, value``: the uncentred covariance of a vector column, each row giving its products without a join."""
-    n = rows.filter(F.col(vector).isNotNull()).agg(F.count(F.lit(1)).alias("__n"))
-    outer = rows.select(F.posexplode(vector).alias("i", "x"), vector).select("i", "x", F.posexplode(vector).alias("j", "y"))
-    sums = outer.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("s"))
-    return sums.crossJoin(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("__n")).alias("value"))
+    """``i, j, value``: the uncentred covariance of a vector column over the number of its vectors. Null entries count as 0."""
+    n = rows.filter(F.col(vector).isNotNull()).agg(F.count(F.lit(1)).alias("__n"))  # one row
+    return _products(rows, vector, vector).crossJoin(F.broadcast(n)).select("i", "j", (F.col("xy") / F.col("__n")).alias("value"))
 
 
 def cross_covariance(rows: DataFrame, a: str, b: str, eps: float = 1e-8) -> DataFrame:
-    """``i, j, value``: centred cross-covariance over n - 1 + eps, from sums of one pass."""
-    outer = rows.select(F.posexplode(a).alias("i", "x"), b).select("i", "x", F.posexplode(b).alias("j", "y"))
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    sums = outer.groupBy("i", "j").agg(F.sum(x * y).alias("xy"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
-    return sums.select("i", "j", ((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1 + F.lit(eps))).alias("value"))
+    """``i, j, value``: centred cross-covariance over n - 1 + eps, from sums of one pass; a pair without rows has no cell."""
+    return _products(rows, a, b).select("i", "j", ((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1 + F.lit(eps))).alias("value"))
 
 
 def cross_penalty(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -45,31 +80,39 @@ def cross_penalty(rows: DataFrame, a: str, b: str) -> DataFrame:
     return cross_covariance(rows, a, b).agg(F.avg(F.col("value") * F.col("value")).alias("penalty"))
 
 
-def isotropy_penalty(rows: DataFrame, vector: str, eps: float = 1e-8) -> float:
-    """Variance of the eigenvalues of the normalised vectors' covariance; only that d x d matrix reaches the driver."""
-    cells = gram(rows.select(l2_normalise(F.col(vector)).alias("v")), "v").collect()
-    if not cells:
-        return 0.0
-    d = 1 + max(r["i"] for r in cells)
-    matrix = np.zeros((d, d))
-    for r in cells:
-        matrix[r["i"], r["j"]] = r["value"]
-    return float(np.linalg.eigvalsh(matrix + eps * np.eye(d)).var())
+def isotropy_penalty(rows: DataFrame, vector: str) -> DataFrame:
+    """``penalty``: the variance of the eigenvalues of the normalised vectors' covariance, 0 without vectors.
+
+    The mean of the eigenvalues of a symmetric d x d matrix is its trace over d, the mean of their squares the sum of all squared
+    entries over d; so no matrix has to be gathered. Adding a constant to the diagonal would not change the variance.
+    """
+    cells = gram(rows.select(l2_normalise(F.col(vector)).alias("v")), "v")
+    sums = cells.agg(F.count_distinct("i").alias("d"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.sum(F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(0.0)).alias("trace"))
+    mean = F.col("trace") / F.col("d")
+    return sums.select(F.when(F.col("d") > 0, F.greatest(F.lit(0.0), F.col("squares") / F.col("d") - mean * mean)).otherwise(0.0).alias("penalty"))
 
 
 def contrastive(rows: DataFrame, batch: str, key: str, a: str, b: str, scale: float = 1 / 0.07) -> DataFrame:
     """``batch, loss``: symmetric cross-entropy of in-batch similarities with the diagonal as target.
 
-    A batch's own rows are paired, so the work is rows times batch size; the batch size is the caller's constant.
+    A batch's own rows are paired in one task, 1,000 of them with all others at a time; a batch, whose size is the caller's constant, must
+    fit its memory. Rows with a null vector, and batches without others, have no loss. ``scale`` counts as 100 at most.
     """
-    left = rows.select(batch, F.col(key).alias("i"), l2_normalise(F.col(a)).alias("x"))
-    right = rows.select(batch, F.col(key).alias("j"), l2_normalise(F.col(b)).alias("y"))
-    capped = min(scale, 100.0)
-    logits = left.join(right, batch).select(batch, "i", "j", (dot(F.col("x"), F.col("y")) * capped).alias("s"))
-    for side in ("i", "j"):
-        top = F.max("s").over(Window.partitionBy(batch, side))
-        logits = logits.withColumn(f"l{side}", top + F.log(F.sum(F.exp(F.col("s") - top)).over(Window.partitionBy(batch, side))))
-    return logits.filter("i = j").groupBy(batch).agg(((F.avg(F.col("li") - F.col("s")) + F.avg(F.col("lj") - F.col("s"))) / 2).alias("loss"))
+    capped, kind = min(scale, 100.0), rows.schema[batch].dataType.simpleString()
+
+    def loss(table: pa.Table) -> pa.Table:
+        x, y = (_rectangle(c, max(len(v) for v in c))[0] for c in (table.column(k).combine_chunks() for k in ("x", "y")))
+        total = 0.0
+        for p, q in ((x, y), (y, x)):
+            for at in range(0, len(p), 1000):
+                s = capped * (p[at : at + 1000] @ q.T)
+                top = s.max(axis=1)
+                total += float((top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(s)), at + np.arange(len(s))]).sum())
+        return pa.table({batch: table.column("g").slice(0, 1), "loss": pa.array([total / 2 / len(x)])})
+
+    ship_code(rows.sparkSession)
+    unit = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.size(a) > 0) & (F.size(b) > 0)).select(F.col(batch).alias("g"), l2_normalise(F.col(a)).alias("x"), l2_normalise(F.col(b)).alias("y"))
+    return unit.groupBy("g").applyInArrow(loss, f"{batch} {kind}, loss double")
 
 
 def total_loss(contrastive_loss: float, isotropy: float, cross: float, penalty_weight: float, cross_scale: float = 0.5, eps: float = 1e-8, use_isotropy: bool = True, use_cross: bool = True) -> float:

@@ -25,8 +25,9 @@ def resolve(spark: SparkSession, root: str, name: str) -> str:
 
 
 def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """``line_no, line``: the place of a line in its partition order, which rises through each file, and its text."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """``line_no, line``: the place of a line (file, start of the split in it, number in the split), which orders all lines, and its text."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("line_no"), F.col("value").alias("line"))
     return lines.orderBy("line_no").limit(first) if first is not None else lines
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabulon.session import ship_code
 
@@ -23,19 +26,34 @@ def _step(best, bad, loss, patience: int):
 
 
 def stop_epochs(losses: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
-    """``run, best_loss, stopped_at``: the epoch at which each run stops, null if it does not. A run's epochs are few."""
-    first = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
-
-    def step(a: Column, x: Column) -> Column:
-        score = -x["loss"]
-        better = a["best"].isNull() | F.isnan(score) | F.isnan(a["best"]) | (score >= a["best"] + DELTA)
-        bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        moved = F.struct(F.when(better, score).otherwise(a["best"]).alias("best"), bad.alias("bad"), F.when(bad >= patience, x["epoch"]).alias("stop"))
-        return F.when(a["stop"].isNotNull(), a).otherwise(moved)
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("epoch"), F.col(loss).cast("double").alias("loss"))))
-    out = losses.filter(F.col(loss).isNotNull()).groupBy(run).agg(F.aggregate(ordered, first, step).alias("s"))
-    return out.select(run, (-F.col("s.best")).alias("best_loss"), F.col("s.stop").alias("stopped_at"))
+    """``run, best_loss, stopped_at``: the epoch at which each run stops, null if it does not. Null losses are passed over.
+
+    The epochs of a run stream through one task in order; only the state of the fold is held.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None  # run, best score, epochs without improvement, where it stopped
+        for batch in batches:
+            ended = []
+            for name, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or name != state[0]:
+                    ended += [state] if state else []
+                    state = [name, None, 0, None]
+                if state[3] is None:
+                    state[1], state[2], stop = _step(state[1], state[2], x, patience)
+                    state[3] = at if stop else None
+            yield rows(ended)
+        if state:
+            yield rows([state])
+
+    def rows(ended: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{run: r[0], "best_loss": -r[1], "stopped_at": r[3]} for r in ended], schema)
+
+    ship_code(losses.sparkSession)
+    kind = T.StructType([T.StructField(run, losses.schema[run].dataType), T.StructField("best_loss", T.DoubleType()), T.StructField("stopped_at", T.LongType())])
+    schema = to_arrow_schema(kind)
+    ordered = losses.filter(F.col(loss).isNotNull()).select(run, F.col(epoch).cast("long").alias("__epoch"), F.col(loss).cast("double").alias("__loss"))
+    return ordered.repartition(run).sortWithinPartitions(run, "__epoch", "__loss").mapInArrow(fold, kind)
 
 
 def stop_stream(losses: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
