@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.session import ship_code
 
@@ -45,3 +47,30 @@ def embed_texts(df: DataFrame, text: str, embedder: Embedder, batch: int = 256,
     distinct = df.filter(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
     vectors = distinct.mapInPandas(run, f"__text string, {out} array<float>")
     return df.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
+#: From texts to the token ids of each.
+TokenEncoder = Callable[[list[str]], list[list[int]]]
+
+
+def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int = 512, pad: int = 0, batch: int = 128, out: str = "input_ids") -> DataFrame:
+    """``df`` with the token ids of ``text``, cut at ``max_length`` and padded to the longest of their batch; a null text counts as empty."""
+    ship_code(df.sparkSession)
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                ids = [list(x)[:max_length] for x in encoder([t or "" for t in part.column(place).to_pylist()])]
+                width = max(map(len, ids), default=0)
+                yield pa.record_batch([*part.columns, pa.array([x + [pad] * (width - len(x)) for x in ids], pa.list_(pa.int32()))], names=[*part.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def hashing_tokens(size: int = 50_000) -> TokenEncoder:
+    """Words hashed to ids from 1 on, for use where no tokenizer is at hand."""
+    import zlib
+
+    return lambda texts: [[1 + zlib.crc32(w.encode()) % size for w in t.split()] for t in texts]

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.effects import evidence
 from tabulon.operators import clean, evaluation, forest, ranks, sampling
 from tabulon.sources import records
 
@@ -41,10 +42,10 @@ def analyse(df: DataFrame, key: str, label: str, classes: list[str], features: l
 def report(tables: dict[str, DataFrame], top: int = 5) -> str:
     """A short text with what the tables say; nothing in it is assumed."""
     kruskal = {r["feature"]: r for r in tables["kruskal"].collect()}
-    folds, scores = tables["folds"].first(), tables["scores"].first()
+    scores = tables["scores"].first()
     strong = sum(r["effect"] in ("Large", "Medium") for r in kruskal.values())
-    accuracy = folds["accuracy_mean"]
-    grade = "strong" if accuracy >= 0.40 and strong >= 3 else "moderate" if accuracy >= 0.25 else "weak"
+    folds = tables["folds"].withColumn("grade", evidence(F.col("accuracy_mean"), F.lit(strong))).first()
+    accuracy, grade = folds["accuracy_mean"], folds["grade"]
     missing = ", ".join(f"{r['column_name']} {r['n_null']}" for r in tables["missing"].collect()) or "none"
     lines = ["# Structural differences between classes", "", f"Rows: {scores['n']}; missing values: {missing}.", f"Features with a large or medium effect: {strong} of {len(kruskal)}; p < 0.001 for {sum(r['p'] is not None and r['p'] < 0.001 for r in kruskal.values())}."]
     lines.append(f"Accuracy {accuracy:.3f} (deviation {folds['accuracy_std']:.3f}), macro-F1 {scores['macro_f1']:.3f}, chance {scores['baseline']:.3f}: {grade} evidence.")
@@ -69,15 +70,32 @@ def few_shot(df: DataFrame, key: str, label: str, tasks: int = 50, max_shot: int
 
 
 def write_few_shot(labels: DataFrame, parts: DataFrame, episodes: DataFrame, folder: str, task: str) -> list[str]:
-    """Two JSON files on the driver, named by classes and tasks. The rows collected are the result itself."""
-    ids = {str(r[0]): r[1] for r in labels.collect()}
-    rows = parts.collect()
-    base = {"label_map": ids, "id_map": {str(v): k for k, v in ids.items()}} | {f"{p}_indices": sorted(r[0] for r in rows if r["part"] == p) for p in ("train", "test")}
-    drawn: dict[int, dict] = {}
-    for r in episodes.orderBy("task_id", "k", "class_id", "rank").collect():
-        drawn.setdefault(r["task_id"], {}).setdefault(f"{r['k']}_shot", {}).setdefault(str(r["class_id"]), []).append(r["member"])
-    files = {f"{len(ids)}way_base_split_{task}.json": base, f"{len(ids)}way_{len(drawn)}tasks_{task}.json": [{"task_id": t, "data": d} for t, d in sorted(drawn.items())]}
+    """Two JSON files, named by classes and tasks. Rows reach the driver a partition at a time, on their way to the file."""
+    ids = {str(r[0]): r[1] for r in labels.collect()}  # one a class
+    key, tasks = parts.columns[0], episodes.agg(F.count_distinct("task_id")).first()[0]
+    files = [f"{len(ids)}way_base_split_{task}.json", f"{len(ids)}way_{tasks}tasks_{task}.json"]
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for name, content in files.items():
-        (Path(folder) / name).write_text(json.dumps(content, ensure_ascii=False), encoding="utf-8")
+    with (Path(folder) / files[0]).open("w", encoding="utf-8") as out:
+        out.write(json.dumps({"label_map": ids, "id_map": {str(v): k for k, v in ids.items()}}, ensure_ascii=False)[:-1])
+        for part in ("train", "test"):
+            chosen = parts.filter(F.col("part") == part).select(key).orderBy(key)
+            out.write(f', "{part}_indices": [')
+            out.writelines(("" if n == 0 else ", ") + json.dumps(r[0]) for n, r in enumerate(chosen.toLocalIterator()))
+            out.write("]")
+        out.write("}")
+    drawn = episodes.groupBy("task_id", "k", "class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "member"))), lambda x: x["member"]).alias("m"))
+    per_task = drawn.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k", "class_id", "m"))).alias("sets")).orderBy("task_id")
+    with (Path(folder) / files[1]).open("w", encoding="utf-8") as out:
+        out.write("[")
+        for n, r in enumerate(per_task.toLocalIterator()):
+            data: dict[str, dict] = {}
+            for k, class_id, members in r["sets"]:
+                data.setdefault(f"{k}_shot", {})[str(class_id)] = list(members)
+            out.write(("" if n == 0 else ", ") + json.dumps({"task_id": r["task_id"], "data": data}, ensure_ascii=False))
+        out.write("]")
     return sorted(files)
+
+
+def few_shot_tasks(df: DataFrame, key: str, columns: tuple[str, ...], folder: str, tasks: int = 50, max_shot: int = 10, seed: int = 42) -> list[str]:
+    """The few-shot files of every label column in turn."""
+    return [name for c in columns for name in write_few_shot(*few_shot(df, key, c, tasks, max_shot, seed), folder, c)]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions import code, effects
-from tabulon.operators import clean, evaluation, forest, graph, ranks, sampling, vectors
+from tabulon.functions import code, effects, embed
+from tabulon.operators import clean, encoder, evaluation, forest, graph, heads, ranks, sampling, vectors
+from tabulon.plans import graph_dataset, ingest
 from tabulon.sources import graphml, syntax
 from tabulon.streaming import early_stop
 
@@ -237,14 +239,15 @@ def clip99(spark, d):
     return _rounded(ranks.clip_at_quantile(_table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars"))
 
 
-@query("""SELECT event_id, CASE WHEN value / 1000 < 0.001 THEN '<0.001' WHEN value / 1000 < 0.01 THEN '<0.01' WHEN value / 1000 < 0.05 THEN '<0.05' ELSE printf('%.3f', value / 1000) END AS shown FROM events WHERE value IS NOT NULL AND value < 50""")
+@query("""SELECT event_id, CASE WHEN value / 1000 < 0.001 THEN 'p < 0.001' WHEN value / 1000 < 0.01 THEN 'p < 0.01' WHEN value / 1000 < 0.05 THEN 'p < 0.05' ELSE printf('p = %.3f', value / 1000) END AS shown FROM events WHERE value IS NOT NULL""")
 def format_p(spark, d):
-    return _table(spark, d, "events").filter("value < 50").select("event_id", effects.format_p(F.col("value") / 1000).alias("shown"))
+    return _table(spark, d, "events").filter("value IS NOT NULL").select("event_id", effects.format_p(F.col("value") / 1000).alias("shown"))
 
 
-@query("""SELECT event_id, CASE WHEN value / 1000 < 0.001 THEN '<0.001' WHEN value / 1000 < 0.01 THEN '<0.01' WHEN value / 1000 < 0.05 THEN '<0.05' ELSE printf('%.3f', value / 1000) END AS shown FROM events WHERE value IS NOT NULL""")
-def format_p_all(spark, d):
-    return _table(spark, d, "events").filter("value IS NOT NULL").select("event_id", effects.format_p(F.col("value") / 1000).alias("shown"))
+@query(f"SELECT event_id, event_type FROM events WHERE event_type IN ({', '.join(map(repr, EVENT_TYPES))}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) <= 300")
+def capped_sample(spark, d):
+    rows = _table(spark, d, "events").select("event_id", "event_type").filter(F.col("event_type").isin(EVENT_TYPES))
+    return ranks.capped(rows, "event_type", "event_id", 300)
 
 
 # Evaluation: the language told from its letters, against the language given
@@ -314,6 +317,28 @@ def obfuscate(spark, d):
     return _table(spark, d, "part").select("p_partkey", code.obfuscate(text, "python").alias("hidden"))
 
 
+_RUNS_SQL = r"regexp_extract_all(text, '([\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+)')"
+
+
+def _words_sql(language: str) -> str:
+    return ", ".join(f"'{w}'" for w in code.RESERVED[language])
+
+
+@query(f"""
+SELECT doc_id, md5(coalesce(array_to_string(list_sort(list_distinct(list_filter({_RUNS_SQL}, lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND w NOT IN ({_words_sql("python")})))), ' '), '')) AS names FROM documents WHERE text IS NOT NULL""")
+def document_identifiers(spark, d):
+    docs = _table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(F.array_join(F.array_sort(code.identifiers(F.col("text"), "python")), " ").cast("binary")).alias("names"))
+
+
+@query(f"""
+SELECT doc_id, md5(array_to_string(list_transform({_RUNS_SQL}, lambda w: CASE WHEN regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND w NOT IN ({_words_sql("java")})
+  THEN 'h' || printf('%08x', list_reduce(list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT)) ELSE w END), '')) AS hidden FROM documents WHERE text IS NOT NULL""")
+def document_obfuscation(spark, d):
+    docs = _table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(code.obfuscate(F.col("text"), "java").cast("binary")).alias("hidden"))
+
+
 @query("""
 SELECT p_partkey, concat_ws(', ', 'p_brand=''' || replace(p_brand, '''', '\\''') || '''', 'p_name=''' || replace(replace(p_name, chr(10), '\\n'), '''', '\\''') || '''', 'p_size=''' || p_size || '''') AS shown,
   '[' || p_type || '] p_brand=''' || p_brand || '''' AS labelled, CASE WHEN length(p_name) > 20 THEN left(p_name, 20) || '...' ELSE p_name END AS short FROM part""")
@@ -334,13 +359,13 @@ def substring_counts(spark, d):
 _NODES_SQL = """
 WITH nodes AS (
   SELECT n_nationkey AS graph, 'n' || n_nationkey AS node, 'nation' AS type, 0::BIGINT AS pos FROM nation UNION ALL
-  SELECT c_nationkey, 'c' || c_custkey, 'customer', c_custkey FROM customer UNION ALL
-  SELECT c_nationkey, 'o' || o_orderkey, 'order', 10000000000 + o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
+  SELECT c_nationkey, 'c' || c_custkey, 'customer', 10000000000 + c_custkey FROM customer UNION ALL
+  SELECT c_nationkey, 'o' || o_orderkey, 'order', 20000000000 + o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
 edges AS (
   SELECT c_nationkey AS graph, 'c' || c_custkey AS source, 'n' || c_nationkey AS target, 'lives_in' AS rel, c_custkey AS epos FROM customer UNION ALL
   SELECT c_nationkey, 'o' || o_orderkey, 'c' || c_custkey, 'placed_by', 10000000000 + o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL
   SELECT s_nationkey, 's' || s_suppkey, 'n' || s_nationkey, 'lives_in', 20000000000 + s_suppkey FROM supplier),
-placed AS (SELECT *, row_number() OVER (PARTITION BY graph, type ORDER BY pos) - 1 AS type_pos, row_number() OVER (PARTITION BY graph ORDER BY pos) - 1 AS pos0 FROM nodes)
+placed AS (SELECT *, row_number() OVER (PARTITION BY graph, type ORDER BY pos, node) - 1 AS type_pos, row_number() OVER (PARTITION BY graph ORDER BY pos, node) - 1 AS pos0 FROM nodes)
 """
 
 
@@ -351,8 +376,8 @@ def _star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     late = lambda n, key: (F.lit(n * 10_000_000_000) + F.col(key)).cast("long")
     nodes = [
         nation.select(F.col("n_nationkey").alias("graph"), name("n", "n_nationkey").alias("node"), F.lit("nation").alias("type"), F.lit(0).cast("long").alias("pos")),
-        customer.select("c_nationkey", name("c", "c_custkey"), F.lit("customer"), "c_custkey"),
-        orders.select("c_nationkey", name("o", "o_orderkey"), F.lit("order"), late(1, "o_orderkey")),
+        customer.select("c_nationkey", name("c", "c_custkey"), F.lit("customer"), late(1, "c_custkey")),
+        orders.select("c_nationkey", name("o", "o_orderkey"), F.lit("order"), late(2, "o_orderkey")),
     ]
     edges = [
         customer.select(F.col("c_nationkey").alias("graph"), name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target"), F.lit("lives_in").alias("rel"), F.col("c_custkey").alias("epos")),
@@ -449,30 +474,28 @@ def contrastive(spark, d):
     return _rounded(vectors.contrastive(rows, "batch", "vec_id", "embedding", "other", scale=10.0), 5)
 
 
-@query("""
-WITH w AS (SELECT vec_id, embedding AS a, list_reverse(embedding) AS b, 0.01 + 0.98 / (1 + exp(embedding[2]::DOUBLE - embedding[1]::DOUBLE)) AS g FROM embeddings)
-SELECT vec_id, round(g, 5) AS gate, round(g * a[1]::DOUBLE + (1 - g) * b[1]::DOUBLE, 5) AS first FROM w""")
-def fusion(spark, d):
-    e = F.col("embedding")
-    weights = vectors.routing(F.transform(F.slice(e, 1, 2), lambda x: x.cast("double")))
-    rows = _table(spark, d, "embeddings").select("vec_id", "embedding", weights.alias("w"))
-    return _rounded(rows.select("vec_id", F.get("w", F.lit(0)).alias("gate"), F.get(vectors.fuse(e, F.reverse(e), F.col("w")), F.lit(0)).alias("first")), 5)
-
-
 @query("""
 WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, 0.01 + 0.98 / (1 + exp(embedding[2]::DOUBLE - embedding[1]::DOUBLE)) AS g FROM embeddings),
 u AS (SELECT vec_id, g, unnest(a) AS x, unnest(list_reverse(a)) AS y, generate_subscripts(a, 1)::INT - 1 AS dim FROM w)
 SELECT vec_id, dim, round(g * x + (1 - g) * y, 5) + 0 AS value FROM u""")
-def fusion_all(spark, d):
+def fusion(spark, d):
     e = F.col("embedding")
     weights = vectors.routing(F.transform(F.slice(e, 1, 2), lambda x: x.cast("double")))
     rows = _table(spark, d, "embeddings").select("vec_id", "embedding", weights.alias("w"))
     return _rounded(rows.select("vec_id", F.posexplode(vectors.fuse(e, F.reverse(e), F.col("w"))).alias("dim", "value")), 5)
 
 
-@query()
+@query(f"""
+WITH u AS (SELECT vec_id, dim, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12) AS x FROM {_UNNESTED}),
+g AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS v FROM u a JOIN u b USING (vec_id) GROUP BY a.dim, b.dim)
+SELECT round(sum(v * v) / count(DISTINCT i) - pow(sum(CASE WHEN i = j THEN v ELSE 0 END) / count(DISTINCT i), 2), 9) AS penalty FROM g""")
 def isotropy(spark, d):
-    return spark.createDataFrame([(vectors.isotropy_penalty(_table(spark, d, "embeddings"), "embedding"),)], "penalty double")
+    return _rounded(vectors.isotropy_penalty(_table(spark, d, "embeddings"), "embedding"), 9)
+
+
+@query("SELECT max(len(embedding))::INT AS width FROM embeddings")
+def feature_width(spark, d):
+    return spark.createDataFrame([(graph_dataset.feature_width(_table(spark, d, "embeddings"), "embedding"),)], "width int")
 
 
 @query("""
@@ -487,29 +510,141 @@ def silhouette(spark, d):
 # Folds, trees, forests
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, value / 10 AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE value IS NOT NULL),
+f AS (
+  SELECT user_id, rn, -loss AS best, 0 AS bad, NULL::BIGINT AS stop FROM e WHERE rn = 1 UNION ALL
+  SELECT e.user_id, e.rn, CASE WHEN -loss >= best + 1e-7::DOUBLE THEN -loss ELSE best END, CASE WHEN -loss >= best + 1e-7::DOUBLE THEN 0 ELSE bad + 1 END,
+    CASE WHEN NOT -loss >= best + 1e-7::DOUBLE AND bad + 1 >= 3 THEN event_id END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1 WHERE f.stop IS NULL)
+SELECT user_id, -arg_max(best, rn) AS best_loss, max(stop) AS stopped_at FROM f GROUP BY user_id""")
 def early_stopping(spark, d):
     events = _table(spark, d, "events").select("user_id", "event_id", (F.col("value") / 10).alias("loss"))
     return early_stop.stop_epochs(events, "user_id", "event_id", "loss", patience=3)
 
 
-_XML = f"""<graphml xmlns="{graphml.NAMESPACE}"><graph>
-<node id="1"><data key="labelV">CALL</data><data key="name">it's</data><data key="code">a
-b</data></node><node id="2"><data key="code"></data></node><node id="3"><data key="labelV">LITERAL</data></node>
-<edge source="1" target="3"><data key="labelE">ARG</data><data key="order">1</data></edge><edge source="1" target="9"/></graph></graphml>"""
+def _part_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A GraphML text for each part: a call, a literal, a node without label and another call; two edges between them and a dangling one."""
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pieces = [
+        F.lit(f'<graphml xmlns="{graphml.NAMESPACE}"><graph><node id="1"><data key="labelV">CALL</data><data key="name">'),
+        safe("p_name"),
+        F.lit('</data><data key="code">it\'s\n'),
+        safe("p_type"),
+        F.lit('</data></node><node id="2"><data key="labelV">LITERAL</data><data key="order">'),
+        F.col("p_size").cast("string"),
+        F.lit('</data></node><node id="3"><data key="code"></data></node><node id="4"><data key="labelV">CALL</data></node>'),
+        F.lit('<edge source="4" target="2"><data key="labelE">ARG</data><data key="order">'),
+        F.col("p_size").cast("string"),
+        F.lit('</data></edge><edge source="1" target="3"/><edge source="1" target="9"/></graph></graphml>'),
+    ]
+    return graphml.parse(_table(spark, d, "part").select("p_partkey", F.concat(*pieces).alias("xml")), "xml")
 
 
-@query()
+@query("""
+SELECT p_partkey AS graph, '4' AS source, '2' AS target, 'ARG' AS rel, 'CALL' AS src_type, 'LITERAL' AS dst_type, 1 AS src_pos, 0 AS dst_pos, '[ARG] order=''' || p_size || '''' AS labelled_text FROM part UNION ALL
+SELECT p_partkey, '1', '3', 'edge', 'CALL', 'UNKNOWN', 0, 0, '[edge]' FROM part""")
 def xml_graph(spark, d):
-    parsed = graphml.parse(spark.createDataFrame([(1, _XML), (2, ""), (3, "<broken")], "idx long, xml string"), "xml")
-    nodes, edges = graphml.node_rows(parsed, "idx"), graphml.edge_rows(parsed, "idx")
+    parsed = _part_graphs(spark, d)
+    nodes, edges = graphml.node_rows(parsed, "p_partkey"), graphml.edge_rows(parsed, "p_partkey")
     return graph.typed_edges(nodes, edges).select("graph", "source", "target", "rel", "src_type", "dst_type", "src_pos", "dst_pos", "labelled_text")
 
 
-@query()
+@query(r"""
+SELECT p_partkey AS graph, 0 AS pos, 'CALL' AS type, 'code=''it\''s\n' || p_type || ''', name=''' || p_name || '''' AS text FROM part UNION ALL
+SELECT p_partkey, 1, 'LITERAL', 'order=''' || p_size || '''' FROM part UNION ALL SELECT p_partkey, 2, 'UNKNOWN', '' FROM part UNION ALL SELECT p_partkey, 3, 'CALL', '' FROM part""")
+def xml_nodes(spark, d):
+    return graphml.node_rows(_part_graphs(spark, d), "p_partkey").select("graph", "pos", "type", "text")
+
+
+@query("""
+SELECT p_partkey AS graph, 0 AS epos, 3 AS src, 1 AS dst, '[ARG] order=''' || p_size || '''' AS text FROM part UNION ALL SELECT p_partkey, 1, 0, 2, '[edge]' FROM part""")
+def homo_edges(spark, d):
+    parsed = _part_graphs(spark, d)
+    _, edges = graph_dataset.HomoDataset.shape(graphml.node_rows(parsed, "p_partkey"), graphml.edge_rows(parsed, "p_partkey"))
+    return edges.select("graph", "epos", "src", "dst", "text")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 7 AS n FROM part),
+k AS (SELECT p_partkey, n, unnest(range(0, n)) AS i FROM p)
+SELECT p_partkey, pos::BIGINT AS pos, label, parent::BIGINT AS parent, field FROM (
+  SELECT p_partkey, 0 AS pos, '[Module]' AS label, NULL AS parent, NULL AS field FROM p UNION ALL SELECT p_partkey, 1, '[Assign]', 0, 'body' FROM p UNION ALL
+  SELECT p_partkey, 2, '[Name] id=''x''', 1, 'targets' FROM p UNION ALL SELECT p_partkey, 3, '[Store]', 2, 'ctx' FROM p UNION ALL SELECT p_partkey, 4, '[List]', 1, 'value' FROM p UNION ALL
+  SELECT p_partkey, 5 + i, '[Constant] value=''' || i || '''', 4, 'elts' FROM k UNION ALL SELECT p_partkey, 5 + n, '[Load]', 4, 'ctx' FROM p)""")
 def ast_graph(spark, d):
-    part = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("def f(x):\n    return g(x, '"), "p_name", F.lit("')\n")).alias("code"))
-    return syntax.tree(part, "p_partkey", "code")
+    numbers = F.transform(F.sequence(F.lit(0), F.col("p_size") % 7), lambda i: i.cast("string"))
+    code_text = F.concat(F.lit("x = ["), F.array_join(F.slice(numbers, F.lit(1), F.size(numbers) - 1), ", "), F.lit("]\n"))
+    return syntax.tree(_table(spark, d, "part").select("p_partkey", code_text.alias("code")), "p_partkey", "code")
+
+
+def _encoder() -> encoder.GraphEncoder:
+    linear = lambda weight, bias: encoder.Linear(np.array(weight, float), np.array(bias, float))
+    conv = lambda weight, bias, own: encoder.Convolution(linear(weight, bias), np.array(own, float))
+    lives, placed = ("customer", "lives_in", "nation"), ("order", "placed_by", "customer")
+    return encoder.GraphEncoder(
+        {"nation": linear([[1, 0], [0, 1]], [0.1, 0]), "customer": linear([[0.5, -0.5], [1, 0]], [0, 0.2]), "order": linear([[2, 0], [0.5, 0.5]], [0, 0])},
+        [
+            {lives: conv([[0.5, 0.25], [0, 1]], [0.1, -0.1], [[1, 0], [0.5, 0.5]]), placed: conv([[1, 0], [-0.5, 1]], [0, 0.1], [[0.25, 0], [0, 0.25]])},
+            {lives: conv([[1, -1], [0.5, 0.5]], [0, 0], [[0.1, 0], [0, 0.1]]), placed: conv([[1, 0], [0, 1]], [0, 0], [[1, 0], [0, 1]])},
+        ],
+        linear([[1, 1], [1, -1]], [0.01, 0]),
+    )
+
+
+@query("""
+WITH c0 AS (SELECT c_custkey, c_nationkey AS g, 0.5 * c_acctbal / 1000 - 0.25 AS x, c_acctbal / 1000 + 0.2 AS y FROM customer),
+om AS (SELECT o_custkey, avg(2 * o_totalprice / 100000) AS x, avg(0.5 * o_totalprice / 100000 - 0.5) AS y FROM orders GROUP BY o_custkey),
+c1 AS (SELECT g, greatest(coalesce(m.x, 0) + 0.25 * c.x, 0) + c.x AS x, greatest(-0.5 * coalesce(m.x, 0) + coalesce(m.y, 0) + 0.1 + 0.25 * c.y, 0) + c.y AS y FROM c0 c LEFT JOIN om m ON o_custkey = c_custkey),
+n0 AS (SELECT n_nationkey AS g, n_regionkey + 0.1 AS x, 1.0 AS y FROM nation),
+m0 AS (SELECT g, avg(x) AS x, avg(y) AS y FROM c0 GROUP BY g), m1 AS (SELECT g, avg(x) AS x, avg(y) AS y FROM c1 GROUP BY g),
+n1 AS (SELECT n.g, greatest(0.5 * coalesce(m.x, 0) + 0.25 * coalesce(m.y, 0) + 0.1 + n.x, 0) + n.x AS x, greatest(coalesce(m.y, 0) - 0.1 + 0.5 * n.x + 0.5 * n.y, 0) + n.y AS y FROM n0 n LEFT JOIN m0 m USING (g)),
+n2 AS (SELECT n.g, greatest(coalesce(m.x, 0) - coalesce(m.y, 0) + 0.1 * n.x, 0) + n.x AS x, greatest(0.5 * coalesce(m.x, 0) + 0.5 * coalesce(m.y, 0) + 0.1 * n.y, 0) + n.y AS y FROM n1 n LEFT JOIN m1 m USING (g))
+SELECT g AS graph, round((x + y + 0.01)::DOUBLE, 5) AS first, round((x - y)::DOUBLE, 5) + 0 AS second FROM n2""")
+def graph_encoder(spark, d):
+    nodes, edges = _star(spark, d)
+    name = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    pair = lambda a, b: F.array(a.cast("double"), F.lit(b).cast("double"))
+    known = [
+        _table(spark, d, "nation").select(name("n", "n_nationkey").alias("node"), pair(F.col("n_regionkey"), 1).alias("x")),
+        _table(spark, d, "customer").select(name("c", "c_custkey"), pair(F.col("c_acctbal") / 1000, 0.5)),
+        _table(spark, d, "orders").select(name("o", "o_orderkey"), pair(F.col("o_totalprice") / 100000, -1)),
+    ]
+    indexed = graph.index_nodes(nodes).join(reduce(DataFrame.union, known), "node").select("graph", "type", F.col("type_pos").alias("pos"), "x")
+    out = encoder.encode(indexed, graph.typed_edges(nodes, edges), _encoder(), nodes.select("graph"))
+    return _rounded(out.select("graph", F.get("x", F.lit(0)).alias("first"), F.get("x", F.lit(1)).alias("second")), 5)
+
+
+@query()
+def linear_head(spark, d):
+    rows = _table(spark, d, "embeddings")
+    shown = heads.apply_head(heads.fit_head(rows, "embedding", "label"), heads.encode_labels(rows, "label", "truth"), "embedding")
+    return _rounded(evaluation.scores(shown, "truth", "predicted"), 2)
+
+
+@query()
+def token_ids(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return embed.token_ids(docs, "text", embed.hashing_tokens()).select("doc_id", F.size("input_ids").alias("width"), F.crc32(F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"))
+
+
+@query()
+def node_embeddings(spark, d):
+    nodes = graphml.node_rows(_part_graphs(spark, d), "p_partkey").filter("text <> ''")
+    vectors_of = embed.embed_texts(nodes.select("graph", "pos", "text"), "text", embed.hashing_embedder(16), out="x")
+    return vectors_of.select("graph", "pos", F.array_join(F.transform("x", lambda v: v.cast("int").cast("string")), " ").alias("x"))
+
+
+_LANGUAGE = "CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'java' WHEN 'de' THEN 'cpp' ELSE 'python' END"
+
+
+@query(f"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, md5(text) AS hash, language, split, model FROM (
+  SELECT doc_id, text, {_LANGUAGE} AS language, {_SPLIT} AS split, CASE WHEN doc_id % 7 > 0 THEN 'm' || (doc_id % 3) END AS model FROM documents) WHERE model IS NOT NULL AND language <> 'cpp'""")
+def ingest_records(spark, d):
+    model = F.when(F.expr("doc_id % 7 > 0"), F.concat(F.lit("m"), F.expr("doc_id % 3")))
+    samples = _table(spark, d, "documents").select("doc_id", F.col("text").alias("code"), F.expr(_LANGUAGE).alias("language"), F.expr(_SPLIT).alias("split"), model.alias("model"))
+    return ingest.chosen_samples(samples, "doc_id").select("idx", F.md5(F.col("code").cast("binary")).alias("hash"), "language", "split", "model")
 
 
 @query()

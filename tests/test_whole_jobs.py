@@ -19,8 +19,8 @@ def same_as_sql(spark, name, digits=4):
 
 
 def test_format_p_of_all_events(spark):
-    shown = {r[1] for r in same_as_sql(spark, "format_p_all")}
-    assert {"<0.001", "<0.01", "<0.05"} < shown
+    shown = {r[1] for r in same_as_sql(spark, "format_p")}
+    assert {"p < 0.001", "p < 0.01", "p < 0.05"} < shown
 
 
 def test_silhouette_takes_all_rows(spark):
@@ -51,7 +51,7 @@ def test_silhouette_equals_sql(spark):
 
 
 def test_fusion_gives_every_component(spark):
-    assert {r[0] for r in same_as_sql(spark, "fusion_all")} == set(range(64))
+    assert {r[0] for r in same_as_sql(spark, "fusion")} == set(range(64))
 
 
 def test_forest_takes_the_whole_job(spark, monkeypatch):
