@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.session import cut
 
+def smallest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` with the groups of i and j merged for every pair, each group carrying its smallest row."""
+    while True:
+        new = label.copy()
+        least = np.minimum(label[i], label[j])
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``a``, ``b``, long); component is its smallest node.
 
     Alternates the large-star and the small-star step until the edge set is a set of stars around their smallest node.
-    The number of rounds grows with the logarithm of the longest path. Each round's minima and edges are cut, so a lost
-    executor costs one round at most, and both sides of each join are plain exchanges that adaptive execution may split
+    The number of rounds grows with the logarithm of the longest path. The edges are cut after each step, so a lost
+    executor costs one step at most, and both sides of each join are plain exchanges that adaptive execution may split
     where a node has very many neighbours. Self-loops and repeated edges are allowed; nulls are dropped.
     """
     edges = cut(_oriented(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))))
-    before = None
     for _ in range(max_rounds):
+        if _all_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = cut(_star(both, both.filter("b > a"), own=False))
         edges = cut(_star(large, large, own=True))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
-    stars = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no smaller end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -39,7 +54,7 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _star(around: DataFrame, moved: DataFrame, own: bool) -> DataFrame:
     """Links the ``moved`` neighbours of each node, and with ``own`` the node, to the smallest of it and its neighbours."""
-    least = cut(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     star = moved.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if own:
         star = star.unionByName(least.select("a", F.col("m").alias("b")))

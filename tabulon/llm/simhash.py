@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.llm.components import connected_components
+from tabulon.llm.components import connected_components, smallest
 from tabulon.llm.text import table
 from tabulon.session import cut, ship_code
 
@@ -23,6 +25,8 @@ _PAIRWISE = 1 << 18
 #: Comparisons made at once.
 _BLOCK = 1 << 20
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of a UTF-8 text: a bit is one if it is one in over half of the shingles' XXH64 values.
@@ -84,25 +88,15 @@ def _balls(fp: np.ndarray, shift: int, width: int, radius: int) -> Iterator[tupl
             yield rows, value[rows] ^ np.uint64(sum(1 << b for b in bits))
 
 
-def _smallest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``label`` with the groups of i and j merged for every pair, each group carrying its smallest row."""
-    while True:
-        new = label.copy()
-        least = np.minimum(label[i], label[j])
-        for at in (i, j, label[i], label[j]):
-            np.minimum.at(new, at, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
+def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int, place: np.ndarray | None = None, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of linked rows of the same group, at least one of the two the bucket's ``own``; a row and the one it hangs on.
 
-def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between the fingerprints of linked rows of the same group, at least one of the two the bucket's ``own``.
+    Rows link if their fingerprints are within ``distance`` and, where given, their ``place`` within ``slack``.
 
     Own rows come first in a group. Probes are not compared with each other: two of them meet elsewhere. Of all links
     within a group only a spanning forest leaves: at most one edge a row.
     """
+    place = np.zeros(len(fp), np.int64) if place is None else place
     before = np.r_[0, np.cumsum(own)]
     owned = before[starts + sizes] - before[starts]
     work = owned * sizes
@@ -119,24 +113,24 @@ def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarra
                 n = rest[lo:hi]
                 i = np.repeat(first[lo:hi] + d, n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                hit = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+                hit = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (np.abs(place[i] - place[j]) <= slack)
                 if hit.any():
-                    label = _smallest(label, i[hit], j[hit])
+                    label = smallest(label, i[hit], j[hit])
     for s, n, o in zip(starts[work > _PAIRWISE], sizes[work > _PAIRWISE], owned[work > _PAIRWISE], strict=True):
         mine, probes = np.arange(s, s + o), np.arange(s + o, s + n)
         while len(mine):
             root, mine, queue = mine[0], mine[1:], [mine[0]]
             while queue:
                 at = queue.pop()
-                near = np.bitwise_count(fp[mine] ^ fp[at]) <= distance
+                near = (np.bitwise_count(fp[mine] ^ fp[at]) <= distance) & (np.abs(place[mine] - place[at]) <= slack)
                 reached, mine = mine[near], mine[~near]
                 if at < s + o:
-                    near = np.bitwise_count(fp[probes] ^ fp[at]) <= distance
+                    near = (np.bitwise_count(fp[probes] ^ fp[at]) <= distance) & (np.abs(place[probes] - place[at]) <= slack)
                     reached, probes = np.r_[reached, probes[near]], probes[~near]
                 label[reached] = root
                 queue.extend(reached)
     moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    return moved, label[moved]
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +182,9 @@ def near_groups(prints: DataFrame, distance: int = 4, segments: int = 3, dense_r
             end = len(held[0]) if columns is None else starts[-1]
             done, held = [x[:end] for x in held], [x[end:] for x in held]
             ready = (starts < end) & (sizes > 1)
-            a, b = _links(done[1].view(np.uint64), done[0] & 1 == 0, starts[ready], sizes[ready], distance)
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            i, j = _links(done[1].view(np.uint64), done[0] & 1 == 0, starts[ready], sizes[ready], distance)
+            if len(i):
+                yield _edges(done[1][i], done[1][j])
 
     ship_code(prints.sparkSession)
     prints = prints.select("fp")
@@ -231,173 +225,286 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, seg
     return prints.join(named, "fp")
 
 
-def _pairs(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: int, most: int | None, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Linked rows i, j of the same group and of different labels, at least one of the two the bucket's ``own``.
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_LOWER).split()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit of the result depends on all bits given."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct hashes of the runs of ``shingle`` words, ascending; of fewer words the whole sequence is the only one."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    run = hashes[: len(hashes) - width + 1].copy()
+    for k in range(1, width):
+        run = run * _ODD + hashes[k : len(hashes) - width + 1 + k]
+    return np.unique(_mix(run + np.uint64(width)))
 
-    Of a row with more than ``most`` later links so many are given, from a place that differs from row to row; the third
-    array is the rows of the pairs left out.
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits, each bit one if it is one in over half of as many hashes derived from each shingle."""
+    ones = np.zeros(64 * words, np.int64)
+    salts = np.arange(1, words + 1, dtype=np.uint64) * _ODD
+    for i in range(0, len(shingles), 4080):
+        bits = np.unpackbits(_mix(shingles[i : i + 4080, None] + salts).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # so many ones fit a byte
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
+
+
+def table_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a segment and number of segments for searching among ``rows`` texts.
+
+    Segments are wide enough that unrelated texts seldom meet, 20 bits at least. Two texts of the given Jaccard similarity
+    differ in any one bit with the probability that belongs to the angle between their sets; so many segments are taken that
+    one of them differs in at most one bit with the probability ``recall``.
     """
-    before = np.r_[0, np.cumsum(own)]
-    owned = before[starts + sizes] - before[starts]
-    first, size, mine = starts[owned > 0], sizes[owned > 0], owned[owned > 0]
-    for d in range(int(mine.max(initial=0))):
-        keep = mine > d
-        first, size, mine = first[keep], size[keep], mine[keep]
-        rest = size - d - 1
-        bounds = np.flatnonzero(np.diff(np.cumsum(rest) // _BLOCK, prepend=-1))
-        for lo, hi in zip(bounds, np.r_[bounds[1:], len(rest)], strict=True):
-            n = rest[lo:hi]
-            i = np.repeat(first[lo:hi] + d, n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= distance)
-            i, j = i[hit], j[hit]
-            other = label[i] != label[j]
-            i, j = i[other], j[other]
-            if not len(i):
-                continue
-            take = np.ones(len(i), bool)
-            if most is not None:
-                at, count = _runs(i)
-                count, rank = np.repeat(count, count), np.arange(len(i)) - np.repeat(at, count)
-                take = (rank - i * most) % count < most
-            yield i[take], j[take], np.unique(np.r_[i[~take], j[~take]])
+    width = max(20, max(1, rows).bit_length())
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    near = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - near)) if near < 1 else 1
 
 
-def near_pairs(nodes: DataFrame, distance: int, segments: int, most: int | None = None, dense_rows: int = 131072) -> DataFrame:
-    """``a, b``: pairs of ``node`` with different ``label`` whose ``fp`` differ in at most ``distance`` bits.
+#: Ratio of set sizes between neighbouring size classes, and the greatest class.
+_SIZE_STEP, _SIZE_TOP = 1.03, 511
 
-    ``nodes`` has distinct ``node``. The search is that of ``near_groups``, but gives the linked pairs themselves. With
-    ``most``, a row with more links in a bucket gives so many of them, and the nodes of each pair left out come as a row
-    of their own with a null ``b``, so that the caller can search among them again.
+
+def _size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum(_SIZE_TOP, np.log(np.maximum(sizes, 1)) / math.log(_SIZE_STEP)).astype(np.int64)
+
+
+def word_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``doc_id, text_digest, node, size, print`` for every row of ``docs``.
+
+    ``node`` is a digest of the lower-cased words, 0 if there are none, ``size`` the number of distinct shingles and ``print``
+    the bytes of the fingerprint.
     """
-    plan = segment_plan(distance, segments)
-    kind = "key bigint, fp bigint, node bigint, label bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                own = _words(text.as_py())
+                shingles = shingle_set(own, shingle) if own else np.zeros(0, np.uint64)
+                sizes[k] = len(shingles)
+                if own:
+                    nodes[k] = xxhash.xxh3_64_intdigest(b" ".join(own), 2)
+                prints.append(wide_fingerprint(shingles, words).tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints, pa.binary())], names=["doc_id", "text_digest", "node", "size", "print"])
+
+    ship_code(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_digest bigint, node bigint, size bigint, print binary")
+
+
+def _digest() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def proposed_links(nodes: DataFrame, width: int, tables: int, distance: int, slack: int, dense_rows: int = 131072) -> DataFrame:
+    """``a, b``: links that connect all ``node`` which meet in a segment's table and are alike as far as their prints tell.
+
+    The first 64 bits of ``print`` are held back for verification; behind them come ``tables`` segments of ``width`` bits,
+    a table each. Every node is stored once in each table and probes the Hamming ball of radius one around its value.
+    Nodes that meet are linked if the complete distance of the bits held back is at most ``distance`` and their size classes are
+    at most ``slack`` apart; a spanning forest of these links leaves each bucket, never all pairs. In a bucket of over
+    ``dense_rows`` rows, told from a part of the nodes, all are linked to the smallest by a partial aggregation
+    instead, so no task holds it; links are verified on the texts afterwards, so more of them do no harm.
+    """
+    powers, mask = np.int64(1) << np.arange(width, dtype=np.int64), np.int64((1 << 10) - 1)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _columns(batches):
-            for i in range(0, len(columns[0]), 8192):
-                part = [c[i : i + 8192] for c in columns]
-                for k, (shift, width, radius) in enumerate(plan):
-                    balls = list(_balls(part[0].view(np.uint64), shift, width, radius))
-                    rows = np.concatenate([row for row, _ in balls])
-                    keys = np.concatenate([(value | np.uint64(k << 57)) << np.uint64(1) | np.uint64(n > 0) for n, (_, value) in enumerate(balls)])
-                    yield pa.record_batch([pa.array(keys.view(np.int64)), *(pa.array(c[rows]) for c in part)], names=["key", "fp", "node", "label"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                node, sizes = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size"))
+                raw = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(len(node), -1)
+                check = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
+                bits = np.unpackbits(raw[:, 8:], axis=1, bitorder="little")[:, : width * tables].reshape(len(node), tables, width)
+                values, group = bits.astype(np.int64) @ powers, _size_class(sizes)
+                for t in range(tables):
+                    found = list(_balls(values[:, t].view(np.uint64), 0, width, 1))
+                    rows = np.concatenate([r for r, _ in found])
+                    probe = np.repeat([0, 1], [len(node), len(rows) - len(node)])
+                    value = np.concatenate([v for _, v in found]).view(np.int64)
+                    keys = (value | t << width) << 10 | probe << 9 | group[rows]
+                    yield pa.record_batch([pa.array(keys), pa.array(check[rows]), pa.array(node[rows])], names=["key", "fp", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 3
         for columns in _then_none(_columns(batches)):
             if columns is not None:
                 held = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            starts, sizes = _runs(held[0] >> 1)
+            starts, sizes = _runs(held[0] >> 10)
             if not len(starts) or columns is not None and len(starts) < 2:
                 continue
             end = len(held[0]) if columns is None else starts[-1]
-            (key, fp, node, label), held = [x[:end] for x in held], [x[end:] for x in held]
+            (key, fp, node), held = [x[:end] for x in held], [x[end:] for x in held]
             ready = (starts < end) & (sizes > 1)
-            for i, j, left in _pairs(fp.view(np.uint64), key & 1 == 0, starts[ready], sizes[ready], distance, most, label):
-                a, b = pa.array(np.r_[node[i], node[left]]), pa.array(np.r_[node[j], node[left]], mask=np.r_[np.zeros(len(j), bool), np.ones(len(left), bool)])
-                yield pa.record_batch([a, b], names=["a", "b"])
+            i, j = _links(fp.view(np.uint64), key & mask < 512, starts[ready], sizes[ready], distance, key & 511, slack)
+            if len(i):
+                yield _edges(*np.unique(np.stack([node[i], node[j]]), axis=1))
 
     ship_code(nodes.sparkSession)
-    nodes = nodes.select("fp", "node", "label")
-    rows = nodes.mapInArrow(scatter, kind)
-    bucket = F.shiftright("key", 1)
+    kind, nodes = "key bigint, fp bigint, node bigint", nodes.select("node", "size", "print")
+    rows, bucket = nodes.mapInArrow(scatter, kind), F.shiftright("key", 10)
     part = 64 if dense_rows >= 1024 else 1
     sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).mapInArrow(scatter, kind)
-    dense = cut(sample.groupBy(bucket.alias("bucket")).count().filter(F.col("count") * part > dense_rows))
+    dense = cut(sample.groupBy(bucket.alias("bucket")).count().filter(F.col("count") * part > dense_rows).select("bucket"))
+    crowd = None
     if not dense.isEmpty():
         rows = rows.withColumn("bucket", bucket)
-        blocks = F.ceil(F.col("count") * part * 2 / dense_rows).cast("int")
-        crowd = rows.join(dense.withColumn("blocks", blocks), "bucket").withColumn("x", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-        crowd = crowd.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = F.shiftleft(F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y")), 1)
-        crowd = crowd.select(pair.bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("key"), "fp", "node", "label")
-        rows = rows.join(dense, "bucket", "left_anti").select("key", "fp", "node", "label").unionByName(crowd)
+        crowd = cut(rows.join(dense, "bucket", "left_semi").select("bucket", "node"))
+        crowd = crowd.join(crowd.groupBy("bucket").agg(F.min("node").alias("b")), "bucket").select(F.col("node").alias("a"), "b")
+        rows = rows.join(dense, "bucket", "left_anti").drop("bucket")
     found = rows.repartition(bucket).sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+    return found if crowd is None else found.unionByName(crowd)
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_LOWER).split()
-
+def _alike(sets: list[np.ndarray], label: np.ndarray, asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j that link the labels of all rows whose sets have a Jaccard similarity of ``similarity`` or more.
 
-def word_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_digest, node, fp`` for every row of ``docs``; ``node`` is a digest of the lower-cased words, 0 if there are none."""
+    Only rows that ``asks`` marks are compared with the others. Rows whose shingles are the commonest go first: in a group
+    around one text that is the text itself, and as soon as all rows are linked the search ends.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    starts = np.cumsum(sizes) - sizes
+    label, left, i, j = label.copy(), len(np.unique(label)), [], []
+    order = np.argsort(-np.add.reduceat(count[code], starts) / sizes, kind="stable")
+    mark = np.zeros(len(count), bool)
+    for at in order[asks[order]]:
+        if left == 1:
+            break
+        own = code[starts[at] : starts[at] + sizes[at]]
+        mark[own] = True
+        common = np.add.reduceat(mark[code], starts, dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero((common >= similarity * (sizes + sizes[at] - common)) & (label != label[at]))
+        for other in near:
+            if label[other] != label[at]:
+                label[label == label[other]] = label[at]
+                left -= 1
+                i.append(at)
+                j.append(other)
+    return np.array(i, np.int64), np.array(j, np.int64)
+
+
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: verified links among the rows ``key, node, label, asks, shingles`` of equal ``key``; one key is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(2).cast(pa.binary())]
-            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            words = map(_words, texts)
-            nodes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w), 2) if w else 0 for w in words), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], names=["doc_id", "text_digest", "node", "fp"])
-
-    ship_code(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_digest bigint, node bigint, fp bigint")
-
-
-def _digest() -> F.Column:
-    return F.xxhash64(F.col("text").cast("string"))
+        for part in _groups(batches):
+            node, label = (part.column(c).to_numpy() for c in ("node", "label"))
+            asks = part.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            i, j = _alike([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")], label, asks, similarity)
+            if len(i):
+                yield _edges(node[i], node[j])
+
+    dealt = rows.select("key", "node", "label", "asks", "shingles").repartition("key").sortWithinPartitions("key", F.desc("asks"))
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key that has two or more; of rows that repeat a node the first is left."""
+    held: list[pa.RecordBatch] = []
+    seen: set[int] = set()
+    for batch in _then_none(batches):
+        key = None if batch is None else batch.column("key").to_numpy()
+        starts, sizes = ([0], [0]) if batch is None else (x.tolist() for x in _runs(key))
+        for a, n in zip(starts, sizes, strict=True):
+            if held and (batch is None or held[0].column("key")[0].as_py() != key[a]):
+                if len(seen) > 1:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, seen = [], set()
+            if n:
+                part = batch.slice(a, n)
+                nodes = part.column("node").to_pylist()
+                new = [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+                if new:
+                    held.append(part if len(new) == n else part.take(pa.array(new)))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, shingles``: the distinct hashes of the shingles of ``text``; of fewer words the whole sequence is the only one."""
+    """``texts`` with ``shingles``, the bytes of the set of shingle hashes, in place of ``text``."""
+    kept = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                part, sets = batch.slice(i, 500), []
-                for t in part.column(1).cast(pa.binary()):
-                    words = _words(t.as_py())
-                    parts = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [words]
-                    sets.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(p)) for p in parts), np.uint64)).view(np.int64))
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                part = batch.slice(i, 500)
+                sets = [shingle_set(_words(t.as_py()), shingle).tobytes() for t in part.column("text").cast(pa.binary())]
+                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, T.StructType([*texts.select(*kept).schema.fields, T.StructField("shingles", T.BinaryType())]))
 
 
-def near_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 13, segments: int = 5, caps: tuple[int | None, ...] = (4, 16, None)) -> DataFrame:
-    """``doc_id, text_digest, component_id`` for every row of ``docs``; the component is the smallest ``doc_id`` reachable.
+def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """``a, b``: links of Jaccard similarity ``similarity`` or more that connect all nodes of a cluster which such links connect.
 
-    Texts of the same lower-cased words are one. Others link if their fingerprints differ in at most ``distance`` bits and
-    the Jaccard similarity of their sets of shingles is at least ``similarity``: the fingerprints only propose pairs.
+    ``members`` has ``node, doc_id, text_digest, size, cluster``; the text of a node is that of its ``doc_id`` and
+    ``text_digest`` in ``docs``. A cluster is dealt into blocks of about ``block`` shingles, each compared by itself, so a
+    cluster that fits one block is settled there. In a larger one all nodes but those of its largest group so far are then
+    compared with every block; two nodes of the largest group need no comparison, being connected already. So all pairs that could
+    matter are compared, and a large group around common texts is not copied once per block.
+    """
+    totals = members.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
+    wanted = members.join(totals, "cluster").withColumnsRenamed({"doc_id": "__id", "text_digest": "__digest"})
+    chosen = texts.join(wanted, (F.col("text_digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "cluster", "blocks", "text")
+    sets = cut(shingle_sets(chosen, shingle).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    first = sets.select(F.xxhash64("cluster", "block").alias("key"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "shingles")
+    links = cut(_compared(first, similarity))
+    large = sets.filter("blocks > 1").select("node", "cluster", "blocks", "block").distinct()
+    if large.isEmpty():
+        return links
+    labels = connected_components(links).withColumnRenamed("component", "label")
+    placed = cut(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    largest = placed.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", "count").alias("largest"))
+    placed = cut(placed.join(largest, "cluster").withColumn("asks", F.col("label") != F.col("largest")).drop("largest"))
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count_if("asks") * F.first("blocks") / F.count(F.lit(1))).cast("int").alias("groups"))
+    each = placed.join(sizes.filter("groups > 0"), "cluster")
+    at = lambda column, count: F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(column)
+    met = each.select("node", "label", "cluster", F.lit(False).alias("asks"), at("group", "groups"), "block")
+    asking = each.filter("asks").select("node", "label", "cluster", "asks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("groups")).cast("int").alias("group"), at("block", "blocks"))
+    rows = met.unionByName(asking).join(sets.select("node", "shingles"), "node").select(F.xxhash64("cluster", "group", "block").alias("key"), "node", "label", "asks", "shingles")
+    return links.unionByName(_compared(rows, similarity))
+
+
+def near_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 15, recall: float = 0.95, block: int = 1 << 17, dense_rows: int = 131072) -> DataFrame:
+    """``doc_id, text_digest, component_id`` for every row of ``docs``; the component is the smallest ``doc_id`` reachable.
 
-    A large group of close fingerprints proposes few pairs a row at first. Pairs left out are proposed in the next round
-    unless links verified till then connect them anyway; the last round has no bound, so no proposed pair is left out that
-    could join two components. Texts without words are one component; nulls count as such.
+    Texts of the same lower-cased words are one node. Two nodes link if the Jaccard similarity of their sets of shingles is at least
+    ``similarity``. Fingerprints only propose: nodes that ``proposed_links`` connects are a cluster, and within clusters the
+    sets themselves decide. A pair of just that similarity is proposed with a probability of about ``recall``, a closer
+    one almost surely. Texts without words are one component; nulls count as such. A null ``doc_id`` links like any other.
+    Other columns of ``docs`` are ignored, an empty table gives no rows.
     """
-    prints = cut(word_prints(docs, shingle))
-    nodes = cut(prints.filter("node <> 0").groupBy("node").agg(F.first("fp").alias("fp"), F.min("text_digest").alias("text_digest")).withColumn("label", F.col("node")))
-    texts = docs.select(_digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
-    links, among = None, nodes
-    for most in caps:
-        found = cut(near_pairs(among, distance, segments, most))
-        pairs, left = found.filter("b IS NOT NULL"), found.filter("b IS NULL").select(F.col("a").alias("node"))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node", "left_semi").select("node", "text_digest")
-        sets = cut(shingle_sets(texts.join(wanted, "text_digest").dropDuplicates(["node"]), shingle))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        verified = both.filter(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
-        links = cut(verified if links is None else links.unionByName(verified))
-        labels = connected_components(links).select("node", F.col("component").alias("label"))
-        if left.isEmpty():
-            break
-        labels = cut(labels)
-        among = cut(nodes.drop("label").join(left, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    width, tables = table_plan(docs.count(), similarity, recall)
+    slack = math.ceil(-math.log(similarity) / math.log(_SIZE_STEP)) + 1
+    prints = cut(word_prints(docs, shingle, 1 + -(-width * tables // 64)))
+    least = F.min(F.struct("doc_id", "text_digest")).alias("at")
+    nodes = cut(prints.filter("node <> 0").groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print"), least).select("node", "size", "print", "at.*"))
+    clusters = connected_components(proposed_links(nodes, width, tables, distance, slack, dense_rows)).withColumnRenamed("component", "cluster")
+    members = cut(nodes.drop("print").join(clusters, "node"))
+    labels = connected_components(verified_links(docs, members, shingle, similarity, block)).select("node", F.col("component").alias("label"))
     named = cut(prints.join(labels, "node", "left").select("doc_id", "text_digest", F.coalesce("label", "node").alias("label")))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", "text_digest", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 13, segments: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the smallest ``doc_id`` of each near-duplicate group; columns as they were.
 
     Rows that repeat that ``doc_id`` within the group stay; rows whose ``doc_id`` is null stay. A row goes for its own text
     alone: other texts of the same ``doc_id`` do not matter.
     """
-    groups = near_components(docs, shingle, similarity, distance, segments)
+    groups = near_components(docs, **options)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest")).distinct()
     return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (_digest() == F.col("__digest")), "left_anti")
 

@@ -76,9 +76,9 @@ def test_documents_null_empty_repeated(spark):
 
 
 def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (None, 5)]
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (None, 5)] + [(400 + i, 400 + j) for i in range(12) for j in range(i)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300} | {400 + i: 400 for i in range(12)}
 
 
 def shingles(text):
@@ -86,30 +86,65 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("caps", [(None,), (1, None)])
-def test_near_copies_are_verified_by_words(spark, caps):
-    draw, texts = random.Random(8), []
-    for f in range(4):
-        base = [f"{f}w{draw.randrange(4000)}" for _ in range(150)]
-        for _ in range(20):
-            words = list(base)
-            for at in draw.sample(range(150), draw.randrange(0, 6)):
-                words[at] = f"x{draw.randrange(10**6)}"
-            texts.append(" ".join(words))
-    rows = list(enumerate(texts))
-    prints, sets = [brute_print(t, 5) for t in texts], [shingles(t) for t in texts]
-    near = {(i, j): (prints[i] ^ prints[j]).bit_count() for i in range(len(rows)) for j in range(i)}
-    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in near}
-    assert any(d <= 11 and alike[p] < 0.8 for p, d in near.items()) and any(11 < d <= 13 and alike[p] >= 0.8 for p, d in near.items())
-    linked = {p for p, d in near.items() if d <= 13 and alike[p] >= 0.8}
-    want = {}
-    for i, _ in rows:
-        want[i] = i
-    for _ in rows:
-        for i, j in linked:
-            want[i] = want[j] = min(want[i], want[j])
-    got = simhash.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), caps=caps).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+def family(draw, tag, size=150, copies=20, most=5):
+    base, texts = [f"{tag}w{draw.randrange(4000)}" for _ in range(size)], []
+    for _ in range(copies):
+        words = list(base)
+        for at in draw.sample(range(size), draw.randrange(0, most + 1)):
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def pair_links(texts, least=0.8):
+    sets = [shingles(t) for t in texts]
+    return {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+def grouped(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            return label
+    return label
+
+
+@pytest.mark.parametrize(("block", "dense"), [(1 << 17, 131072), (600, 131072), (1 << 17, 12), (600, 12)])
+def test_near_copies_are_verified_by_words(spark, block, dense):
+    draw = random.Random(8)
+    texts = [t for f in range(5) for t in family(draw, f, most=6)]
+    links = pair_links(texts)
+    assert 100 < len(links) < 5 * 190  # some pairs of a family are linked, others are not
+    got = simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), recall=0.9999, distance=40, block=block, dense_rows=dense).collect()
+    assert [r["component_id"] for r in sorted(got)] == grouped(len(texts), links)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity just above the threshold, each pair by itself."""
+    draw, texts = random.Random(5), []
+    for f in range(400):
+        base = [f"{f}w{draw.randrange(9000)}" for _ in range(200)]
+        other = list(base)
+        for at in draw.sample(range(200), 4):
+            other[at] = "y"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [shingles(t) for t in texts]
+    near = [k for k in range(0, 800, 2) if 0.8 <= len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.86]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(near) > 150 and sum(got[k + 1] == k for k in near) >= 0.9 * len(near)
+    assert all(got[k] == k for k in range(0, 800, 2))
+
+
+def test_near_copies_null_empty_short(spark):
+    long = " ".join(f"w{i}" for i in range(60000))
+    rows = [(1, "one two"), (2, "ONE  two"), (3, "one two three"), (4, None), (5, ""), (None, "one two"), (6, long), (7, long + " end"), (8, "é É"), (2, "ONE  two")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, component_id string")
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_components(df).collect())
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (-1, 1), (6, 6), (7, 6), (8, 8), (2, 1)])
+    assert simhash.near_components(df.limit(0)).count() == 0
 
 
 def test_one_text_of_a_repeated_id_goes(spark):
