@@ -75,9 +75,10 @@ def test_documents_null_empty_repeated(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("local_edges", [1 << 19, 30])
+def test_components_of_paths_and_stars(spark, local_edges):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (None, 5)] + [(400 + i, 400 + j) for i in range(12) for j in range(i)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), local_edges=local_edges).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300} | {400 + i: 400 for i in range(12)}
 
 
