@@ -9,45 +9,56 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.text import lower_ascii, table
 from tabulon.session import cut, shared_dir
+from tabulon.session import remove as remove_folder
 
 
 class DigestIndex:
-    """One row per distinct text ever added, as a Parquet table bucketed and sorted by digest.
+    """What is known of every distinct text ever added, as a Parquet table bucketed and sorted by digest.
 
+    The table only grows. A digest's first row is its entry, ``entry`` being true; each later batch that has copies of the text adds one more
+    row with their largest id and their number, so ``current`` always tells the largest id and the size of a group.
     ``location`` is a folder that driver and executors share. Opening an index that exists there continues it, in any
     later session. ``buckets`` is fixed when the folder is first written: choose it so that one bucket of digests
-    (about 50 bytes a text) sorts in one task.
+    (about 50 bytes a row) sorts in one task.
     """
 
-    SCHEMA = "digest binary, keep_id bigint, group_size bigint"
+    SCHEMA = "digest binary, keep_id bigint, group_size bigint, entry boolean"
 
     def __init__(self, spark: SparkSession, location: str, buckets: int):
-        self.spark, self.location = spark, location
+        self.spark, self.location, self.buckets = spark, location, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'")
-        self.buckets = buckets
 
-    def bucketed(self) -> DataFrame:
-        """The index with its bucketing known to the planner: joins on the digest need no exchange of it."""
+    def rows(self) -> DataFrame:
+        """The table with its bucketing known to the planner: joins and groups by digest need no exchange of it."""
         return self.spark.table(self.name)
 
-    def plain(self) -> DataFrame:
-        """The same rows without the bucketing, so that adaptive execution may split a skewed join against them."""
-        return self.spark.read.schema(self.SCHEMA).parquet(self.location)
+    def current(self) -> DataFrame:
+        """``digest, keep_id, group_size`` of every distinct text."""
+        return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def add(self, digests: DataFrame) -> DataFrame:
-        """Appends the digests that the index lacks and returns the rows appended.
+        """Appends a batch of ``doc_id, digest`` and returns the entries made: the digests that the index lacked.
 
-        ``digests`` has ``doc_id`` and ``digest``. Copies within the batch collapse before the shuffle (partial
-        aggregation), the largest ``doc_id`` standing for them; the index side of the sort-merge anti-join is read in
-        its buckets without an exchange. The collapsed batch is cut off, since the optimizer would otherwise move the
-        anti-join, whose key is the grouping key, below the aggregation and shuffle every copy.
+        Copies within the batch collapse before the shuffle (partial aggregation), the largest ``doc_id`` standing for
+        them; the index side of the sort-merge anti-join is read in its buckets without an exchange. The collapsed batch is
+        cut off, since the optimizer would otherwise move the anti-join, whose key is the grouping key, below the
+        aggregation and shuffle every copy. A batch is appended by one commit, so a lost executor leaves no part of it.
         """
         batch = cut(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-        new = cut(batch.join(self.bucketed().select("digest").hint("merge"), "digest", "left_anti"))
-        new.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.location).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        known = self.rows().filter("entry").select("digest").hint("merge")
+        new = cut(batch.join(known, "digest", "left_anti").withColumn("entry", F.lit(True)))
+        more = batch.join(new.select("digest"), "digest", "left_anti").withColumn("entry", F.lit(False))
+        out = new.unionByName(more).repartition(self.buckets, "digest")
+        out.write.mode("append").format("parquet").option("path", self.location).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
-        return new
+        return new.drop("entry")
+
+    def close(self, remove: bool = False) -> None:
+        """Forgets the table's name; the folder stays for the next time unless ``remove`` asks for its end."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if remove:
+            remove_folder(self.spark, self.location)
 
 
 def digest(text: Column) -> Column:
@@ -55,36 +66,57 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(lower_ascii(text).cast("binary"), 256))
 
 
-def exact_groups(docs: DataFrame, location: str | None = None, buckets: int | None = None) -> DataFrame:
-    """``doc_id, digest, keep_id, group_size`` for every row of ``docs``, through a digest index at ``location``.
+def _text_key(text: Column) -> Column:
+    """Tells texts apart that are equal but for case."""
+    return F.xxhash64(text.cast("string"))
+
+
+def exact_groups(docs: DataFrame, location: str | None = None, buckets: int | None = None, batches: int = 4) -> DataFrame:
+    """``doc_id, text_key, digest, keep_id, group_size`` for every row of ``docs``, through a digest index at ``location``.
 
-    Without a location a new index is begun in the shared checkpoint folder. Texts never travel: only id and digest are
-    shuffled. Null text equals empty text. Rows that repeat a ``doc_id`` with the same text count each and are kept
-    alike. A null ``doc_id`` loses to any other; a group of nothing else has a null ``keep_id``. Other columns of
-    ``docs`` are ignored. An empty table gives an empty result.
+    The rows enter the index in ``batches`` batches dealt by a hash of the id, each deduplicated against what the batches
+    before it, and earlier calls with the same location, have left there. Without a location a new index is begun in the
+    shared checkpoint folder and removed at the end. Texts never travel: only id and digest are shuffled. Null text equals
+    empty text. Rows that repeat a ``doc_id`` with the same text count each and are kept alike. A null ``doc_id`` loses to
+    any other; a group of nothing else has a null ``keep_id``. Other columns of ``docs`` are ignored. An empty table gives an empty
+    result. ``keep_id`` and ``group_size`` cover all that the index has seen, so with a continued index the row that stays
+    may be one of an earlier call.
     """
     spark = docs.sparkSession
-    location = location or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
-    index = DigestIndex(spark, location, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    digests = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text")).alias("digest")))
-    index.add(digests)
-    return digests.join(index.plain(), "digest")
+    index = DigestIndex(spark, location or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    digests = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), digest(F.col("text")).alias("digest")))
+    for number in range(batches):
+        index.add(digests.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
+    current = cut(index.current())
+    index.close(remove=location is None)
+    return digests.join(current, "digest")
 
 
 def drop_exact_copies(docs: DataFrame, **index) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Rows that repeat the winning ``doc_id`` as well as its text collapse into one.
+    Rows that repeat the winning ``doc_id`` as well as its text collapse into one; if their texts differ in case, the one
+    with the smallest text key stays. Nulls, empty texts and empty tables as in ``exact_groups``. Column names that start with
+    two underscores are reserved.
     """
-    groups = exact_groups(docs, **index)
-    winners = groups.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    winners = winners.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n"))
-    keyed = docs.withColumn("__d", digest(F.col("text")))
-    kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")))
-    one = kept.filter("__n = 1").select(*docs.columns)
-    if winners.filter("__n > 1").isEmpty():
-        return one
-    return one.unionByName(kept.filter("__n > 1").dropDuplicates(["__id", "__digest"]).select(*docs.columns))
+    groups = cut(exact_groups(docs, **index))
+    winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    stays = groups.filter(winner).groupBy("digest").agg(F.min("text_key").alias("stays"), F.count(F.lit(1)).alias("n"))
+    twins = cut(stays.filter("n > 1"))
+    lost, several = groups.filter(~winner), not twins.isEmpty()
+    if several:
+        lost = lost.unionByName(groups.filter(winner).join(twins, "digest").filter("text_key <> stays").select(*groups.columns))
+    keyed = docs.withColumn("__k", _text_key(F.col("text")))
+
+    def same(rows: DataFrame) -> tuple[DataFrame, Column]:
+        named = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+        return named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
+
+    left = keyed.join(*same(lost), "left_anti")
+    if several:
+        again = groups.filter(winner).join(twins, "digest")
+        left = left.join(*same(again), "left_anti").unionByName(left.join(*same(again), "left_semi").dropDuplicates(["doc_id", "__k"]))
+    return left.select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.text import table
-from tabulon.session import shared_dir, ship_code
+from tabulon.session import cut, shared_dir, ship_code
 
-#: More buckets than this are not made; the buckets grow instead, so that the driver's offset list stays under a megabyte.
-MAX_BUCKETS = 65536
+#: A bucket costs the driver and every task 8 bytes of offsets. More buckets, 256 TB of them by default, are refused.
+MAX_BUCKETS = 1 << 23
+
+#: Tasks of the second pass at most; beyond that a task takes several buckets, one after the other.
+MAX_TASKS = 1 << 16
 
 
 def _size(text: str) -> F.Column:
@@ -30,9 +33,9 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 0, id_col: str = "d
     Columns of ``df`` with these names must be renamed first; names that start with two underscores are reserved.
 
     First pass: a seeded hash of the id and the text's checksum scatters the rows uniformly into buckets of about
-    ``bucket_bytes`` of text. Second pass: each bucket, sorted by id so that its order does not depend on how blocks
-    arrive, is put through a Fisher-Yates shuffle seeded by its number, and its rows go to their places. A bucket begins
-    where the counts of those before it end; only these counts reach the driver, at most ``MAX_BUCKETS`` of them.
+    ``bucket_bytes`` of text, however large the corpus. Second pass: each bucket, sorted by id so that its order does not
+    depend on how blocks arrive, is put through a Fisher-Yates shuffle seeded by its number, and its rows go to their places.
+    A bucket begins where the counts of those before it end; only these counts leave the executors (``MAX_BUCKETS``).
     A rerun gives the same places. Copies of a text differ in their ids and so scatter; only rows equal in id and text
     fall into one bucket. Null texts count one byte, null ids scatter by their text. An empty table gives no rows.
     """
@@ -41,26 +44,33 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 0, id_col: str = "d
         raise ValueError(f"rename the columns {sorted(taken)} first")
     spark = df.sparkSession
     ship_code(spark)
-    total = df.agg(F.sum(_size(text_col))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary"))), F.lit(buckets)).cast("int")
+    check = F.crc32(F.col(text_col).cast("binary"))
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), check)
+    drawn = cut(df.select(draw.alias("draw"), _size(text_col).alias("size")))  # so that texts are read twice, not three times
+    total = drawn.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    if buckets > MAX_BUCKETS:
+        raise ValueError(f"{buckets} buckets are too many; raise bucket_bytes")
+    counted = drawn.groupBy(F.pmod("draw", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(buckets, np.int64)
-    for row in df.groupBy(bucket.alias("b")).count().collect():
-        counts[row["b"]] = row["count"]
-    first, rows = np.concatenate([[0], np.cumsum(counts)[:-1]]), int(counts.sum())
+    counts[counted.column("b").to_numpy()] = counted.column("n").to_numpy()
+    rows = int(counts.sum())
+    offsets = spark.sparkContext.broadcast(np.concatenate([[0], np.cumsum(counts)[:-1]]))
     shard_start = np.array([rows * i // shards for i in range(shards + 1)])
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _buckets(batches):
             held = held.take(pa.array(np.random.default_rng([seed, number]).permutation(len(held))))
-            place = first[number] + np.arange(len(held))
+            place = offsets.value[number] + np.arange(len(held))
             shard = np.searchsorted(shard_start, place, side="right") - 1
             slot = place - shard_start[shard]
             held = held.drop_columns(["__bucket"]).append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
             yield from held.to_batches(max_chunksize=1000)
 
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    scattered = df.withColumn("__bucket", bucket).repartition(buckets, "__bucket").sortWithinPartitions("__bucket", id_col, F.crc32(F.col(text_col).cast("binary")))
+    tasks = min(buckets, MAX_TASKS)
+    placed = df.withColumn("__bucket", F.pmod(draw, F.lit(buckets)).cast("int"))
+    scattered = placed.repartitionById(tasks, F.floor(F.col("__bucket").cast("long") * tasks / buckets).cast("int")).sortWithinPartitions("__bucket", id_col, check)
     location = location or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     scattered.mapInArrow(permute, schema).write.partitionBy("shard").mode("overwrite").parquet(location)
     return spark.read.schema(schema).parquet(location)

@@ -27,13 +27,47 @@ def test_groups_of_equal_texts(spark):
 
 def test_index_persists_and_takes_only_what_is_new(spark, tmp_path):
     where = str(tmp_path / "index")
-    batch = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", digest(F.col("text")).alias("digest"))
-    assert DigestIndex(spark, where, 4).add(batch("a", "b", "A")).count() == 2
-    assert DigestIndex(spark, where, 4).add(batch("b", "c")).count() == 1
+    batch = lambda first, *texts: spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").select("doc_id", digest(F.col("text")).alias("digest"))
+    known = lambda: {(r["keep_id"], r["group_size"]) for r in DigestIndex(spark, where, 4).current().collect()}
+    assert DigestIndex(spark, where, 4).add(batch(0, "a", "b", "A")).count() == 2
+    assert known() == {(2, 2), (1, 1)}
+    assert DigestIndex(spark, where, 4).add(batch(9, "A", "c")).count() == 1
+    assert known() == {(9, 3), (1, 1), (10, 1)}
     index = DigestIndex(spark, where, 4)
-    assert index.plain().count() == index.bucketed().count() == 3
-    plan = batch("a").join(index.bucketed().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    index.close()
+    index = DigestIndex(spark, where, 4)
+    assert known() == {(9, 3), (1, 1), (10, 1)} and index.rows().filter("entry").count() == 3
+    plan = batch(0, "a").join(index.rows().filter("entry").select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    index.close(remove=True)
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_continued_index_covers_earlier_calls(spark, tmp_path):
+    where = str(tmp_path / "index")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id bigint, text string")
+    exact_groups(rows((1, "a"), (5, "b")), location=where, buckets=3, batches=2)
+    got = exact_groups(rows((9, "A"), (3, "b"), (4, "c")), location=where, buckets=3, batches=2)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got.collect()) == [(3, 5, 2), (4, 4, 1), (9, 9, 2)]
+
+
+def test_later_batches_are_dropped_by_the_index(spark, tmp_path, monkeypatch):
+    made, add = [], DigestIndex.add
+    monkeypatch.setattr(DigestIndex, "add", lambda self, d: made.append((d.count(), (new := add(self, d)).count())) or new)
+    exact_groups(spark.createDataFrame([(i, f"t{i % 10}") for i in range(400)], "doc_id bigint, text string")).collect()
+    assert len(made) == 4 and sum(n for n, _ in made) == 400 and sum(n for _, n in made) == 10 and made[0][1] == 10
+
+
+def test_temporary_index_leaves_nothing(spark):
+    before = spark.catalog.listTables()
+    exact_groups(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    assert spark.catalog.listTables() == before
+
+
+def test_rows_equal_but_for_case_or_not_at_all(spark):
+    rows = [(5, "Same", "x"), (5, "sAME", "y"), (5, "Same", "z"), (2, "same", None), (None, "other", None), (None, "OTHER", None), (7, None, "n"), (7, "", "e")]
+    kept = drop_exact_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [sum(1 for r in kept if r["doc_id"] == i) for i in (5, 2, None, 7)] == [1, 0, 1, 1] and len(kept) == 3
 
 
 def test_drop_keeps_columns_and_one_row_of_a_group(spark):
