@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.text import table
 from tabulon.session import cut, ship_code
@@ -46,7 +48,7 @@ def anchors(words: np.ndarray, last: np.ndarray, passage: int, span: int) -> tup
 
     ``words`` are word hashes of many texts in a row, ``last`` the number of the last word of each word's own text. Of
     every ``passage`` consecutive words, the run of ``span`` words with the smallest hash is chosen, so two texts that
-    share so many words share a chosen run. Runs over the end of a text are never chosen.
+    share so many words share a chosen run. Windows over either end of a text hold what of it there is; runs over its end are never chosen.
     """
     if len(words) < span:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -56,16 +58,24 @@ def anchors(words: np.ndarray, last: np.ndarray, passage: int, span: int) -> tup
     inside = np.arange(len(run)) + span - 1 <= last[: len(run)]
     run = np.where(inside, run, np.uint64(2**64 - 1))
     width = passage - span + 1
-    padded = np.r_[run, np.full(width - 1, np.uint64(2**64 - 1))]
-    least = _slide(padded, width, lambda a, b, n: np.minimum(a, b))  # over the window that begins at each place
-    before = np.r_[np.zeros(width - 1, np.uint64), least]
-    greatest = _slide(before, width, lambda a, b, n: np.maximum(a, b))  # of the windows that a place lies in
+    beyond = np.full(width - 1, np.uint64(2**64 - 1))
+    least = _slide(np.r_[beyond, run, beyond], width, lambda a, b, n: np.minimum(a, b))  # over the window that ends at each place
+    greatest = _slide(least, width, lambda a, b, n: np.maximum(a, b))  # of the windows that a place lies in
     at = np.flatnonzero(inside & (greatest == run))
     return run[at], at
 
 
+#: Bytes of text taken apart at once; one longer text is taken by itself.
+_PART = 8 << 20
+
+
+def text_key(text: F.Column) -> F.Column:
+    """Tells the texts of rows with the same ``doc_id`` apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def units(docs: DataFrame, passage: int, span: int, line_words: int) -> DataFrame:
-    """``digest, doc_id, start, end, line``: hashed units of every text with their places, counted in characters.
+    """``digest, doc_id, text_key, start, end, line``: hashed units of every text with their places, counted in characters.
 
     A line of at least ``line_words`` words is a unit, its words lower-cased (A-Z) and joined by single spaces; its place
     takes in the line break. The anchors of passages are the others.
@@ -73,16 +83,23 @@ def units(docs: DataFrame, passage: int, span: int, line_words: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield _units(part.column(0).to_numpy(zero_copy_only=False), part.column(1).cast(pa.binary()).to_pylist(), passage, span, line_words)
+            texts = batch.column(2).cast(pa.large_binary())
+            size = np.cumsum(pc.binary_length(texts).to_numpy()) // _PART
+            for a, n in zip(*(x.tolist() for x in _runs(size)), strict=True):
+                ids, keys = (batch.column(k).slice(a, n).to_numpy(zero_copy_only=False) for k in (0, 1))
+                yield _units(ids, keys, texts.slice(a, n).to_pylist(), passage, span, line_words)
 
     ship_code(docs.sparkSession)
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "digest bigint, doc_id bigint, start int, end int, line boolean")
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "digest bigint, doc_id bigint, text_key bigint, start int, end int, line boolean")
 
 
-def _units(ids: np.ndarray, texts: list[bytes], passage: int, span: int, line_words: int) -> pa.RecordBatch:
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(keys)])
+
+
+def _units(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], passage: int, span: int, line_words: int) -> pa.RecordBatch:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # where the separator after each text is
     begins = np.r_[0, ends[:-1] + 1]
@@ -107,54 +124,65 @@ def _units(ids: np.ndarray, texts: list[bytes], passage: int, span: int, line_wo
     line_end = np.minimum(breaks[long] + 1, ends[owner])  # the separator after a text is not the text's own
     columns.append((line.view(np.int64), owner, char[line_start] - base[owner], np.where(line_end == ends[owner], char[ends[owner]], char[np.minimum(line_end, len(char) - 1)]) - base[owner], np.ones(len(long), bool)))
     digest, owner, start, end, is_line = (np.concatenate(c) for c in zip(*columns, strict=True))
-    return pa.record_batch([pa.array(digest, pa.int64()), pa.array(ids[owner].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(is_line)], names=["digest", "doc_id", "start", "end", "line"])
+    return pa.record_batch([pa.array(digest, pa.int64()), pa.array(ids[owner].astype(np.int64)), pa.array(keys[owner].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(is_line)], names=["digest", "doc_id", "text_key", "start", "end", "line"])
 
 
 def repeated_spans(docs: DataFrame, passage: int = 50, span: int = 36, line_words: int = 20) -> DataFrame:
-    """``doc_id, start, end, first_doc_id``: disjoint stretches of text that an earlier document, or an earlier line, holds.
+    """``doc_id, text_key, start, end, first_doc_id``: disjoint stretches of text that an earlier document, or an earlier line, holds.
 
-    Offsets count characters of the original text, ``end`` exclusive. Occurrences rank by ``doc_id``, then place. A line
-    of ``line_words`` words or more goes wherever it is not the earliest. Passages need not begin or end with a line:
+    Offsets count characters of the original text, ``end`` exclusive. Occurrences rank by ``doc_id``, then text key, then place.
+    A line of ``line_words`` words or more goes wherever it is not the earliest. Passages need not begin or end with a line:
     every run of ``passage`` words that an earlier document has too loses at least one stretch of ``span`` words, and at
     most passage - span words stay at either end; no shared run under ``span`` words is touched but for whole lines.
     Within one document passages are left alone. ``first_doc_id`` is the smallest document that holds a part.
 
     Digests are 64-bit, counted per digest before the shuffle; a digest that very many documents share is joined back by
-    a plain sort-merge join that adaptive execution may split. Null texts and null ids have no units. Of rows that repeat a
-    ``doc_id`` the units are taken together: lines that both have stay in neither but the first. Other columns are ignored.
+    a plain sort-merge join that adaptive execution may split. Null texts and null ids have no units. Rows that repeat a
+    ``doc_id`` with another text are documents of their own, told apart by ``text_key``; rows that repeat both are one
+    document, so what each of them has stays in all. Other columns are ignored; an empty table has no spans.
     """
     found = cut(units(docs, passage, span, line_words))
-    ranked = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
-    shared = cut(ranked.filter("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "last_doc"))
-    later = found.join(shared, "digest").filter((F.col("doc_id") > F.col("first_doc_id")) | (F.col("line") & (F.col("doc_id") == F.col("first_doc_id")) & (F.col("start") > F.col("first_start"))))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    place = F.struct("doc_id", "text_key", "start")
+    ranked = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = cut(ranked.filter("first <> last").select("digest", "first"))
+    here = F.struct("doc_id", "text_key")
+    there = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    later = found.join(shared, "digest").filter((here > there) | (F.col("line") & (here == there) & (F.col("start") > F.col("first.start"))))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = later.select("doc_id", "start", "end", "first_doc_id").withColumn("reach", reach).withColumn("island", island)
-    return spans.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")).drop("island")
+    spans = later.select("doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id")).withColumn("reach", reach).withColumn("island", island)
+    return spans.groupBy("doc_id", "text_key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")).drop("island")
 
 
-def without(text: F.Column, spans: F.Column) -> F.Column:
-    """``text`` without the characters of ``spans``, an ascending array of disjoint (start, end)."""
-    first = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at"))
-    return F.aggregate(spans, first, step, lambda a: F.concat(a["kept"], F.substring(text, a["at"] + 1, F.length(text))))
+@F.arrow_udf(T.StringType())
+def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Each text without the characters of its spans, an ascending list of starts and ends in turn; null where there are none."""
+    out = []
+    for text, at in zip(texts, spans, strict=True):
+        text, at = text.as_py(), at.as_py()
+        out.append(None if text is None or at is None else "".join([text[a:b] for a, b in zip([0, *at[1::2]], [*at[::2], len(text)], strict=True)]))
+    return pa.array(out, pa.string())
 
 
 def drop_repeats(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with repeated stretches cut out of ``text``; all rows and columns stay, ``n_chars`` following where it exists.
 
-    A text that is one repeat from end to end becomes empty. Rows without repeats keep their text as it was.
+    A text that is one repeat from end to end becomes empty. Rows without repeats keep their text as it was, and a row loses
+    only what was found in its own text, whatever other texts have its ``doc_id``. Columns may have any names but
+    ``__id``, ``__key`` and ``__spans``. An empty table stays empty.
     """
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__spans")))
-    changed = joined.withColumn("text", text)
+    ship_code(docs.sparkSession)
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.flatten(F.transform(ordered, lambda s: F.array(s["start"], s["end"]))).alias("__spans"))
+    joined = docs.join(spans, (F.col("doc_id") == F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left")
+    some = F.col("__spans").isNotNull()
+    changed = joined.withColumn("text", F.when(some, without(F.when(some, F.col("text")), F.col("__spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        changed = changed.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of ``documents`` that repeats an earlier one, with its place and the first document that has it."""
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")

@@ -1,6 +1,8 @@
 import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabulon.llm import chat, substring
@@ -59,8 +61,89 @@ def test_no_run_of_the_guaranteed_length_stays(spark):
 
 
 def test_cutting_spans(spark):
-    df = spark.createDataFrame([("abcdéfgh", [(0, 2), (4, 5)]), ("ab", [(0, 2)])], "t string, s array<struct<start:int,end:int>>")
-    assert [r[0] for r in df.select(substring.without(F.col("t"), F.col("s"))).collect()] == ["cdfgh", ""]
+    df = spark.createDataFrame([("abcdéfgh", [0, 2, 4, 5]), ("ab", [0, 2]), ("kept", None), (None, [0, 1]), ("😀é end", [1, 3])], "t string, s array<int>")
+    assert [r[0] for r in df.select(substring.without(F.col("t"), F.col("s"))).collect()] == ["cdfgh", "", None, None, "😀end"]
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    passage, other = words(60), " ".join(words(90))
+    repeat = "start of it " + " ".join(passage) + " and its end"
+    rows = [(1, " ".join(passage)), (5, repeat), (5, other), (7, other.upper() if other.isascii() else other), (7, "tail")]
+    out = sorted(tuple(r) for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert len(out) == 5 and (5, other) in out and (1, rows[0][1]) in out and (7, "tail") in out
+    assert [t for i, t in out if i == 5 and t not in (other, repeat)] and (5, repeat) not in out and (7, "") in out
+    twice = [(3, repeat), (3, repeat), (1, " ".join(passage)), (1, " ".join(passage))]
+    again = sorted(tuple(r) for r in substring.drop_repeats(spark.createDataFrame(twice, "doc_id bigint, text string")).collect())
+    assert again[:2] == twice[2:] and again[2] == again[3] != twice[0]
+
+
+def brute_spans(rows, passage, span, line_words):
+    """The units of every text by plain loops, and what of them an earlier text or line has."""
+    units = []  # (what, document, start, end, is it a line)
+    mask = (1 << 64) - 1
+    for doc, text in rows:
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for _, _, w in found]
+        hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in low]
+        runs = []
+        for k in range(len(low) - span + 1):
+            h = 0
+            for x in hashes[k : k + span]:
+                h = (h * 0x9E3779B97F4A7C15 + x) & mask
+            h = ((h ^ (h >> 32)) * 0x9E3779B97F4A7C15) & mask
+            runs.append(h ^ (h >> 29))
+        width, chosen = passage - span + 1, set()
+        for k in range(len(runs)):  # windows over either end of a text hold what there is
+            if any(runs[k] == min(runs[max(0, a) : a + width]) for a in range(k - width + 1, k + 1)):
+                chosen.add(k)
+        units += [(tuple(low[k : k + span]), doc, found[k][0], found[k + span - 1][1], False) for k in chosen]
+        at = 0
+        for line in (text or "").split("\n"):
+            own = re.findall(r"[^\x20\x09-\x0D]+", line)
+            if len(own) >= line_words:
+                units.append((("line", *low_line(own)), doc, at, min(at + len(line) + 1, len(text)), True))
+            at += len(line) + 1
+    first = {}
+    for what, doc, start, _, _ in units:
+        first[what] = min(first.get(what, (doc, start)), (doc, start))
+    marked = {}
+    for what, doc, start, end, line in units:
+        if doc > first[what][0] or line and doc == first[what][0] and start > first[what][1]:
+            marked.setdefault(doc, set()).update(range(start, end))
+    return marked
+
+
+def low_line(own):
+    return ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in own]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_query_equals_brute_force(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    pool = [words(draw.randint(30, 70)) for _ in range(5)]
+    rows = [(0, None), (1, ""), (2, " \n "), (3, "\n" * 1000)]
+    for i in range(4, 40):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            parts += [draw.choice([" ", "\n", "  ", "\t"]).join(draw.choice([words(draw.randint(1, 40)), draw.choice(pool)])), draw.choice(["\n", " ", "\n\n"])]
+        rows.append((i, "".join(parts)))
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id bigint, text string, text_key string, start int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in substring.op3_substring(spark, str(tmp_path)).collect():
+        here = set(range(r["start"], r["end"]))
+        assert not here & got.setdefault(r["doc_id"], set())
+        got[r["doc_id"]] |= here
+    assert got == brute_spans(rows, 50, 36, 20) and got
+
+
+@pytest.mark.parametrize("text", [" " * 10**6, "w" * 10**6, "\n" * 10**6, "a b\n" * 250_000])
+def test_very_long_texts(spark, text):
+    tail = " ".join(words(60))
+    rows = [(1, tail), (2, text + "\nq " + tail + " z"), (3, text)]
+    got = {r["doc_id"]: r["text"] for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == tail and got[2].startswith(text + "\nq") and got[2].endswith(" z") and len(got[2]) < len(rows[1][1])
+    assert got[3] == text if len(text.split()) < 50 else len(got[3]) < 50
 
 
 CONVERSATIONS = [
@@ -83,6 +166,13 @@ def test_preference_pairs(spark):
     assert chat.format_pairs(chat.pair_conversations(df.limit(0))).count() == 0
 
 
+def test_very_long_turns(spark):
+    long = "é" * 10**6 + "\n" * 10**6
+    rows = [(0, 0, "user", long), (1, 0, "user", long), (0, 1, "assistant", " " * 10**6), (1, 1, "assistant", "short")]
+    got = chat.format_pairs(chat.pair_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert len(got) == 1 and got[0]["n_prefix"] == 1 and long in got[0]["prompt"] and " " * 10**6 in got[0]["chosen"]
+
+
 @pytest.mark.parametrize("table", ["/root/testdata/sf0.001"])
 def test_chat_against_sql(spark, table):
     duckdb = pytest.importorskip("duckdb")
