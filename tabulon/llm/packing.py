@@ -22,11 +22,11 @@ from tabulon.session import cut, ship_code
 Plan = Counter
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
-    """Best-fit-decreasing packing of ``counts[length]`` items of each length.
+def fill_by_moves(counts: dict[int, int], capacity: int) -> Plan:
+    """The search's first sweep: every item begins in a bin of its own and, longest first, moves into the fullest bin that has room.
 
-    Bins with equal contents are handled together, so the work depends on the number of distinct lengths alone. The
-    result is that of placing the items one by one, longest first, each into the fullest bin that has room.
+    Each move adds to the sum of squared fills and empties a bin. Bins with equal contents move together, so the work depends
+    on the number of distinct lengths alone; the result is that of moving the items one by one.
     """
     bins: dict[int, Counter] = {}  # by room left
     rooms: list[int] = []
@@ -58,15 +58,16 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return sum((bins[room] for room in rooms), Counter())
 
 
-def improve(plan: Plan, capacity: int, max_steps: int = 20_000) -> Plan:
-    """Swap-based local search between underfull bins.
+def improve(plan: Plan, capacity: int, steps: Counter | None = None) -> Plan:
+    """Swap-based local search between underfull bins; ``steps`` gets the number of each kind of step.
 
     The emptiest bin gives: an item moves to another bin, is exchanged for a smaller one there, or two items are exchanged
-    for one smaller than both together, whichever raises the sum of squared fills most. A bin that has given all is gone;
-    a bin that no step leads on from is set aside until the others have been tried. Bins of equal pattern step together where they can. The search ends
-    when the room left in all underfull bins is less than one bin, since then none can be emptied. ``max_steps`` bounds
-    the search, not the items: where it ends every item still has its place.
+    for one smaller than both together, whichever of all these raises the sum of squared fills most. A bin that has given
+    all is gone; a bin that no step leads on from is set aside until the others have been tried. Bins of equal pattern step
+    together where they can. The search ends when no step gains, or when the room left in all underfull bins is less than one bin, since
+    then none can be emptied. Every step adds to a bounded sum, so it does end.
     """
+    steps = Counter() if steps is None else steps
     full = Counter({p: n for p, n in plan.items() if n and sum(p) == capacity})
     open_ = {p: n for p, n in plan.items() if n and sum(p) < capacity}
     stuck: set[tuple] = set()
@@ -75,9 +76,7 @@ def improve(plan: Plan, capacity: int, max_steps: int = 20_000) -> Plan:
         takers.add(p)
     room = sum((capacity - sum(p)) * n for p, n in open_.items())
     queue, moved = [], True
-    for _ in range(max_steps):
-        if room < capacity:
-            break
+    while room >= capacity:
         if not queue:  # all are set aside: try them again if anything has changed since
             if not moved:
                 break
@@ -95,6 +94,7 @@ def improve(plan: Plan, capacity: int, max_steps: int = 20_000) -> Plan:
         taker, given, taken = step
         moved = True
         times = open_[giver] // 2 if taker == giver else min(open_[giver], open_[taker])
+        steps[f"{len(given)} for {len(taken)}"] += times
         for pattern in (giver, taker):
             open_[pattern] -= times
         for pattern in {giver, taker}:
@@ -117,45 +117,59 @@ def improve(plan: Plan, capacity: int, max_steps: int = 20_000) -> Plan:
 
 
 class _Takers:
-    """What each underfull pattern can give back: its fill and, a row each, nothing or one of its items."""
+    """What each underfull pattern can give back: its fill, its room and, a row each, nothing or one of its items."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.patterns, self.rows_of = capacity, [], {}
-        self.fill, self.item, self.live = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.capacity, self.used, self.live = capacity, 0, 0
+        self.patterns: list[tuple] = []
+        self.rows_of: dict[tuple, slice] = {}
+        self.fill, self.item, self.room = (np.full(4096, -1, np.int64) for _ in range(3))
 
     def add(self, pattern: tuple) -> None:
-        first, items = len(self.patterns), [0, *sorted(set(pattern))]
-        while first + len(items) > len(self.fill):
-            self.fill, self.item, self.live = (np.r_[x, np.zeros_like(x)] for x in (self.fill, self.item, self.live))
-        rows = slice(first, first + len(items))
-        self.fill[rows], self.item[rows], self.live[rows] = sum(pattern), items, True
+        items = [0, *sorted(set(pattern))]
+        while self.used + len(items) > len(self.fill):
+            if 2 * self.live < self.used:  # most rows are those of dropped patterns
+                kept, self.patterns, self.rows_of, self.used, self.live = list(self.rows_of), [], {}, 0, 0
+                self.room[:] = -1
+                for p in kept:
+                    self.add(p)
+            else:
+                self.fill, self.item, self.room = (np.r_[x, np.full_like(x, -1)] for x in (self.fill, self.item, self.room))
+        rows = slice(self.used, self.used + len(items))
+        self.fill[rows], self.item[rows], self.room[rows] = sum(pattern), items, self.capacity - sum(pattern)
         self.patterns += [pattern] * len(items)
         self.rows_of[pattern] = rows
+        self.used, self.live = rows.stop, self.live + len(items)
 
     def drop(self, pattern: tuple) -> None:
-        self.live[self.rows_of.pop(pattern)] = False
+        rows = self.rows_of.pop(pattern)
+        self.room[rows] = -1
+        self.live -= rows.stop - rows.start
 
     def best(self, giver: tuple, alone: bool) -> tuple[tuple, tuple, tuple] | None:
         """``(taker, given, taken)`` with the greatest gain in squared fill, or None. ``alone``: there is but one giver."""
-        rows = np.flatnonzero(self.live)
+        fill, item, room = self.fill[: self.used], self.item[: self.used], self.room[: self.used].copy()
         if alone:
-            own = self.rows_of[giver]
-            rows = rows[(rows < own.start) | (rows >= own.stop)]
-        fill, item, own_fill = self.fill[rows], self.item[rows], sum(giver)
-        singles = sorted(set(giver))
-        options = [(x,) for x in singles] + [(a, b) for i, a in enumerate(singles) for b in singles[i:] if a != b or giver.count(a) > 1][:64]
+            room[self.rows_of[giver]] = -1
+        own_fill, singles = sum(giver), sorted(set(giver))
+        options = [(x,) for x in singles] + [(a, b) for i, a in enumerate(singles) for b in singles[i:] if a != b or giver.count(a) > 1]
         best, found = 0, None
         for given in options:
             shift = sum(given) - item
-            gain = np.where((shift > 0) & (shift <= self.capacity - fill) & ((item > 0) | (len(given) == 1)), shift * (fill - own_fill + shift), 0)
-            top = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[top] > best:
-                best, found = gain[top], (self.patterns[rows[top]], given, (int(item[top]),) if item[top] else ())
+            able = (shift > 0) & (shift <= room)
+            at = np.flatnonzero(able if len(given) == 1 else able & (item > 0))
+            if len(at):
+                gain = shift[at] * (fill[at] - own_fill + shift[at])
+                top = int(gain.argmax())
+                if gain[top] > best:
+                    row = int(at[top])
+                    best, found = int(gain[top]), (self.patterns[row], given, (int(item[row]),) if item[row] else ())
         return found
 
 
-def solve(counts: dict[int, int], capacity: int) -> Plan:
-    return improve(best_fit_decreasing(counts, capacity), capacity)
+def solve(counts: dict[int, int], capacity: int, steps: Counter | None = None) -> Plan:
+    """Moves, longest items first, and then whatever move or swap still gains."""
+    return improve(fill_by_moves(counts, capacity), capacity, steps)
 
 
 def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:

@@ -24,6 +24,9 @@ MAX_UNITS, MAX_UNIT_CHARS = 400_000, 64
 #: Characters of new units matched at once; bounds the arrays of edges.
 MAX_MATCHED = 300_000
 
+#: Longer units are relaxed by themselves, position by position; the others together, as many steps as the longest has characters.
+LONG_UNIT = 512
+
 _NONE, _START = -1, -2
 
 
@@ -67,7 +70,9 @@ class PieceModel:
         self._split(plain)
         self._index(plain)
         self.raw = [bytes([int(self.text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else self.text[i].replace(SPACE, " ").encode() for i in range(size)]
+        self.run_ids = {len(t): i for t, i in self.id_of.items() if set(t) == {SPACE}}
         self.units: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def at(cls, path: str) -> PieceModel:
@@ -258,7 +263,8 @@ class PieceModel:
         odd = [u for u in new if u[:2] == SPACE * 2]
         plain = [u for u in new if u[:2] != SPACE * 2]
         plain += {SPACE + u.lstrip(SPACE) for u in odd} - {SPACE} - new.keys()
-        at = 0
+        new |= {u: self.encode_long(u) for u in plain if len(u) > LONG_UNIT}
+        plain, at = [u for u in plain if len(u) <= LONG_UNIT], 0
         while at < len(plain):
             end, size = at, 0
             while end < len(plain) and (end == at or size + len(plain[end]) <= MAX_MATCHED):
@@ -272,14 +278,47 @@ class PieceModel:
 
     def _spaces(self, count: int) -> list[int]:
         """A run of spaces: its merges all rank the same and after all others, so the leftmost possible one is always next."""
-        parts, k = [1] * count, 0
-        while k < len(parts) - 1:
-            if SPACE * (parts[k] + parts[k + 1]) in self.id_of:
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                k = max(k - 1, 0)
+        parts = [1]
+        for _ in range(count - 1):
+            if parts[-1] + 1 in self.run_ids:
+                parts[-1] += 1
+                while len(parts) > 1 and parts[-2] + parts[-1] in self.run_ids:
+                    top = parts.pop()
+                    parts[-1] += top
             else:
-                k += 1
-        return [self.id_of[SPACE * n] for n in parts]
+                parts.append(1)
+        return [self.run_ids[n] for n in parts]
+
+    def encode_long(self, unit: str) -> bytes:
+        """The ids of one unit of any length, its edges matched ``MAX_MATCHED`` positions at a time and relaxed one by one."""
+        reach, n = int(self.length.max()), len(unit)
+        last, lengths = [_NONE] * (n + 1), self.length.tolist()
+        last[0] = _START
+        for at in range(0, n, MAX_MATCHED):
+            position, piece, _, _ = self.edges([unit[at : at + MAX_MATCHED + reach]])
+            inside = np.flatnonzero(position < MAX_MATCHED)
+            inside = inside[np.argsort(position[inside], kind="stable")]
+            for lo in range(0, len(inside), 100_000):
+                part = inside[lo : lo + 100_000]
+                for start, now in zip((position[part] + at).tolist(), piece[part].tolist(), strict=True):
+                    before = last[start]
+                    if before != _NONE and (before == _START or self._stay_apart(before, now)):
+                        last[start + lengths[now]] = now
+        ids, here = [], n
+        while here:
+            now = last[here]
+            here -= lengths[now]
+            ids += [self.byte_ids[x] for x in reversed(unit[here].encode("utf-8", "surrogatepass"))] if now == self.unknown else [now]
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """``apart`` for one pair of pieces, remembered."""
+        key = a << 32 | b
+        if key not in self.pairs:
+            if len(self.pairs) > MAX_UNITS:
+                self.pairs.clear()
+            self.pairs[key] = self.unknown in (a, b) or bool(self.apart(np.array([a]), np.array([b]))[0])
+        return self.pairs[key]
 
     def _after_spaces(self, unit: str, known: dict[str, bytes]) -> bytes:
         """A unit of several spaces and a word: the last space goes with the word unless it stays a piece of its own."""

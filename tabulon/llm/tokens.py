@@ -16,6 +16,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Distinct words kept per worker process; beyond that the memory is emptied and filled anew.
 MAX_WORDS = 800_000
 
+#: White space as the split sees it, in a run too long for its look-ahead.
+_LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+
 #: Before such a space the text can be cut without changing any id: it has a visible character on either side.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"\s | \s|^ | $")
@@ -53,7 +56,15 @@ class ByteBPE:
         return cls._open[vocabulary]
 
     def _raw(self, text: str) -> bytes:
-        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        """The ids of any text. In a long run of white space all but the last character, which goes with what follows, are one word."""
+        ids, at = array("I"), 0
+        if len(text) >= 4096:
+            for run in _LONG_RUN.finditer(text):
+                ids.extend(self.encoding.encode_ordinary(text[at : run.start()]))
+                at = run.end() - (run.end() < len(text))
+                ids.extend(self.encoding._encode_single_piece(text[run.start() : at]))
+        ids.extend(self.encoding.encode_ordinary(text[at:]))
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""

@@ -27,6 +27,20 @@ def test_byte_ids_equal_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("run", [" " * 10**6, "\n" * 10**6, " \n\t" * 300_000, "\x1c " * 5000, " " * 4096, " " * 4095])
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("word", "next"), ("a ", "\x1d"), ("it's", "'s é")])
+def test_byte_ids_of_long_white_space(run, before, after):
+    library = Tokenizer.from_file(default_vocabulary())
+    text = before + run + after
+    assert np.frombuffer(ByteBPE.at(default_vocabulary()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_ids_of_long_words():
+    library, own = Tokenizer.from_file(default_vocabulary()), ByteBPE.at(default_vocabulary())
+    for text in ("a" * 10**6, "xq7" * 10**5, "!" * 10**5, "é" * 10**5):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def plain_best_fit(items, capacity):
     bins = []
     for x in sorted(items, reverse=True):
@@ -39,7 +53,7 @@ def plain_best_fit(items, capacity):
 def test_plans_hold_every_item(seed):
     draw = random.Random(seed)
     items = [draw.randint(1, 100) for _ in range(draw.randint(1, 300))]
-    first = packing.best_fit_decreasing(Counter(items), 100)
+    first = packing.fill_by_moves(Counter(items), 100)
     assert sum(first.values()) == plain_best_fit(items, 100)
     better = packing.improve(first, 100)
     for plan in (first, better):
@@ -47,6 +61,38 @@ def test_plans_hold_every_item(seed):
     assert -(-sum(items) // 100) <= sum(better.values()) <= sum(first.values())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_steps_of_every_kind_from_single_bins(seed):
+    """From bins of one item each the search reaches the bound or nearly so, and uses moves and both kinds of swap."""
+    draw, steps = random.Random(seed), Counter()
+    items = Counter(draw.randint(1, 400) for _ in range(2000))
+    plan = packing.improve(Counter({(x,): n for x, n in items.items()}), 1000, steps)
+    assert Counter(x for p, n in plan.items() for x in p * n) == items and max(map(sum, plan)) <= 1000
+    bound = -(-sum(x * n for x, n in items.items()) // 1000)
+    assert sum(plan.values()) <= 1.01 * bound and set(steps) == {"1 for 0", "1 for 1", "2 for 1"}
+
+
+def test_the_best_step_is_found_among_all():
+    draw = random.Random(3)
+    for _ in range(50):
+        patterns = list({tuple(sorted(draw.sample(range(1, 60), draw.randint(1, 14)), reverse=True)) for _ in range(6)})
+        patterns = [p for p in patterns if sum(p) < 500]
+        takers = packing._Takers(500)
+        for p in patterns:
+            takers.add(p)
+        for giver in patterns:
+            gains = [0]
+            for taker in patterns:
+                for given in [(x,) for x in giver] + [(a, b) for i, a in enumerate(giver) for b in giver[i + 1 :]]:
+                    for back in (0, *taker) if len(given) == 1 else taker:
+                        shift = sum(given) - back
+                        if taker != giver and shift > 0 and sum(taker) + shift <= 500:
+                            gains.append(shift * (sum(taker) - sum(giver) + shift))
+            step = takers.best(giver, alone=True)
+            shift = sum(step[1]) - sum(step[2]) if step else 0
+            assert max(gains) == (shift * (sum(step[0]) - sum(giver) + shift) if step else 0)
+
+
 def test_swaps_empty_a_bin():
     # 6+3 | 5+4 | 2: no bin has room for the 2, but 6+4, 5+3+2 fills two bins
     assert sum(packing.improve(Counter({(6, 3): 1, (5, 4): 1, (2,): 1}), 10).values()) == 2
@@ -91,6 +137,31 @@ def test_piece_ids_and_decoding_equal_the_library():
     assert [own.decode(ids) for ids in want] == library.decode(want)
 
 
+def test_piece_ids_of_long_units_equal_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel.at(path)
+    draw = random.Random(4)
+    texts = [" " * 10**6, "a" + " " * 70_001 + "b", "\n" * 30_000, "x" * 20_000, "".join(draw.choice("abcdet") for _ in range(30_000)), "é中😀" * 3000 + " end", "the" * 400]
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text)
+
+
+def test_long_units_are_matched_in_windows(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, draw = pieces.PieceModel.at(path), random.Random(6)
+    unit = "▁" + "".join(draw.choice("abcdet é") for _ in range(3000)).replace(" ", "")
+    want = own.encode_units([unit])[0]
+    monkeypatch.setattr(pieces, "MAX_MATCHED", 70)
+    assert own.encode_long(unit) == want
+
+
+def test_a_word_of_a_million_letters_round_trips():
+    own = pieces.PieceModel.at(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ("ab" * 500_000, "\n" * 10**6):
+        ids = np.frombuffer(own.encode([text])[0], "<u4")
+        assert own.decode(ids) == text
+
+
 def test_merging_agrees_with_relaxing():
     own = pieces.PieceModel.at(public_tokenizers.path("piece_bpe_32k.model"))
     units = sorted({"▁" + w for t in random_texts(300, 2) for w in t.replace("▁", " ").split(" ") if w and w.isascii()})
