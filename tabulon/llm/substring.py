@@ -66,7 +66,7 @@ def anchors(words: np.ndarray, last: np.ndarray, passage: int, span: int) -> tup
 
 
 #: Bytes of text taken apart at once; one longer text is taken by itself.
-_PART = 8 << 20
+_PART = 2 << 20
 
 
 def text_key(text: F.Column) -> F.Column:

@@ -14,7 +14,7 @@ import tiktoken
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct words kept per worker process; beyond that the memory is emptied and filled anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 250_000
 
 #: White space as the split sees it, in a run too long for its look-ahead.
 _LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
