@@ -84,19 +84,26 @@ def _settled(out: DataFrame, own: list[str], names: tuple[str, ...]) -> DataFram
 
 
 def drawn_labels(labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
-    """``__id, __label`` of about ``max_labelled`` labelled rows at most, none held out, drawn by a hash of the id.
+    """``__id, __label`` of about ``max_labelled`` labelled ids at most, none held out, drawn by a hash of the id.
 
     The count of labels gives the hash threshold, so there is no sort and no limit on unordered rows, and what comes
-    back may be broadcast whatever the corpus. A document with two labels counts twice; null labels count for nothing.
+    back may be broadcast whatever the corpus. A document labelled both ways counts as each once; a label that is
+    repeated counts once, null labels for nothing.
     """
-    known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
+    known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).distinct()
     share = min(1.0, max_labelled / max(1, known.count()))
     return known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
+    """``doc_id, text, __label`` of about ``max_labelled`` rows at most, drawn again by id and text if many rows share the drawn ids."""
+    known = F.broadcast(drawn_labels(labels, label, max_labelled))
+    share = min(1.0, max_labelled / max(1, docs.select("doc_id").join(known, F.col("doc_id") == F.col("__id")).count()))
+    joined = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"))
+    return joined if share == 1 else joined.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, features: tuple[str, ...], max_labelled: int) -> tuple[list[list[float]], list[int]]:
     """Features and labels of a drawn sample of the labelled rows. Only the drawn texts are analysed, and none is shuffled."""
-    known = F.broadcast(drawn_labels(labels, label, max_labelled))
-    drawn = with_statistics(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")))
-    rows = sorted(drawn.select(*features, "__label").collect())
+    rows = sorted(with_statistics(labelled_rows(docs, labels, label, max_labelled)).select(*features, "__label").collect())
     return [[float(v) for v in r[:-1]] for r in rows], [int(r[-1]) for r in rows]

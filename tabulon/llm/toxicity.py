@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.statistics import drawn_labels
+from tabulon.llm.statistics import labelled_rows
 from tabulon.llm.text import held_out, table
 from tabulon.session import ship_code
 
@@ -122,8 +122,8 @@ def fit(texts: list[str], labels: np.ndarray, orders: tuple[int, ...] = (4, 5, 6
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of a drawn sample of the labelled rows, fewer of them if they hold more than ``max_bytes``."""
-    known = F.broadcast(drawn_labels(labels, label, max_labelled))
-    joined = docs.join(known, F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), "__label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)).alias("__draw"))
+    rows = labelled_rows(docs, labels, label, max_labelled)
+    joined = rows.select(F.coalesce("text", F.lit("")).alias("text"), "__label", F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 20)).alias("__draw"))
     size = joined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, max_bytes / max(1, size))
     drawn = sorted(joined.filter(F.col("__draw") < int(share * (1 << 20))).select("text", "__label").collect())
