@@ -494,8 +494,8 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     members = cut(nodes.drop("print").join(clusters, "node"))
     labels = connected_components(verified_links(docs, members, shingle, similarity, block)).select("node", F.col("component").alias("label"))
     named = cut(prints.join(labels, "node", "left").select("doc_id", "text_digest", F.coalesce("label", "node").alias("label")))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label").select("doc_id", "text_digest", "component_id")
+    reached = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    return named.join(reached, "label").select("doc_id", "text_digest", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
