@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +19,18 @@ from tabulon.session import ship_code
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+def _hashes(text: str) -> list[int]:
+    """The first 32 bits of the MD5 of every word, as any engine can make them."""
+    return [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
 def hashing_embedder(width: int = 64) -> Embedder:
     """Counts of words hashed to ``width`` signed places, for use where no encoder is at hand."""
-    import zlib
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width), np.float32)
         for row, text in enumerate(texts):
-            for word in text.split():
-                h = zlib.crc32(word.encode())
+            for h in _hashes(text):
                 out[row, h % width] += 1.0 if h >> 31 else -1.0
         return out
 
@@ -71,6 +76,4 @@ def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int =
 
 def hashing_tokens(size: int = 50_000) -> TokenEncoder:
     """Words hashed to ids from 1 on, for use where no tokenizer is at hand."""
-    import zlib
-
-    return lambda texts: [[1 + zlib.crc32(w.encode()) % size for w in t.split()] for t in texts]
+    return lambda texts: [[1 + h % size for h in _hashes(t)] for t in texts]

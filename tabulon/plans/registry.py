@@ -211,22 +211,32 @@ def kruskal_multi(spark, d):
     return _rounded(ranks.kruskal(_table(spark, d, "lineitem"), "l_returnflag", _LINE_FEATURES, ["A", "N", "R"])).orderBy(F.desc("eta2"), "feature")
 
 
-@query(f"""
+_PAIRS_SQL = f"""
 WITH c AS (SELECT unnest({EVENT_TYPES}) AS c, unnest(range(0, {len(EVENT_TYPES)})) AS ord),
 p AS (SELECT a.c AS first, b.c AS second FROM c a JOIN c b ON a.ord < b.ord),
 r AS (SELECT first, second, event_type = first AS mine, value, rank() OVER w + (count(*) OVER (PARTITION BY first, second, value) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY first, second, value) AS t
   FROM p JOIN events ON event_type IN (first, second) WHERE value IS NOT NULL WINDOW w AS (PARTITION BY first, second ORDER BY value)),
 s AS (SELECT first, second, count(*) FILTER (mine) AS n1, count(*) FILTER (NOT mine) AS n2, sum(rk::DOUBLE) FILTER (mine) - count(*) FILTER (mine) * (count(*) FILTER (mine) + 1) / 2.0::DOUBLE AS u, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY ALL),
-z AS (SELECT *, (abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5) / sqrt(n1::DOUBLE * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z, 2 * u / (n1::DOUBLE * n2) - 1 AS delta FROM s)
-SELECT 'value' AS feature, first, second, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(delta, 6) AS delta,
-  CASE WHEN abs(delta) >= 0.474 THEN 'Large' WHEN abs(delta) >= 0.33 THEN 'Medium' WHEN abs(delta) >= 0.147 THEN 'Small' ELSE 'Negligible' END AS effect FROM z""")
+z AS (SELECT *, (abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5) / sqrt(n1::DOUBLE * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z, 2 * u / (n1::DOUBLE * n2) - 1 AS delta FROM s),
+e AS (SELECT *, CASE WHEN abs(delta) >= 0.474 THEN 'Large' WHEN abs(delta) >= 0.33 THEN 'Medium' WHEN abs(delta) >= 0.147 THEN 'Small' ELSE 'Negligible' END AS effect FROM z)
+"""
+
+
+@query(_PAIRS_SQL + "SELECT 'value' AS feature, first, second, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(delta, 6) AS delta, effect FROM e")
 def mann_whitney(spark, d):
     return _rounded(ranks.mann_whitney(_table(spark, d, "events"), "event_type", ["value"], EVENT_TYPES))
 
 
-@query()
+#: The error function as its power series, which serves for the deviates of these tables.
+_ERF_SQL = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda n: (1 - 2 * (n % 2)) * pow(z / sqrt(2), 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1))))"
+
+
+@query(_PAIRS_SQL + f"""
+SELECT 'value' AS feature, first || ' vs ' || second AS pair, round_even(u, 0) AS u, round_even(p * 10, 6) AS p_adjusted, CASE WHEN p < 0.005 THEN 'Yes' ELSE 'No' END AS significant, round_even(delta, 3) + 0 AS delta, effect
+FROM (SELECT *, least(1, 1 - {_ERF_SQL}) AS p FROM e)""")
 def pairwise_table(spark, d):
-    return ranks.pairwise_table(_table(spark, d, "events"), "event_type", ["value"], EVENT_TYPES)
+    out = ranks.pairwise_table(_table(spark, d, "events"), "event_type", ["value"], EVENT_TYPES)
+    return out.withColumn("delta", F.col("delta") + 0.0)
 
 
 @query("SELECT o_orderkey, round((coalesce(o_totalprice, 0) - avg(coalesce(o_totalprice, 0)) OVER ()) / stddev_pop(coalesce(o_totalprice, 0)) OVER (), 6) AS o_totalprice FROM orders")
@@ -622,13 +632,23 @@ def linear_head(spark, d):
     return _rounded(evaluation.scores(shown, "truth", "predicted"), 2)
 
 
-@query()
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+')"
+
+
+@query(f"""
+SELECT doc_id, coalesce(list_aggregate(list_transform(({_WORDS_SQL})[1:512], lambda w: (1 + ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000)::VARCHAR), 'string_agg', ' '), '') AS ids FROM documents""")
 def token_ids(spark, d):
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    return embed.token_ids(docs, "text", embed.hashing_tokens()).select("doc_id", F.size("input_ids").alias("width"), F.crc32(F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"))
+    docs = embed.token_ids(_table(spark, d, "documents").select("doc_id", "text"), "text", embed.hashing_tokens(50_000))
+    return docs.select("doc_id", F.array_join(F.transform(F.array_remove("input_ids", 0), lambda i: i.cast("string")), " ").alias("ids"))  # without the padding
 
 
-@query()
+@query(rf"""
+WITH t AS (
+  SELECT p_partkey AS graph, 0 AS pos, 'code=''it\''s\n' || p_type || ''', name=''' || p_name || '''' AS text FROM part UNION ALL SELECT p_partkey, 1, 'order=''' || p_size || '''' FROM part),
+w AS (SELECT graph, pos, ('0x' || substr(md5(unnest({_WORDS_SQL})), 1, 8))::BIGINT AS h FROM t),
+v AS (SELECT graph, pos, h % 16 AS dim, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::INT AS x FROM w GROUP BY ALL),
+g AS (SELECT graph, pos, unnest(range(0, 16)) AS dim FROM t)
+SELECT graph, pos, string_agg(coalesce(x, 0)::VARCHAR, ' ' ORDER BY dim) AS x FROM g LEFT JOIN v USING (graph, pos, dim) GROUP BY graph, pos""")
 def node_embeddings(spark, d):
     nodes = graphml.node_rows(_part_graphs(spark, d), "p_partkey").filter("text <> ''")
     vectors_of = embed.embed_texts(nodes.select("graph", "pos", "text"), "text", embed.hashing_embedder(16), out="x")
