@@ -1,11 +1,10 @@
-"""Byte-level BPE ids of whole texts, with each distinct word encoded once per worker."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
 import json
 import re
 from array import array
-from collections.abc import Callable
 from pathlib import Path
 
 import tiktoken
@@ -13,16 +12,9 @@ import tiktoken
 #: The split that the byte-level vocabulary was built for (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Distinct words kept per worker process; beyond that the memory is emptied and filled anew.
-MAX_WORDS = 250_000
-
 #: White space as the split sees it, in a run too long for its look-ahead.
 _LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
-#: Before such a space the text can be cut without changing any id: it has a visible character on either side.
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"\s | \s|^ | $")
-
 
 def _byte_of_char() -> dict[str, int]:
     """The printable stand-in of each byte in the vocabulary file: visible Latin-1 characters stand for themselves, the
@@ -46,7 +38,6 @@ class ByteBPE:
                 ranks[bytes(stand[c] for c in piece)] = rank
         ranks.pop(b"<|endoftext|>", None)
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Words(self._raw)
 
     @classmethod
     def at(cls, vocabulary: str) -> ByteBPE:
@@ -55,8 +46,11 @@ class ByteBPE:
             cls._open[vocabulary] = cls(vocabulary)
         return cls._open[vocabulary]
 
-    def _raw(self, text: str) -> bytes:
-        """The ids of any text. In a long run of white space all but the last character, which goes with what follows, are one word."""
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers.
+
+        In a long run of white space all but the last character, which goes with what follows, are one word.
+        """
         ids, at = array("I"), 0
         if len(text) >= 4096:
             for run in _LONG_RUN.finditer(text):
@@ -66,28 +60,6 @@ class ByteBPE:
         ids.extend(self.encoding.encode_ordinary(text[at:]))
         return ids.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        parts = _LONE_SPACE.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        return self._raw(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
-
-
-class _Words(dict):
-    """Ids by word, the space before it included; long words are encoded each time."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -95,4 +67,4 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["MAX_WORDS", "PATTERN", "ByteBPE", "default_vocabulary"]
+__all__ = ["PATTERN", "ByteBPE", "default_vocabulary"]
