@@ -133,6 +133,17 @@ def routing(scores: Column, least: float = 0.01) -> Column:
     return F.transform(raised, lambda x: F.lit(least) + F.lit(1 - 2 * least) * x / total)
 
 
+def mean_routing(rows: DataFrame, batch: str, weights: str) -> DataFrame:
+    """``batch, expert, weight``: the mean weight of each expert over a batch."""
+    long = rows.select(batch, F.posexplode(weights).alias("expert", "w"))
+    return long.groupBy(batch, "expert").agg(F.avg("w").alias("weight"))
+
+
+def side_by_side(*vectors: Column) -> Column:
+    """Several vectors of a row as one; null if any of them is."""
+    return F.concat(*vectors)
+
+
 def fuse(a: Column, b: Column, weights: Column) -> Column:
     """The two expert vectors, weighted. Equal halves make the fixed fusion."""
     return F.zip_with(a, b, lambda x, y: F.get(weights, F.lit(0)) * x.cast("double") + F.get(weights, F.lit(1)) * y.cast("double"))

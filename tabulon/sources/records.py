@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,16 @@ def with_analysis(samples: DataFrame, analyse: Callable[[str, str], str | None],
     return rows.mapInPandas(run, schema)
 
 
+def in_temp_folder(analyse: Callable[[str, str, str], str | None]) -> Callable[[str, str], str | None]:
+    """An analyser of (code, suffix) from one of (code, suffix, folder): each call has an empty folder, which goes whatever happens."""
+
+    def run(code: str, end: str) -> str | None:
+        with tempfile.TemporaryDirectory() as folder:
+            return analyse(code, end, folder)
+
+    return run
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -124,6 +135,11 @@ def cached_by_key(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return cache
 
 
+def attach(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of a cache that has just its keys: what belongs to a row is told by the key, not by the place."""
+    return df.join(cached_by_key(df, cache, key), key)
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of every file below a folder; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
