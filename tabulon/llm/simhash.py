@@ -96,7 +96,11 @@ def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarra
     Own rows come first in a group. Probes are not compared with each other: two of them meet elsewhere. Of all links
     within a group only a spanning forest leaves: at most one edge a row.
     """
-    place = np.zeros(len(fp), np.int64) if place is None else place
+
+    def alike(i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+        return near if place is None else near & (np.abs(place[i] - place[j]) <= slack)
+
     before = np.r_[0, np.cumsum(own)]
     owned = before[starts + sizes] - before[starts]
     work = owned * sizes
@@ -113,7 +117,7 @@ def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarra
                 n = rest[lo:hi]
                 i = np.repeat(first[lo:hi] + d, n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                hit = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (np.abs(place[i] - place[j]) <= slack)
+                hit = alike(i, j)
                 if hit.any():
                     label = smallest(label, i[hit], j[hit])
     for s, n, o in zip(starts[work > _PAIRWISE], sizes[work > _PAIRWISE], owned[work > _PAIRWISE], strict=True):
@@ -122,10 +126,10 @@ def _links(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarra
             root, mine, queue = mine[0], mine[1:], [mine[0]]
             while queue:
                 at = queue.pop()
-                near = (np.bitwise_count(fp[mine] ^ fp[at]) <= distance) & (np.abs(place[mine] - place[at]) <= slack)
+                near = alike(mine, at)
                 reached, mine = mine[near], mine[~near]
                 if at < s + o:
-                    near = (np.bitwise_count(fp[probes] ^ fp[at]) <= distance) & (np.abs(place[probes] - place[at]) <= slack)
+                    near = alike(probes, at)
                     reached, probes = np.r_[reached, probes[near]], probes[~near]
                 label[reached] = root
                 queue.extend(reached)
@@ -210,15 +214,21 @@ def _then_none(items: Iterator) -> Iterator:
     yield None
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3, seed: int = 42) -> DataFrame:
+#: Up to so many fingerprints three segments (21 bits each) cost less than the two of 32 bits that more of them need.
+THREE_SEGMENTS = 1 << 28
+
+
+def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int | None = None, seed: int = 42) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``; the component is the smallest ``doc_id`` reachable.
 
     Exact copies share a fingerprint and collapse before anything is compared. Null and empty texts have fingerprint 0 and
     link like any other. Rows that repeat a ``doc_id`` keep a row each. A null ``doc_id`` links like any other and is the
-    component of a group only if the group has no other. Other columns of ``docs`` are ignored.
+    component of a group only if the group has no other. Other columns of ``docs`` are ignored. ``segments`` follows from the
+    number of distinct fingerprints unless it is given; the groups do not depend on it.
     """
     prints = cut(fingerprints(docs, shingle, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    segments = segments or (3 if distinct.count() <= THREE_SEGMENTS else 2)
     labelled = cut(distinct.join(near_groups(distinct, distance, segments), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     smallest = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     named = cut(labelled.join(smallest, "label").select("fp", "component_id"))
@@ -385,7 +395,7 @@ def _alike(sets: list[np.ndarray], label: np.ndarray, asks: np.ndarray, similari
         mark[own] = True
         common = np.add.reduceat(mark[code], starts, dtype=np.int64)
         mark[own] = False
-        near = np.flatnonzero((common >= similarity * (sizes + sizes[at] - common)) & (label != label[at]))
+        near = np.flatnonzero((common >= similarity * (sizes + sizes[at] - common) - 1e-9) & (label != label[at]))
         for other in near:
             if label[other] != label[at]:
                 label[label == label[other]] = label[at]
@@ -448,12 +458,13 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity
     """``a, b``: links of Jaccard similarity ``similarity`` or more that connect all nodes of a cluster which such links connect.
 
     ``members`` has ``node, doc_id, text_digest, size, cluster``; the text of a node is that of its ``doc_id`` and
-    ``text_digest`` in ``docs``. A cluster is dealt into blocks of about ``block`` shingles, each compared by itself, so a
-    cluster that fits one block is settled there. In a larger one all nodes but those of its largest group so far are then
+    ``text_digest`` in ``docs``. A cluster is dealt into blocks of about ``block`` shingles, or smaller ones if these are
+    fewer than 16 so that tasks can share the work, each compared by itself; a small cluster is settled there. In a larger one all nodes but those of its largest group so far are then
     compared with every block; two nodes of the largest group need no comparison, being connected already. So all pairs that could
     matter are compared, and a large group around common texts is not copied once per block.
     """
-    totals = members.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
+    blocks = lambda each: F.ceil(F.sum("size") / F.lit(each)).cast("int")
+    totals = members.groupBy("cluster").agg(F.greatest(blocks(block), F.least(F.lit(16), blocks(max(1, block >> 3)))).alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("text_digest"), F.col("text").cast("string").alias("text"))
     wanted = members.join(totals, "cluster").withColumnsRenamed({"doc_id": "__id", "text_digest": "__digest"})
     chosen = texts.join(wanted, (F.col("text_digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "cluster", "blocks", "text")

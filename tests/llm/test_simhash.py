@@ -38,7 +38,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(None if text is None else text.encode()) == brute_print(text)
 
 
-@pytest.mark.parametrize(("distance", "segments"), [(4, 3), (11, 6), (11, 4), (3, 3), (5, 2), (0, 3)])
+@pytest.mark.parametrize(("distance", "segments"), [(4, 3), (4, 2), (11, 6), (11, 4), (3, 3), (5, 2), (0, 3)])
 def test_plan_misses_no_pair(distance, segments):
     plan, draw = simhash.segment_plan(distance, segments), np.random.default_rng(0)
     for _ in range(2000):
@@ -47,7 +47,7 @@ def test_plan_misses_no_pair(distance, segments):
 
 
 @pytest.mark.parametrize("dense_rows", [131072, 12])
-@pytest.mark.parametrize(("distance", "segments"), [(4, 3), (11, 6)])
+@pytest.mark.parametrize(("distance", "segments"), [(4, 3), (4, 2), (11, 6)])
 def test_groups_equal_brute_force(spark, dense_rows, distance, segments):
     draw = random.Random(distance)
     centres = [draw.getrandbits(64) for _ in range(4)]
