@@ -71,10 +71,20 @@ def project(nodes: DataFrame, projections: dict[str, Linear]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _mean(x: Column) -> Column:
+#: Vectors of up to so many numbers are averaged as columns of their own, which the aggregation compiles; longer ones as vectors.
+MAX_COLUMNS = 32
+
+
+def _mean(x: str, width: int) -> Column:
+    if width <= MAX_COLUMNS:
+        return F.array(*[F.avg(F.get(x, F.lit(i))) for i in range(width)])
     return vector_to_array(Summarizer.mean(array_to_vector(x)))
 
 
+def _width(nodes: DataFrame) -> int:
+    return nodes.agg(F.max(F.size("x"))).first()[0] or 0
+
+
 def convolve(nodes: DataFrame, edges: DataFrame, convolutions: dict[EdgeType, Convolution]) -> DataFrame:
     """One layer: the convolutions of a node's edge types added up, ReLU, plus the node's old state.
 
@@ -86,7 +96,7 @@ def convolve(nodes: DataFrame, edges: DataFrame, convolutions: dict[EdgeType, Co
     reached = sorted({e[2] for e in used})
     source = nodes.select("graph", F.col("type").alias("src_type"), F.col("pos").alias("src_pos"), "x")
     kinds = edges.select("graph", "src_type", F.col("src_pos").cast("long").alias("src_pos"), "rel", "dst_type", F.col("dst_pos").cast("long").alias("dst_pos"))
-    means = kinds.join(source, ["graph", "src_type", "src_pos"]).groupBy("graph", F.col("dst_type").alias("type"), F.col("dst_pos").alias("pos"), "src_type", "rel").agg(_mean(F.col("x")).alias("mean"))
+    means = kinds.join(source, ["graph", "src_type", "src_pos"]).groupBy("graph", F.col("dst_type").alias("type"), F.col("dst_pos").alias("pos"), "src_type", "rel").agg(_mean("x", _width(nodes)).alias("mean"))
     given = means.groupBy("graph", "type", "pos").agg(F.collect_list(F.struct("src_type", "rel", "mean")).alias("means"))  # at most one an edge type
     both = nodes.filter(F.col("type").isin(reached)).join(given, ["graph", "type", "pos"], "left").select("graph", "type", "pos", "x", "means")
 
@@ -116,7 +126,7 @@ def readout(nodes: DataFrame, graphs: DataFrame | None = None, output: Linear |
     With ``graphs`` (``graph``) every one of them has a row; one without nodes has the projection of zeros.
     """
     types = nodes.agg(F.count_distinct("type")).first()[0]
-    means = nodes.groupBy("graph", "type").agg(_mean(F.col("x")).alias("m"))
+    means = nodes.groupBy("graph", "type").agg(_mean("x", _width(nodes)).alias("m"))
     pooled = means.groupBy("graph").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("x"))
     if graphs is not None:
         pooled = graphs.select("graph").distinct().join(pooled, "graph", "left")
@@ -134,7 +144,8 @@ def readout(nodes: DataFrame, graphs: DataFrame | None = None, output: Linear |
 
 
 def encode(nodes: DataFrame, edges: DataFrame, model: GraphEncoder, graphs: DataFrame | None = None) -> DataFrame:
-    """``graph, x``: the vector of every graph. The states are cut after each layer."""
+    """``graph, x``: the vector of every graph. The edges are cut once, the states after each layer."""
+    edges = cut(edges.select("graph", "src_type", "src_pos", "rel", "dst_type", "dst_pos"))
     states = cut(project(nodes, model.projections))
     for layer in model.layers:
         states = cut(convolve(states, edges, layer))
