@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.audit import OP11_SQL, op11_filter_audit
 from tabulon.llm.chat import OP4_SQL, op4_chat
 from tabulon.llm.ensemble import op2_quality
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_shards": op10_shards,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op4_chat": OP4_SQL,
+        "op11_filter_audit": OP11_SQL,
     }
