@@ -10,6 +10,8 @@ from tabulon.llm.audit import OP11_SQL, op11_filter_audit
 from tabulon.llm.chat import OP4_SQL, op4_chat
 from tabulon.llm.ensemble import op2_quality
 from tabulon.llm.exact import OP1_SQL, op1_exact_dedup
+from tabulon.llm.importance import OP13_SQL, op13_importance
+from tabulon.llm.mixing import OP12_SQL, op12_mixing
 from tabulon.llm.packing import op8_packing
 from tabulon.llm.pieces import op5_pieces
 from tabulon.llm.rules import op7_quality_rules
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_shards": op10_shards,
         "op11_filter_audit": op11_filter_audit,
+        "op12_mixing": op12_mixing,
+        "op13_importance": op13_importance,
     }
 
 
@@ -40,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": OP1_SQL,
         "op4_chat": OP4_SQL,
         "op11_filter_audit": OP11_SQL,
+        "op12_mixing": OP12_SQL,
+        "op13_importance": OP13_SQL,
     }
