@@ -14,8 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.text import table
+from tabulon.llm.text import table, text_key
 from tabulon.llm.tokens import ByteBPE, default_vocabulary
+from tabulon.operators.order import join_null_safe
 from tabulon.session import cut, ship_code
 
 #: A pattern is the descending lengths in one bin; a plan says how many bins have each pattern.
@@ -179,23 +180,23 @@ def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and the piece's task and rank among that task's pieces of its length."""
+    """``doc_id, text_key, piece, start, length, ids_crc32`` and the piece's task and rank among that task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, task, seen = ByteBPE.at(vocabulary), TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = bpe.encode(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
+                    rows.append((doc_id, key, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
                     seen[length] += 1
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names=names)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 8, names=names)
 
     ship_code(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    names = ["doc_id", "text_key", "piece", "start", "length", "ids_crc32", "task", "rank"]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def places(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
@@ -214,10 +215,11 @@ def places(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every document's tokens packed into sequences.
+    """``doc_id, text_key, piece, start, length, ids_crc32, sequence_id, offset``: every document's tokens packed into sequences.
 
     A document is its ids and ``end_id``; null and empty texts are that id alone. Documents over ``capacity`` are cut. Rows
-    that repeat a ``doc_id`` are packed like any others, null ids too; an empty table gives no rows; other columns are ignored.
+    that repeat a ``doc_id`` are packed like any others, null ids too; ``text_key`` tells whose text a piece is, so ``sequences`` can build
+    them. An empty table gives no rows; other columns are ignored.
 
     Which sequence a piece joins depends on its length alone, so the driver solves the packing on the histogram of
     lengths (``capacity`` numbers at most, whatever the corpus) and the pieces of a length are dealt to that length's
@@ -242,14 +244,42 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
                 k = np.searchsorted(first, rank[rows], side="right") - 1
                 nth = rank[rows] - first[k]
                 sequence[rows], offset[rows] = base[k] + nth // items[k], at[k] + nth % items[k] * value
-            yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=out)
+            yield pa.record_batch([*batch.columns[:6], pa.array(sequence), pa.array(offset)], names=out)
 
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kept = ["doc_id", "text_key", "piece", "start", "length", "ids_crc32"]
     out = [*kept, "sequence_id", "offset"]
     joined = cut_docs.join(before, ["length", "task"]).select(*kept, "rank", "before")
     return joined.mapInArrow(place, ", ".join(f"{n} bigint" for n in out))
 
 
+def sequences(packed: DataFrame, docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+    """``sequence_id, input_ids, documents``: the packed sequences themselves, from the places of ``pack`` and the table that was packed.
+
+    ``documents`` lists ``doc_id, text_key, piece, offset, length`` in order, so that attention can be kept within a document. Pieces find their text by
+    id and ``text_key``, rows alike in both being one text; each text is encoded once. A sequence's pieces, ``capacity`` ids at most, meet in one group.
+    """
+    vocabulary = vocabulary or default_vocabulary()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id", "text_key"])
+    kind = "doc_id bigint, text_key bigint, piece bigint, ids array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = ByteBPE.at(vocabulary), end_id.to_bytes(4, "little")
+        for batch in batches:
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = np.frombuffer(bpe.encode(text.as_py() or "") + end, np.int32)
+                spans = cut_pieces(len(ids), capacity)
+                lists = pa.ListArray.from_arrays(pa.array([0, *(s + n for s, n in spans)], pa.int32()), pa.array(ids))
+                yield pa.record_batch([pa.array([doc_id] * len(spans), pa.int64()), pa.array([key] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int64()), lists], names=["doc_id", "text_key", "piece", "ids"])
+
+    ship_code(docs.sparkSession)
+    encoded = texts.mapInArrow(run, kind)
+    placed = join_null_safe(packed.withColumn("piece", F.col("piece").cast("bigint")), encoded, ["doc_id", "text_key", "piece"])
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "text_key", "piece", "length", "ids")))
+    whole = placed.groupBy("sequence_id").agg(parts.alias("p"))
+    named = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["text_key"].alias("text_key"), x["piece"].alias("piece"), x["offset"].alias("offset"), x["length"].alias("length")))
+    return whole.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("input_ids"), named.alias("documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every row of ``documents``."""
     packed = pack(table(spark, sf_dir, "documents"))

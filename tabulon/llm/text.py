@@ -24,6 +24,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows with the same ``doc_id`` apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of all rows that no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

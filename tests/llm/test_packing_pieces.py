@@ -114,7 +114,7 @@ def test_pack_places_every_piece(spark):
         ids = own.encode(t or "") + bytes(4)
         for k, (start, length) in enumerate(packing.cut_pieces(len(ids) // 4, 16)):
             want[i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])] += 1
-    assert Counter(tuple(r)[:5] for r in got) == want
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     bins = {}
     for r in got:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))

@@ -1,13 +1,17 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_queries import brute_statistics, held, lowered, words_of
 from test_substring_chat import brute_spans
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tabulon.llm import rules
 from tabulon.llm.packing import cut_pieces
+from tabulon.llm.text import text_key
 from tabulon.llm.tokens import ByteBPE, default_vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -112,9 +116,32 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for r in got:
         for k, piece in enumerate(cut_pieces(len(own.encode(r["text"])) // 4 + 1, 2048)):
             want[r["doc_id"], k, *piece] += 1
-    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    run = str(tmp_path / "run")
+    result = corpus_pipeline.run(spark, str(tmp_path), run).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in result) == want
     assert len({r["sequence_id"] for r in result}) == -(-sum(r["length"] for r in result) // 2048)
+    rebuilt(spark, run, result)
+
+
+def rebuilt(spark, run, result):
+    """Every sequence can be built from the run's own folders: its ids are those of its documents' texts, repeated and null ids included."""
+    assert sorted(p.name for p in Path(run).iterdir()) == ["best_fit_packing", "substring_dedup"]
+    texts = {(r["doc_id"], r["key"]): r["text"] for r in spark.read.parquet(f"{run}/substring_dedup").withColumn("key", text_key(F.col("text"))).collect()}
+    assert None in {i for i, _ in texts} and len({i for i, _ in texts}) < len(texts)
+    library = Tokenizer.from_file(default_vocabulary())
+    ids = {k: [*library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    got, seen = corpus_pipeline.training_sequences(spark, run).collect(), Counter()
+    assert {r["sequence_id"] for r in got} == {r["sequence_id"] for r in result}
+    places = {(r["doc_id"], r["text_key"], r["piece"], r["sequence_id"], r["offset"]): r for r in result}
+    for r in got:
+        want = []
+        for d in r["documents"]:
+            place = places[d["doc_id"], d["text_key"], d["piece"], r["sequence_id"], d["offset"]]
+            assert d["offset"] == len(want)
+            want += ids[d["doc_id"], d["text_key"]][place["start"] : place["start"] + place["length"]]
+            seen[d["doc_id"], d["text_key"]] += place["length"]
+        assert r["input_ids"] == want and len(want) <= 2048
+    assert all(seen[k] % len(x) == 0 and seen[k] for k, x in ids.items())
 
 
 def test_stages_of_an_empty_table(spark, tmp_path):
