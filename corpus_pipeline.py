@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.exact import drop_exact_copies
-from tabulon.llm.packing import pack
+from tabulon.llm.packing import pack, sequences
 from tabulon.llm.rules import keep_by_rules
 from tabulon.llm.simhash import drop_near_copies
 from tabulon.llm.substring import drop_repeats
@@ -55,7 +55,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The place of every piece of every document in sequences of 2048 tokens.
 
     A null or empty text is its end mark alone. Repeated rows and null ids are packed like any others; only id and text are
-    read; an empty table gives no rows.
+    read; an empty table gives no rows. ``text_key`` tells the texts of rows that repeat an id apart, so that ``training_sequences`` can build the sequences.
     """
     return pack(docs)
 
@@ -72,17 +72,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again by the next.
+def run(spark: SparkSession, sf_dir: str, location: str | None = None) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written below ``location`` and read again by the next.
 
-    A stage's folder goes as soon as the next one is written; the last one's stays, being the result.
+    Without a location it is a new folder in the shared one. The texts that were packed stay there, in ``substring_dedup``, beside the packing, in
+    ``best_fit_packing``; an earlier stage's folder goes as soon as the next one is written.
     """
-    docs = table(spark, sf_dir, "documents")
-    at, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    docs, written = table(spark, sf_dir, "documents"), []
+    at = location or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{at}/{name}"
+        if len(written) > 0 and name != STAGES[-1][0]:
+            remove(spark, written[-1])
+        written.append(f"{at}/{name}")
     return docs
+
+
+def training_sequences(spark: SparkSession, location: str) -> DataFrame:
+    """``sequence_id, input_ids, documents``: the sequences of a finished run at ``location``, from its own folders."""
+    return sequences(spark.read.parquet(f"{location}/best_fit_packing"), spark.read.parquet(f"{location}/substring_dedup"))
