@@ -42,15 +42,22 @@ def fnv1a(name: Column) -> Column:
     return F.when(name.isNotNull(), F.concat(F.lit("h"), F.lower(F.lpad(F.hex(mixed), 8, "0"))))
 
 
+#: What Python's regular expressions take for a word's character: letters, all kinds of numbers and the underscore, but no combining marks.
+WORD_CLASS = r"\p{L}\p{N}_"
+
+
 def identifiers(code: Column, language: str) -> Column:
-    """Distinct identifiers of a code text but for the reserved ones, in order of appearance."""
-    found = F.regexp_extract_all(code, F.lit(r"(?U)\b([a-zA-Z_][a-zA-Z0-9_]*)\b"), F.lit(1))
+    """Distinct identifiers of a code text but for the reserved ones, in order of appearance.
+
+    An identifier has ASCII characters only and stands between others than those of ``WORD_CLASS``; a combining mark ends it.
+    """
+    found = F.regexp_extract_all(code, F.lit(rf"(?<![{WORD_CLASS}])([a-zA-Z_][a-zA-Z0-9_]*+)(?![{WORD_CLASS}])"), F.lit(1))
     return F.array_except(found, F.array(*map(F.lit, RESERVED[language])))
 
 
 def obfuscate(code: Column, language: str) -> Column:
     """Every identifier that is not reserved, also in comments and strings, replaced by its hash in a single pass."""
-    runs = F.regexp_extract_all(code, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    runs = F.regexp_extract_all(code, F.lit(rf"([{WORD_CLASS}]+|[^{WORD_CLASS}]+)"), F.lit(1))
     kept = F.array(*map(F.lit, RESERVED[language]))
     rename = lambda run: F.when(run.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$") & ~F.array_contains(kept, run), fnv1a(run)).otherwise(run)
     return F.array_join(F.transform(runs, rename), "")

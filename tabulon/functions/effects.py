@@ -20,7 +20,7 @@ def eta_effect(eta2: Column) -> Column:
 
 
 def eta_squared(h: Column, groups: Column, rows: Column) -> Column:
-    return (h - groups + 1) / (rows - groups)
+    return F.try_divide(h - groups + 1, rows - groups)
 
 
 def format_p(p: Column) -> Column:

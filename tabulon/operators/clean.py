@@ -50,9 +50,10 @@ def class_counts(df: DataFrame, label: str, classes: list | None = None) -> Data
 
 
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, rows without a key together. Only the winning struct of each key is shuffled."""
+    """The last row of each key, rows without a key together; null orders come before all others. Only the winning struct of each key is shuffled."""
     rest = [c for c in df.columns if c not in (key, order)]
-    last = df.groupBy(key).agg(F.max_by(F.struct(order, *rest), order).alias("r"))
+    # In a struct, since a null order by itself would be passed over.
+    last = df.groupBy(key).agg(F.max_by(F.struct(order, *rest), F.struct(F.col(order).isNotNull(), order)).alias("r"))
     return last.select(key, "r.*").select(*df.columns)
 
 

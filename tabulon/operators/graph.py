@@ -35,11 +35,11 @@ def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges of which an end is no node of their graph."""
-    ids = nodes.select("graph", "node").distinct()
-    one = edges.join(ids.withColumnRenamed("node", "source"), ["graph", "source"], "left_semi")
-    both = one.join(ids.withColumnRenamed("node", "target"), ["graph", "target"], "left_semi")
-    return edges.join(both.select("graph", "epos"), ["graph", "epos"], "left_anti")
+    """Edges of which an end is no node of their graph; each is judged by its own ends, whatever its place, and a null end is no node."""
+    ids, names = nodes.select("graph", "node").distinct(), edges.columns
+    for end in ("source", "target"):
+        edges = edges.join(ids.select("graph", F.col("node").alias(end), F.lit(True).alias(f"__{end}")), ["graph", end], "left")
+    return edges.filter("__source IS NULL OR __target IS NULL").select(*names)
 
 
 def type_catalog(nodes: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def before(placed: DataFrame, part: str, by: list[str], order: list[str], out: s
     return join_null_safe(placed, starts, [*by, part]).withColumn(out, F.col("__start") + within).drop("__start")
 
 
+def totals_before(placed: DataFrame, part: str, by: list[str], order: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """``placed`` with several totals as ``before`` makes one, in the same pass: each name's amount over the earlier rows of the ``by`` group."""
+    totals = placed.groupBy(*by, part).agg(*[F.sum(a).alias(f"__{name}") for name, a in amounts.items()])
+    outer = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, part, *[F.coalesce(F.sum(f"__{name}").over(outer), F.lit(0)).alias(f"__{name}") for name in amounts])
+    inner = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_null_safe(placed, starts, [*by, part])
+    return joined.withColumns({name: F.col(f"__{name}") + F.coalesce(F.sum(a).over(inner), F.lit(0)) for name, a in amounts.items()}).drop(*[f"__{name}" for name in amounts])
+
+
 def running(df: DataFrame, by: list[str], order: list[str], out: str, amount: Column | None = None) -> DataFrame:
     """``df`` with ``out``, the total before each row as in ``before``; equal rows of the order come in any order."""
     return before(in_ranges(df, [*by, *order]), "__part", by, order, out, amount).drop("__part")

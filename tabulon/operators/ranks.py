@@ -7,14 +7,17 @@ values, the ranges' own totals being added up apart. So no feature has to pass t
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.effects import clip_above, cliff_effect, eta_effect, eta_squared
-from tabulon.operators.order import running
+from tabulon.functions.tails import chi_square_tail, normal_two_sided
+from tabulon.operators.order import in_ranges, running, totals_before
 from tabulon.operators.sampling import first_of_each
 from tabulon.session import ship_code
 
@@ -32,82 +35,108 @@ def _long(df: DataFrame, label: str, features: list[str], classes: list[str]) ->
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *per_class)
 
 
-def chi_square_tail(x: Column, freedom: int) -> Column:
-    """P(X > x). A closed form for an even number of degrees; a function per row of the small result for an odd one."""
-    if freedom % 2 == 0:
-        terms = [F.pow(x / 2, F.lit(i)) / math.factorial(i) for i in range(freedom // 2)]
-        return F.exp(-x / 2) * sum(terms[1:], terms[0])
-
-    @F.pandas_udf("double")
-    def tail(values: pd.Series) -> pd.Series:
-        def one(h: float) -> float:
-            out, term = math.erfc(math.sqrt(h / 2)), math.sqrt(2 * h / math.pi) * math.exp(-h / 2)
-            for i in range(1, (freedom + 1) // 2):
-                out, term = out + term, term * h / (2 * i + 1)
-            return out
-
-        return values.map(lambda h: None if pd.isna(h) else one(max(h, 0.0)))
-
-    return tail(x)
-
-
 def kruskal(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
     """``feature, n, h, p, eta2, effect`` per feature, corrected for ties. Missing values are left out feature by feature.
 
-    Classes without a value of a feature do not count as groups of it. All values equal give a null ``h``.
+    Classes without a value of a feature do not count as groups of it, neither in the degrees of freedom nor in eta squared. All values equal,
+    or fewer than two groups, give a null ``h``, ``p`` and ``eta2``; so does ``eta2`` if no group has two values.
     """
-    ship_code(df.sparkSession)
     counts = _ranked(_long(df, label, features, classes), ["feature"])
     sums = [F.sum(F.col(f"n{i}") * F.col("rank")).alias(f"r{i}") for i in range(len(classes))]
     sizes = [F.sum(f"n{i}").alias(f"c{i}") for i in range(len(classes))]
     n = F.col("n").cast("double")
     out = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(n * n * n - n).alias("ties"), *sums, *sizes)
     n = F.col("n").cast("double")
-    squares = sum((F.when(F.col(f"c{i}") > 0, F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"c{i}")).otherwise(0.0) for i in range(1, len(classes))), F.when(F.col("c0") > 0, F.col("r0") * F.col("r0") / F.col("c0")).otherwise(0.0))
+    squares = reduce(Column.__add__, (F.coalesce(F.try_divide(F.col(f"r{i}") * F.col(f"r{i}"), F.col(f"c{i}")), F.lit(0.0)) for i in range(len(classes))))
     raw = F.lit(12.0) / (n * (n + 1)) * squares - 3 * (n + 1)
-    correction = F.lit(1.0) - F.col("ties") / (n * n * n - n)
-    out = out.withColumn("h", F.when(correction > 0, raw / correction)).withColumn("p", chi_square_tail(F.col("h"), len(classes) - 1))
-    out = out.withColumn("eta2", eta_squared(F.col("h"), F.lit(len(classes)), n))
+    correction = F.lit(1.0) - F.try_divide(F.col("ties"), n * n * n - n)
+    groups = reduce(Column.__add__, ((F.col(f"c{i}") > 0).cast("int") for i in range(len(classes))))
+    out = out.withColumn("groups", groups).withColumn("h", F.when((correction > 0) & (F.col("groups") > 1), raw / correction))
+    out = out.withColumn("p", chi_square_tail(F.col("h"), F.col("groups") - 1)).withColumn("eta2", eta_squared(F.col("h"), F.col("groups"), n))
     return out.select("feature", "n", "h", "p", "eta2", eta_effect(F.col("eta2")).alias("effect"))
 
 
+def _pairs(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
+    """``feature, first, second, n1, n2, u, ties`` for every unordered pair of classes, in the order given.
+
+    One pass over the distinct values with the running count of each class: U of a pair is the sum, over the first class's values, of how many of the
+    second's are smaller, equal ones counting half. So no value is repeated for the pairs, whose number only widens the last, small aggregate.
+    """
+    counts = _long(df, label, features, classes)
+    numbers = range(len(classes))
+    placed = totals_before(in_ranges(counts, ["feature", "value"]), "__part", ["feature"], ["value"], {f"b{i}": F.col(f"n{i}") for i in numbers})
+    names = list(combinations(numbers, 2))
+    each = lambda i: F.col(f"n{i}").cast("double")
+    sums = [F.sum(f"n{i}").alias(f"c{i}") for i in numbers]
+    for i, j in names:
+        n = each(i) + each(j)
+        sums += [F.sum(each(i) * (F.col(f"b{j}") + each(j) / 2)).alias(f"u{i}_{j}"), F.sum(n * n * n - n).alias(f"t{i}_{j}")]
+    out = placed.groupBy("feature").agg(*sums)
+    pair = lambda i, j: F.struct(F.lit(classes[i]).alias("first"), F.lit(classes[j]).alias("second"), F.col(f"c{i}").alias("n1"), F.col(f"c{j}").alias("n2"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties"))
+    return out.select("feature", F.explode(F.array(*[pair(i, j) for i, j in names])).alias("p")).select("feature", "p.*").filter("n1 + n2 > 0")
+
+
+def _with_z(pairs: DataFrame) -> DataFrame:
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    total = n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.try_divide(F.col("ties"), total * (total - 1))))
+    out = pairs.withColumn("z", F.when((n1 > 0) & (n2 > 0) & (spread > 0), (F.abs(F.col("u") - n1 * n2 / 2) - 0.5) / spread))
+    return out.withColumn("delta", F.when((n1 > 0) & (n2 > 0), 2 * F.col("u") / (n1 * n2) - 1))
+
+
 def mann_whitney(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
     """``feature, first, second, n1, n2, u, z, delta, effect`` for every unordered pair of classes, in the order given.
 
     U is the first class's; z is the normal approximation with ties and continuity corrected; delta is Cliff's, from the
     identity 2 U / (n1 n2) - 1 instead of comparing all pairs of values.
     """
-    counts = _long(df, label, features, classes)
-    names = list(combinations(range(len(classes)), 2))
-    pairs = F.explode(F.array(*[F.struct(F.lit(classes[i]).alias("first"), F.lit(classes[j]).alias("second"), F.col(f"n{i}").alias("a"), F.col(f"n{j}").alias("b")) for i, j in names]))
-    rows = counts.select("feature", "value", pairs.alias("p")).select("feature", "value", "p.*").withColumn("n", F.col("a") + F.col("b")).filter("n > 0")
-    ranked = _ranked(rows, ["feature", "first", "second"])
-    n = F.col("n").cast("double")
-    out = ranked.groupBy("feature", "first", "second").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(n * n * n - n).alias("ties"))
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    total = n1 + n2
-    out = out.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.col("ties") / (total * (total - 1))))
-    out = out.withColumn("z", F.when((n1 > 0) & (n2 > 0) & (spread > 0), (F.abs(F.col("u") - n1 * n2 / 2) - 0.5) / spread))
-    out = out.withColumn("delta", F.when((n1 > 0) & (n2 > 0), 2 * F.col("u") / (n1 * n2) - 1))
+    out = _with_z(_pairs(df, label, features, classes))
     return out.select("feature", "first", "second", "n1", "n2", "u", "z", "delta", cliff_effect(F.col("delta")).alias("effect"))
 
 
-def normal_tails(z: Column) -> Column:
-    """The two-sided p of a normal deviate, a function per row of a small result."""
+#: The exact distribution is taken if no values are equal, a group has so many values at most, and the two sizes' product is within the second bound.
+EXACT_GROUP, EXACT_CELLS = 8, 1 << 22
 
-    @F.pandas_udf("double")
-    def tails(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if pd.isna(x) else min(1.0, math.erfc(x / math.sqrt(2))))
 
-    return tails(z)
+def u_tail(n1: int, n2: int, u: float) -> float:
+    """The exact two-sided p of U for groups without ties.
+
+    How many orders of the values have each U follows by recurrence over the smaller group: U's generating function gains the factor
+    (1 - q^(n + i)) / (1 - q^i) with its i-th value. Only what is up to the smaller U is worked out; the distribution is symmetric.
+    """
+    m, n = sorted((n1, n2))
+    ways = np.zeros(int(min(u, n1 * n2 - u)) + 1)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        if n + i < len(ways):
+            ways[n + i :] -= ways[: -(n + i)].copy()
+        for start in range(min(i, len(ways))):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return min(1.0, 2 * ways.sum() / math.comb(m + n, m))
+
+
+def mann_whitney_p(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
+    """``feature, first, second, n1, n2, u, p, method, delta`` for every pair: ``p`` is exact where ``EXACT_GROUP`` and ``EXACT_CELLS`` allow, else the approximation's.
+
+    ``method`` says which. A pair with an empty class has a null p.
+    """
+
+    @F.arrow_udf("double")
+    def exact(n1: pa.Array, n2: pa.Array, u: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else u_tail(a, b, c) for a, b, c in zip(n1.to_pylist(), n2.to_pylist(), u.to_pylist(), strict=True)], pa.float64())
+
+    ship_code(df.sparkSession)
+    fits = (F.col("ties") == 0) & (F.least("n1", "n2") > 0) & (F.least("n1", "n2") <= EXACT_GROUP) & (F.col("n1").cast("double") * F.col("n2") <= EXACT_CELLS)
+    out = _with_z(_pairs(df, label, features, classes)).withColumn("method", F.when(fits, "exact").otherwise("normal"))
+    given = [F.when(F.col("method") == "exact", F.col(c)) for c in ("n1", "n2", "u")]
+    out = out.withColumn("exact", exact(*given)).withColumn("p", F.coalesce("exact", normal_two_sided(F.col("z"))))
+    return out.select("feature", "first", "second", "n1", "n2", "u", "p", "method", "delta")
 
 
 def pairwise_table(df: DataFrame, label: str, features: list[str], classes: list[str], alpha: float = 0.05) -> DataFrame:
     """The pairs with Bonferroni-corrected p (not clipped at 1), significance, delta and effect; strongest first."""
-    ship_code(df.sparkSession)
     count = len(classes) * (len(classes) - 1) // 2
-    out = mann_whitney(df, label, features, classes).withColumn("p", normal_tails(F.col("z")))
+    out = mann_whitney_p(df, label, features, classes).withColumn("effect", cliff_effect(F.col("delta")))
     out = out.select("feature", F.concat_ws(" vs ", "first", "second").alias("pair"), F.bround("u", 0).alias("u"), F.bround(F.col("p") * count, 6).alias("p_adjusted"), F.when(F.col("p") < alpha / count, "Yes").otherwise("No").alias("significant"), F.bround("delta", 3).alias("delta"), "effect")
     return out.orderBy(F.abs("delta").desc(), "feature", "pair")
 

@@ -33,7 +33,7 @@ def proportional(df: DataFrame, stratum: str, target: int | Column, key: str, wi
     """About ``target`` rows of each ``within`` group, by the strata's shares of it; all of a group that has no more.
 
     A stratum gives max(1, half-even rounding of its share) rows, the group is cut to the target in the order of stratum,
-    then seeded hash. Rounding may leave it below the target.
+    then seeded hash. Rounding may leave it below the target. Null is a stratum and a group like any other, the first in order.
     """
     group = Window.partitionBy(*map(F.col, within)) if within else Window.partitionBy(F.lit(0))
     sizes = df.groupBy(*within, stratum).agg(F.count(F.lit(1)).alias("__n"))
@@ -43,28 +43,28 @@ def proportional(df: DataFrame, stratum: str, target: int | Column, key: str, wi
     before = F.coalesce(F.sum("__quota").over(group.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     allowed = F.when(F.col("__total") <= F.col("__target"), F.col("__quota")).otherwise(F.least(F.col("__quota"), F.greatest(F.lit(0), F.col("__target") - before)))
     sizes = sizes.withColumn("__allowed", allowed).select(*within, stratum, "__allowed")
-    return first_of_each(df.join(sizes, [*within, stratum]), [*within, stratum], F.col("__allowed"), key, seed).drop("__allowed")
+    return first_of_each(join_null_safe(df, sizes, [*within, stratum]), [*within, stratum], F.col("__allowed"), key, seed).drop("__allowed")
 
 
 def quota_sample(df: DataFrame, quotas: dict[str, int], key: str, language: str = "language", split: str = "split", model: str = "model", source: str = "source", whole: str = "test", seed: int = 42) -> DataFrame:
     """Per language and split, the split's quota shared evenly by its models, each filled proportionally by source.
 
-    The ``whole`` split is taken as it is; splits without a quota are left out.
+    The ``whole`` split is taken as it is; splits without a quota are left out. A null language, model or source counts like any other.
     """
     wanted = df.filter(F.col(split).isin(list(quotas)))
-    models = wanted.groupBy(language, split).agg(F.count_distinct(model).alias("__models"))
+    models = wanted.groupBy(language, split).agg((F.count_distinct(model) + F.max(F.col(model).isNull().cast("int"))).alias("__models"))
     quota = F.element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col(split))
-    with_models = wanted.join(models, [language, split])
+    with_models = join_null_safe(wanted, models, [language, split])
     target = F.floor(quota / F.col("__models")).cast("long")
     filled = proportional(with_models.withColumn("__t", target), source, F.col("__t"), key, (language, split, model, "__t"), seed)
     return filled.select(*df.columns).unionByName(df.filter(F.col(split) == whole))
 
 
 def floor_sample(df: DataFrame, stratum: str, target: int, key: str, seed: int = 42) -> DataFrame:
-    """At least one row of each stratum and the floor of its share of ``target``; everything if there is no more."""
+    """At least one row of each stratum, null among them, and the floor of its share of ``target``; everything if there is no more."""
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy(F.lit(0))))
     quota = F.when(F.col("__total") <= target, F.col("__n")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(target) * F.col("__n") / F.col("__total"))))
-    return first_of_each(df.join(sizes.select(stratum, quota.alias("__quota")), stratum), [stratum], F.col("__quota"), key, seed).drop("__quota")
+    return first_of_each(join_null_safe(df, sizes.select(stratum, quota.alias("__quota")), [stratum]), [stratum], F.col("__quota"), key, seed).drop("__quota")
 
 
 def split(df: DataFrame, label: str, key: str, train: float = 0.2, seed: int = 42) -> DataFrame:

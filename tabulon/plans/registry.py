@@ -98,6 +98,15 @@ def dedup_last(spark, d):
     return clean.keep_last(_table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+@query("""SELECT user_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS seen, max(event_id) AS event_id FROM events GROUP BY user_id, seen
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seen DESC NULLS LAST) = 1 AND (seen IS NOT NULL OR count(*) OVER (PARTITION BY user_id) = 1)""")
+def dedup_last_nulls(spark, d):
+    """Half the orders are null; users with no other have a row too."""
+    seen = F.when(F.col("event_id") % 2 == 0, F.col("event_id"))
+    rows = _table(spark, d, "events").groupBy("user_id", seen.alias("seen")).agg(F.max("event_id").alias("event_id"))
+    return clean.keep_last(rows, "user_id", "seen")
+
+
 @query("SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS label_id FROM documents")
 def label_encode(spark, d):
     return clean.encode_labels(_table(spark, d, "documents").select("doc_id", "source"), "source")
@@ -129,35 +138,65 @@ def _samples(spark, d):
     return docs.select("doc_id", F.col("lang").alias("language"), F.expr(_SPLIT).alias("split"), F.concat(F.lit("m"), F.expr("doc_id % 3")).alias("model"), "source")
 
 
-@query(f"""
-WITH s AS (SELECT doc_id, lang AS language, {_SPLIT} AS split, 'm' || (doc_id % 3) AS model, source, md5('42:' || doc_id) AS h FROM documents),
-q AS (SELECT *, CASE split WHEN 'train' THEN 120 ELSE 30 END // (SELECT count(DISTINCT model) FROM s t WHERE t.language = s.language AND t.split = s.split) AS target,
-  count(*) OVER (PARTITION BY language, split, model) AS total, count(*) OVER (PARTITION BY language, split, model, source) AS own,
-  row_number() OVER (PARTITION BY language, split, model, source ORDER BY h, doc_id) AS place FROM s WHERE split <> 'test'),
-k AS (SELECT *, row_number() OVER (PARTITION BY language, split, model ORDER BY source, h, doc_id) AS rank FROM q
+def _quota_sql(language: str = "lang", model: str = "'m' || (doc_id % 3)", source: str = "source") -> str:
+    return f"""
+WITH s AS (SELECT doc_id, {language} AS language, {_SPLIT} AS split, {model} AS model, {source} AS source, md5('42:' || doc_id) AS h FROM documents),
+m AS (SELECT language, split, count(DISTINCT model) + max((model IS NULL)::INT) AS models FROM s GROUP BY language, split),
+q AS (SELECT s.*, CASE s.split WHEN 'train' THEN 120 ELSE 30 END // models AS target,
+  count(*) OVER (PARTITION BY s.language, s.split, model) AS total, count(*) OVER (PARTITION BY s.language, s.split, model, source) AS own,
+  row_number() OVER (PARTITION BY s.language, s.split, model, source ORDER BY h, doc_id) AS place FROM s JOIN m ON m.language IS NOT DISTINCT FROM s.language AND m.split = s.split WHERE s.split <> 'test'),
+k AS (SELECT *, row_number() OVER (PARTITION BY language, split, model ORDER BY source NULLS FIRST, h, doc_id) AS rank FROM q
   WHERE total <= target OR place <= greatest(1, round_even(target * own / total, 0)))
 SELECT doc_id, language, split, model, source FROM k WHERE total <= target OR rank <= target
-UNION ALL SELECT doc_id, language, split, model, source FROM s WHERE split = 'test'""")
+UNION ALL SELECT doc_id, language, split, model, source FROM s WHERE split = 'test'"""
+
+
+@query(_quota_sql())
 def quota_sample(spark, d):
     return sampling.quota_sample(_samples(spark, d), {"train": 120, "val": 30}, "doc_id")
 
 
-@query("""
-WITH q AS (SELECT doc_id, source, md5('42:' || doc_id) AS h, count(*) OVER () AS total, count(*) OVER (PARTITION BY source) AS own FROM documents),
+@query(_quota_sql("nullif(lang, 'en')", "CASE WHEN doc_id % 3 > 0 THEN 'm' || (doc_id % 3) END", "nullif(source, 'src3')"))
+def quota_sample_nulls(spark, d):
+    """One language, model and source are null."""
+    rows = _samples(spark, d).withColumns({"language": F.nullif("language", F.lit("en")), "model": F.nullif("model", F.lit("m0")), "source": F.nullif("source", F.lit("src3"))})
+    return sampling.quota_sample(rows, {"train": 120, "val": 30}, "doc_id")
+
+
+def _proportional_sql(source: str) -> str:
+    return f"""
+WITH q AS (SELECT doc_id, {source} AS source, md5('42:' || doc_id) AS h, count(*) OVER () AS total, count(*) OVER (PARTITION BY {source}) AS own FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS place FROM q),
-r AS (SELECT *, row_number() OVER (ORDER BY source, h, doc_id) AS rank FROM k WHERE total <= 150 OR place <= greatest(1, round_even(150 * own / total, 0)))
-SELECT doc_id, source FROM r WHERE total <= 150 OR rank <= 150""")
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, h, doc_id) AS rank FROM k WHERE total <= 150 OR place <= greatest(1, round_even(150 * own / total, 0)))
+SELECT doc_id, source FROM r WHERE total <= 150 OR rank <= 150"""
+
+
+@query(_proportional_sql("source"))
 def proportional_sample(spark, d):
     return sampling.proportional(_table(spark, d, "documents").select("doc_id", "source"), "source", 150, "doc_id")
 
 
-@query("""
-WITH q AS (SELECT doc_id, lang, count(*) OVER () AS total, count(*) OVER (PARTITION BY lang) AS own, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)
-SELECT doc_id, lang FROM q WHERE total <= 150 OR place <= greatest(1, floor(150 * own / total))""")
+@query(_proportional_sql("nullif(source, 'src5')"))
+def proportional_sample_nulls(spark, d):
+    return sampling.proportional(_table(spark, d, "documents").select("doc_id", F.nullif("source", F.lit("src5")).alias("source")), "source", 150, "doc_id")
+
+
+def _plot_sql(lang: str) -> str:
+    return f"""
+WITH q AS (SELECT doc_id, {lang} AS lang, count(*) OVER () AS total, count(*) OVER (PARTITION BY {lang}) AS own, row_number() OVER (PARTITION BY {lang} ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)
+SELECT doc_id, lang FROM q WHERE total <= 150 OR place <= greatest(1, floor(150 * own / total))"""
+
+
+@query(_plot_sql("lang"))
 def plot_sample(spark, d):
     return sampling.floor_sample(_table(spark, d, "documents").select("doc_id", "lang"), "lang", 150, "doc_id")
 
 
+@query(_plot_sql("nullif(lang, 'de')"))
+def plot_sample_nulls(spark, d):
+    return sampling.floor_sample(_table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang")), "lang", 150, "doc_id")
+
+
 @query("""
 SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= round_even(0.2 * count(*) OVER (PARTITION BY lang), 0) THEN 'train' ELSE 'test' END AS part FROM documents""")
 def split_20_80(spark, d):
@@ -186,7 +225,8 @@ def mini_batches(spark, d):
 # Statistics
 
 
-def _kruskal_sql(table: str, label: str, features: list[str], classes: list[str], tail: str) -> str:
+def _kruskal_sql(table: str, label: str, features: list[str], classes: list[str], tail: str, groups: int | None = None) -> str:
+    groups = groups or len(classes)
     rows = " UNION ALL ".join(f"SELECT {label} AS c, '{f}' AS feature, {f}::DOUBLE AS v FROM {table} WHERE {label} IN ({', '.join(repr(c) for c in classes)}) AND {f} IS NOT NULL" for f in features)
     return f"""
 WITH r AS ({rows}),
@@ -194,7 +234,7 @@ k AS (SELECT feature, c, rank() OVER (PARTITION BY feature ORDER BY v) + (count(
 g AS (SELECT feature, c, sum(rk::DOUBLE) AS s, count(*)::DOUBLE AS n FROM k GROUP BY ALL),
 a AS (SELECT feature, count(*)::DOUBLE AS n, sum(t::DOUBLE * t - 1) AS ties FROM k GROUP BY feature),
 h AS (SELECT feature, a.n, (12.0::DOUBLE / (a.n * (a.n + 1)) * sum(s * s / g.n) - 3 * (a.n + 1)) / (1 - ties / (a.n * a.n * a.n - a.n)) AS h FROM g JOIN a USING (feature) GROUP BY feature, a.n, ties),
-e AS (SELECT feature, n::BIGINT AS n, h, {tail} AS p, (h - {len(classes)} + 1) / (n - {len(classes)}) AS eta2 FROM h)
+e AS (SELECT feature, n::BIGINT AS n, h, {tail} AS p, (h - {groups} + 1) / (n - {groups}) AS eta2 FROM h)
 SELECT feature, n, round(h, 6) AS h, round(p, 6) AS p, round(eta2, 6) AS eta2, CASE WHEN eta2 > 0.06 THEN 'Large' WHEN eta2 >= 0.01 THEN 'Medium' WHEN eta2 > 0 THEN 'Small' ELSE 'Negligible' END AS effect FROM e"""
 
 
@@ -211,6 +251,16 @@ def kruskal_multi(spark, d):
     return _rounded(ranks.kruskal(_table(spark, d, "lineitem"), "l_returnflag", _LINE_FEATURES, ["A", "N", "R"])).orderBy(F.desc("eta2"), "feature")
 
 
+#: The error function as its power series, which serves for the deviates of these tables.
+_ERF_SQL = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda n: (1 - 2 * (n % 2)) * pow(z / sqrt(2), 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1))))"
+
+
+@query(_kruskal_sql("events", "event_type", ["value"], EVENT_TYPES[:4], f"1 - {_ERF_SQL.replace('z /', 'sqrt(h) /')} + sqrt(2 * h / pi()) * exp(-h / 2)", 4))
+def kruskal_missing_class(spark, d):
+    """Two of the six classes have no values, which leaves an odd number of degrees of freedom."""
+    return _rounded(ranks.kruskal(_table(spark, d, "events"), "event_type", ["value"], ["refund", *EVENT_TYPES[:4], "return"]))
+
+
 _PAIRS_SQL = f"""
 WITH c AS (SELECT unnest({EVENT_TYPES}) AS c, unnest(range(0, {len(EVENT_TYPES)})) AS ord),
 p AS (SELECT a.c AS first, b.c AS second FROM c a JOIN c b ON a.ord < b.ord),
@@ -227,8 +277,20 @@ def mann_whitney(spark, d):
     return _rounded(ranks.mann_whitney(_table(spark, d, "events"), "event_type", ["value"], EVENT_TYPES))
 
 
-#: The error function as its power series, which serves for the deviates of these tables.
-_ERF_SQL = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda n: (1 - 2 * (n % 2)) * pow(z / sqrt(2), 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1))))"
+@query("""
+WITH RECURSIVE x AS (SELECT s_nationkey AS c, s_acctbal AS v FROM supplier WHERE s_nationkey < 5),
+p AS (SELECT a.c AS first, b.c AS second, count(DISTINCT a.v) AS n1, count(DISTINCT b.v) AS n2, sum((a.v > b.v)::INT + (a.v = b.v)::INT / 2) AS u, max((a.v = b.v)::INT) AS tied FROM x a JOIN x b ON a.c < b.c GROUP BY a.c, b.c),
+w AS (
+  SELECT 0 AS m, 0 AS n, 0 AS u, 1::DOUBLE AS ways UNION ALL
+  SELECT m, n, u, sum(ways) FROM (SELECT m + s AS m, n + 1 - s AS n, u + s * n AS u, ways FROM w, (SELECT unnest([0, 1]) AS s) WHERE m + n < 16) GROUP BY m, n, u)
+SELECT 's_acctbal' AS feature, first::VARCHAR AS first, second::VARCHAR AS second, n1, n2, u,
+  round(least(1, 2 * (SELECT sum(ways) FROM w WHERE m = n1 AND n = n2 AND w.u <= least(p.u, n1 * n2 - p.u)) / (SELECT sum(ways) FROM w WHERE m = n1 AND n = n2)), 9) AS p
+FROM p WHERE n1 <= 8 AND n2 <= 8 AND tied = 0""")
+def mann_whitney_exact(spark, d):
+    """The pairs of nations with few suppliers, whose p is exact."""
+    rows = _table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("nation"), "s_acctbal")
+    out = ranks.mann_whitney_p(rows, "nation", ["s_acctbal"], [str(i) for i in range(5)]).filter("method = 'exact' AND n1 <= 8 AND n2 <= 8")
+    return _rounded(out.select("feature", "first", "second", "n1", "n2", "u", "p"), 9)
 
 
 @query(_PAIRS_SQL + f"""
@@ -327,7 +389,7 @@ def obfuscate(spark, d):
     return _table(spark, d, "part").select("p_partkey", code.obfuscate(text, "python").alias("hidden"))
 
 
-_RUNS_SQL = r"regexp_extract_all(text, '([\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+)')"
+_RUNS_SQL = r"regexp_extract_all(text, '([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)')"
 
 
 def _words_sql(language: str) -> str:
@@ -349,6 +411,22 @@ def document_obfuscation(spark, d):
     return docs.select("doc_id", F.md5(code.obfuscate(F.col("text"), "java").cast("binary")).alias("hidden"))
 
 
+#: Combining marks after the letters e and o, a superscript and a connector, which not all engines take for parts of words.
+_MARKS = [("e", "e\u0301"), ("o", "o\u0308 x\u00b2"), (" a", " a\u203fb")]
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, replace(replace(replace(text, 'e', 'e\u0301'), 'o', 'o\u0308 x\u00b2'), ' a', ' a\u203fb') AS text FROM documents)
+SELECT doc_id, md5(coalesce(array_to_string(list_sort(list_distinct(list_filter({_RUNS_SQL}, lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND w NOT IN ({_words_sql("python")})))), ' '), '')) AS names,
+  md5(array_to_string(list_transform({_RUNS_SQL}, lambda w: CASE WHEN regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND w NOT IN ({_words_sql("python")})
+  THEN 'h' || printf('%08x', list_reduce(list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT)) ELSE w END), '')) AS hidden FROM d WHERE text IS NOT NULL""")
+def marked_identifiers(spark, d):
+    """Names and obfuscation of texts with combining marks, superscripts and connectors."""
+    text = reduce(lambda t, m: F.replace(t, F.lit(m[0]), F.lit(m[1])), _MARKS, F.col("text"))
+    docs = _table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("text"))
+    return docs.select("doc_id", F.md5(F.array_join(F.array_sort(code.identifiers(F.col("text"), "python")), " ").cast("binary")).alias("names"), F.md5(code.obfuscate(F.col("text"), "python").cast("binary")).alias("hidden"))
+
+
 @query("""
 SELECT p_partkey, concat_ws(', ', 'p_brand=''' || replace(p_brand, '''', '\\''') || '''', 'p_name=''' || replace(replace(p_name, chr(10), '\\n'), '''', '\\''') || '''', 'p_size=''' || p_size || '''') AS shown,
   '[' || p_type || '] p_brand=''' || p_brand || '''' AS labelled, CASE WHEN length(p_name) > 20 THEN left(p_name, 20) || '...' ELSE p_name END AS short FROM part""")
@@ -413,6 +491,14 @@ def dangling_edges(spark, d):
     return graph.dangling_edges(*_star(spark, d)).select("graph", "source", "target", "rel")
 
 
+@query(_NODES_SQL + """, r AS (SELECT graph, source, target, rel, CASE WHEN epos % 3 > 0 THEN 7 END AS epos FROM edges)
+SELECT graph, source, target, rel, epos FROM r e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.source) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.target)""")
+def dangling_edges_repeated(spark, d):
+    """The places of all edges are equal or null."""
+    nodes, edges = _star(spark, d)
+    return graph.dangling_edges(nodes, edges.withColumn("epos", F.when(F.col("epos") % 3 > 0, 7))).select("graph", "source", "target", "rel", "epos")
+
+
 @query(_NODES_SQL + "SELECT DISTINCT type FROM nodes")
 def type_catalog(spark, d):
     return graph.type_catalog(_star(spark, d)[0])

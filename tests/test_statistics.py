@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tabulon.functions import tails
 from tabulon.operators import evaluation, ranks
 from tabulon.streaming import early_stop
 
@@ -46,7 +47,7 @@ def test_odd_chi_square_tail(spark):
 
     df = spark.createDataFrame([(0.5,), (7.0,)], "x double")
     for freedom, want in ((1, [0.479500, 0.008151]), (3, [0.918891, 0.071898])):
-        assert [r[0] for r in df.select(ranks.chi_square_tail(F.col("x"), freedom)).collect()] == pytest.approx(want, abs=1e-5)
+        assert [r[0] for r in df.select(tails.chi_square_tail(F.col("x"), freedom)).collect()] == pytest.approx(want, abs=1e-5)
 
 
 def test_standardise_and_clip(spark):
