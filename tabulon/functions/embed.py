@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.operators.transformer import Transformer, token_states
 from tabulon.session import ship_code
 
 #: From texts to one vector each, as a two-dimensional array.
@@ -58,8 +59,11 @@ def embed_texts(df: DataFrame, text: str, embedder: Embedder, batch: int = 256,
 TokenEncoder = Callable[[list[str]], list[list[int]]]
 
 
-def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int = 512, pad: int = 0, batch: int = 128, out: str = "input_ids") -> DataFrame:
-    """``df`` with the token ids of ``text``, cut at ``max_length`` and padded to the longest of their batch; a null text counts as empty."""
+def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int = 512, pad: int | None = 0, batch: int = 128, out: str = "input_ids") -> DataFrame:
+    """``df`` with the token ids of ``text``, cut at ``max_length`` and padded to the longest of their batch; a null text counts as empty.
+
+    With ``pad=None`` lists keep their own lengths.
+    """
     ship_code(df.sparkSession)
     place = df.columns.index(text)
 
@@ -68,12 +72,24 @@ def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int =
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 ids = [list(x)[:max_length] for x in encoder([t or "" for t in part.column(place).to_pylist()])]
-                width = max(map(len, ids), default=0)
+                width = 0 if pad is None else max(map(len, ids), default=0)
                 yield pa.record_batch([*part.columns, pa.array([x + [pad] * (width - len(x)) for x in ids], pa.list_(pa.int32()))], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
+def token_vectors(df: DataFrame, key: str, text: str, encoder: TokenEncoder, model: Transformer) -> DataFrame:
+    """``key, position, vector``: the model's vector of every token of every text, no row being padding.
+
+    Each distinct text is encoded once, under its SHA-256, and joined back. Null and empty texts have no rows; rows that repeat a key have rows each.
+    The mean over a key's rows (``vectors.mean_pool`` with a mask of ones) is what the model gives when it pools by itself.
+    """
+    coded = df.filter(F.col(text).isNotNull()).select(key, text, F.sha2(F.col(text).cast("binary"), 256).alias("__digest"))
+    ids = token_ids(coded.select("__digest", text).dropDuplicates(["__digest"]), text, encoder, len(model.positions), None)
+    states = token_states(ids, "input_ids", "__digest", model)
+    return coded.select(key, "__digest").join(states, "__digest").drop("__digest")
+
+
 def hashing_tokens(size: int = 50_000) -> TokenEncoder:
     """Words hashed to ids from 1 on, for use where no tokenizer is at hand."""
     return lambda texts: [[1 + h % size for h in _hashes(t)] for t in texts]

@@ -12,28 +12,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.dense import Linear, block, lists
 from tabulon.session import cut, ship_code
 
 #: Type of the source, relation, type of the target.
 EdgeType = tuple[str, str, str]
 
 
-@dataclass(frozen=True)
-class Linear:
-    """x to weight · x + bias."""
-
-    weight: np.ndarray
-    bias: np.ndarray
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weight.T + self.bias
-
-
 @dataclass(frozen=True)
 class Convolution:
     """What a relation makes of the mean of a node's neighbours, plus ``own`` times the node itself."""
@@ -51,8 +42,18 @@ class GraphEncoder:
     output: Linear | None = None
 
 
-def _arrays(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+def _by_type(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each type of node."""
+    codes = batch.column("type").dictionary_encode()
+    for k, kind in enumerate(codes.dictionary.to_pylist()):
+        yield kind, batch.filter(pc.equal(codes.indices, k))
+
+
+def _whole(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    rows, whole = block(column, width)
+    if not whole.all():
+        raise ValueError(f"vectors of {kind} must have {width} numbers")
+    return rows
 
 
 def project(nodes: DataFrame, projections: dict[str, Linear]) -> DataFrame:
@@ -60,11 +61,9 @@ def project(nodes: DataFrame, projections: dict[str, Linear]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = np.array(batch.column("type").to_pylist(), object)
-            for kind in dict.fromkeys(kinds):
-                part = batch.take(pa.array(np.flatnonzero(kinds == kind)))
-                x = projections[kind](_arrays(part.column("x")))
-                yield pa.record_batch([*part.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["graph", "type", "pos", "x"])
+            for kind, part in _by_type(batch):
+                x = projections[kind](_whole(part.column("x"), projections[kind].weight.shape[1], kind))
+                yield pa.record_batch([*part.columns[:3], lists(x)], names=["graph", "type", "pos", "x"])
 
     ship_code(nodes.sparkSession)
     rows = nodes.filter("x IS NOT NULL").select("graph", "type", F.col("pos").cast("long").alias("pos"), F.col("x").cast("array<double>").alias("x"))
@@ -97,24 +96,24 @@ def convolve(nodes: DataFrame, edges: DataFrame, convolutions: dict[EdgeType, Co
     source = nodes.select("graph", F.col("type").alias("src_type"), F.col("pos").alias("src_pos"), "x")
     kinds = edges.select("graph", "src_type", F.col("src_pos").cast("long").alias("src_pos"), "rel", "dst_type", F.col("dst_pos").cast("long").alias("dst_pos"))
     means = kinds.join(source, ["graph", "src_type", "src_pos"]).groupBy("graph", F.col("dst_type").alias("type"), F.col("dst_pos").alias("pos"), "src_type", "rel").agg(_mean("x", _width(nodes)).alias("mean"))
-    given = means.groupBy("graph", "type", "pos").agg(F.collect_list(F.struct("src_type", "rel", "mean")).alias("means"))  # at most one an edge type
-    both = nodes.filter(F.col("type").isin(reached)).join(given, ["graph", "type", "pos"], "left").select("graph", "type", "pos", "x", "means")
+    names = {e: f"mean{i}" for i, e in enumerate(used)}
+    from_edge = lambda e: (F.col("src_type") == e[0]) & (F.col("rel") == e[1]) & (F.col("type") == e[2])
+    each = [F.any_value(F.when(from_edge(e), F.col("mean")), ignoreNulls=True).alias(name) for e, name in names.items()]
+    given = means.groupBy("graph", "type", "pos").agg(*each) if each else nodes.select("graph", "type", "pos").limit(0)
+    both = nodes.filter(F.col("type").isin(reached)).join(given, ["graph", "type", "pos"], "left").select("graph", "type", "pos", "x", *names.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = np.array(batch.column("type").to_pylist(), object)
-            for kind in dict.fromkeys(kinds):
-                part = batch.take(pa.array(np.flatnonzero(kinds == kind)))
-                x = _arrays(part.column("x"))
-                found = [{(m["src_type"], m["rel"]): m["mean"] for m in row or []} for row in part.column("means").to_pylist()]
-                total = 0.0
-                for (src, rel, dst), c in used.items():
-                    if dst == kind:
-                        width = c.neighbours.weight.shape[1]
-                        mean = np.array([row.get((src, rel)) or [0.0] * width for row in found])
-                        total = total + c.neighbours(mean) + x @ c.own.T
-                new = np.maximum(total, 0) + x
-                yield pa.record_batch([*part.columns[:3], pa.array(list(new), pa.list_(pa.float64()))], names=["graph", "type", "pos", "x"])
+            for kind, part in _by_type(batch):
+                own = [(names[e], c) for e, c in used.items() if e[2] == kind]
+                x = _whole(part.column("x"), own[0][1].own.shape[1], kind)
+                total = np.zeros_like(x)
+                for name, c in own:
+                    mean = np.zeros((len(x), c.neighbours.weight.shape[1]))
+                    found, there = block(part.column(name), mean.shape[1])
+                    mean[there] = found
+                    total += c.neighbours(mean) + x @ c.own.T
+                yield pa.record_batch([*part.columns[:3], lists(np.maximum(total, 0) + x)], names=["graph", "type", "pos", "x"])
 
     ship_code(nodes.sparkSession)
     return both.mapInArrow(run, nodes.schema)
@@ -125,19 +124,20 @@ def readout(nodes: DataFrame, graphs: DataFrame | None = None, output: Linear |
 
     With ``graphs`` (``graph``) every one of them has a row; one without nodes has the projection of zeros.
     """
-    types = nodes.agg(F.count_distinct("type")).first()[0]
-    means = nodes.groupBy("graph", "type").agg(_mean("x", _width(nodes)).alias("m"))
+    types, wide = nodes.agg(F.count_distinct("type"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    means = nodes.groupBy("graph", "type").agg(_mean("x", wide).alias("m"))
     pooled = means.groupBy("graph").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("x"))
     if graphs is not None:
         pooled = graphs.select("graph").distinct().join(pooled, "graph", "left")
-    width = None if output is None else output.weight.shape[1]
+    width = wide if output is None else output.weight.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [None if v is None else np.array(v) / types for v in batch.column("x").to_pylist()]
-            if output is not None:
-                x = [output(np.zeros(width) if v is None else v) for v in x]
-            yield pa.record_batch([batch.column("graph"), pa.array(x, pa.list_(pa.float64()))], names=["graph", "x"])
+            x = np.zeros((batch.num_rows, width))
+            found, there = block(batch.column("x"), width)
+            x[there] = found / types
+            made = lists(x, there) if output is None else lists(output(x))
+            yield pa.record_batch([batch.column("graph"), made], names=["graph", "x"])
 
     ship_code(nodes.sparkSession)
     return pooled.select("graph", "x").mapInArrow(run, f"graph {dict(nodes.dtypes)['graph']}, x array<double>")

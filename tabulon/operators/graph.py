@@ -5,7 +5,7 @@ Nodes are rows ``graph, node, type, pos``; edges are rows ``graph, source, targe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators import order
@@ -14,19 +14,26 @@ from tabulon.operators import order
 def index_nodes(nodes: DataFrame) -> DataFrame:
     """``type_pos``, the number of earlier nodes of the type in the graph, and ``pos0``, that of all earlier nodes.
 
-    Nodes of the same ``pos`` are taken in the order of their ids. No graph has to pass through one task.
+    Nodes of the same ``pos`` are taken in the order of their ids. No graph has to pass through one task: nodes are dealt once into ranges of the order, one small
+    table tells where each type, and each graph, begins in a range, and both counters go on from there in one pass.
     """
     placed = order.in_ranges(nodes, ["graph", "pos", "node"])
-    typed = order.before(placed, "__part", ["graph", "type"], ["pos", "node"], "type_pos")
-    return order.before(typed, "__part", ["graph"], ["pos", "node"], "pos0").drop("__part")
+    totals = placed.groupBy("graph", "type", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    of_type = Window.partitionBy("graph", "type").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    of_graph = Window.partitionBy("graph").orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("graph", "type", "__part", *[F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(name) for w, name in ((of_type, "__t"), (of_graph, "__g"))])
+    within = lambda *by: F.row_number().over(Window.partitionBy("graph", "__part", *by).orderBy("pos", "node")) - 1
+    counted = placed.withColumn("type_pos", within("type")).withColumn("pos0", within())
+    joined = order.join_null_safe(counted, starts, ["graph", "type", "__part"])
+    return joined.select(*nodes.columns, (F.col("__t") + F.col("type_pos")).alias("type_pos"), (F.col("__g") + F.col("pos0")).alias("pos0"))
 
 
 def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with types and type-local positions of both ends. Edges with an unknown end are dropped.
 
-    Where a graph repeats a node id, all nodes stay but edges bind to the last.
+    Where a graph repeats a node id, all nodes stay but edges bind to the last. Nodes that ``index_nodes`` has numbered already are not numbered again.
     """
-    indexed = index_nodes(nodes)
+    indexed = nodes if "type_pos" in nodes.columns else index_nodes(nodes)
     last = indexed.groupBy("graph", "node").agg(F.max_by(F.struct("type", "type_pos", "pos0"), "pos0").alias("at"))
     for end, name in (("source", "src"), ("target", "dst")):
         found = last.select("graph", F.col("node").alias(end), F.col("at.type").alias(f"{name}_type"), F.col("at.type_pos").alias(f"{name}_pos"), F.col("at.pos0").alias(f"{name}_pos0"))

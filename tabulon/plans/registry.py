@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import code, effects, embed
-from tabulon.operators import clean, encoder, evaluation, forest, graph, heads, ranks, sampling, vectors
+from tabulon.functions.dense import Linear, Norm
+from tabulon.operators import clean, encoder, evaluation, forest, fusion as fusions, graph, heads, ranks, sampling, transformer, vectors
 from tabulon.plans import graph_dataset, ingest
 from tabulon.sources import graphml, syntax
+from tabulon.session import cut
 from tabulon.streaming import early_stop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +583,95 @@ def fusion(spark, d):
     return _rounded(rows.select("vec_id", F.posexplode(vectors.fuse(e, F.reverse(e), F.col("w"))).alias("dim", "value")), 5)
 
 
+def _weights(outputs: int, inputs: int, seed: int, scale: float = 60.0) -> Linear:
+    """A fixed linear map by rule."""
+    i, j = np.arange(outputs)[:, None], np.arange(inputs)[None]
+    return Linear(((31 * i + 17 * j + 7 * seed) % 23 - 11) / scale, (np.arange(outputs) * 5 + seed) % 7 / 20 - 0.15)
+
+
+def _linear_sql(x: str, outputs: int, inputs: int, seed: int, scale: float = 60.0) -> str:
+    """What ``_weights`` makes of the list ``x``."""
+    row = f"list_transform(range(0, {inputs}), lambda j: ((31 * o + 17 * j + 7 * {seed}) % 23 - 11)::DOUBLE / {scale})"
+    return f"list_transform(range(0, {outputs}), lambda o: list_dot_product({x}, {row}) + ((o * 5 + {seed}) % 7)::DOUBLE / 20 - 0.15::DOUBLE)"
+
+
+def _gelu_sql(x: str) -> str:
+    return f"list_transform({x}, lambda z: z * (1 + {_ERF_SQL}) / 2)"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings),
+n AS (SELECT vec_id, a, list_reverse(a) AS b, list_transform(a, lambda x: x / greatest(sqrt(list_dot_product(a, a)), 1e-12)) AS u FROM v),
+r AS (SELECT vec_id, {_linear_sql(_gelu_sql(_linear_sql("list_concat(u, list_reverse(u))", 16, 128, 1)), 2, 16, 2)} AS s, {_gelu_sql(_linear_sql("a", 32, 64, 3))} AS ea, {_gelu_sql(_linear_sql("b", 32, 64, 4))} AS eb FROM n),
+w AS (SELECT *, 0.01 + 0.98 / (1 + exp(s[2] - s[1])) AS g FROM r),
+f AS (SELECT vec_id, g, list_transform(range(1, 33), lambda i: g * ea[i] + (1 - g) * eb[i]) AS f FROM w),
+c AS (SELECT vec_id, list_concat(list_concat([g, 1 - g], f), {_linear_sql("f", 10, 32, 5)}) AS values FROM f),
+p AS (SELECT vec_id, values, list_position(values[35:], list_max(values[35:])) - 1 AS predicted FROM c)
+SELECT vec_id, predicted::INT AS predicted, unnest(range(0, 44))::INT AS dim, round(unnest(values), 5) + 0 AS value FROM p""")
+def gated_fusion(spark, d):
+    """Routing weights, fused vector and class scores of every embedding, from fixed weights: 64 numbers, 32 an expert, 10 classes."""
+    model = fusions.GatedFusion(_weights(32, 64, 3), _weights(32, 64, 4), _weights(10, 32, 5), (_weights(16, 128, 1), _weights(2, 16, 2)))
+    rows = _table(spark, d, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("other"))
+    out = fusions.gated_fusion(rows, "embedding", "other", model)
+    return _rounded(out.select("vec_id", "predicted", F.posexplode(F.concat("routing", "fused", "scores")).alias("dim", "value")), 5)
+
+
+#: Tokens of the small model's texts, its places and its layer, all by rule.
+_VOCABULARY, _PLACES = 500, 512
+
+
+def _small_transformer() -> transformer.Transformer:
+    token, place, k = np.arange(_VOCABULARY + 1)[:, None], np.arange(_PLACES)[:, None], np.arange(4)[None]
+    norm = lambda n: Norm(1 + np.arange(4) / 10 * n, np.arange(4) / 20)
+    linear = lambda o, i, seed: _weights(o, i, seed, 8.0)
+    layer = transformer.Layer(linear(4, 4, 1), linear(4, 4, 2), linear(4, 4, 3), linear(4, 4, 4), norm(1), linear(6, 4, 5), linear(4, 6, 6), norm(2), heads=2)
+    return transformer.Transformer((token * (k + 3) % 17 - 8) / 16, (place * (k + 1) % 5 - 2) / 10, [layer], projection=linear(3, 4, 7))
+
+
+def _norm_sql(x: str, n: int) -> str:
+    centred = f"list_transform({x}, lambda c: c - list_avg({x}))"
+    return f"list_transform(range(1, 5), lambda i: ({centred})[i] / sqrt(list_dot_product({centred}, {centred}) / 4 + 1e-5::DOUBLE) * (1 + (i - 1)::DOUBLE / 10 * {n}) + (i - 1)::DOUBLE / 20)"
+
+
+_STATES_SQL = rf"""
+WITH c AS (SELECT conv_id || ':' || turn AS key, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM conversations),
+t AS (SELECT key, unnest(range(0, least(len(words), {_PLACES}))) AS p, unnest(words[1:{_PLACES}]) AS w FROM c),
+e AS (SELECT key, p, 1 + ('0x' || substr(md5(w), 1, 8))::BIGINT % {_VOCABULARY} AS id FROM t),
+x AS (SELECT key, p, list_transform(range(0, 4), lambda k: (id * (k + 3) % 17 - 8)::DOUBLE / 16 + (p * (k + 1) % 5 - 2)::DOUBLE / 10) AS x FROM e),
+q AS (SELECT key, p, x, {_linear_sql("x", 4, 4, 1, 8.0)} AS q, {_linear_sql("x", 4, 4, 2, 8.0)} AS k, {_linear_sql("x", 4, 4, 3, 8.0)} AS v FROM x),
+s AS (SELECT a.key, a.p, any_value(a.x) AS x, sum(exp(list_dot_product(a.q[1:2], b.k[1:2]) / sqrt(2))) AS n1, sum(exp(list_dot_product(a.q[3:4], b.k[3:4]) / sqrt(2))) AS n2,
+  sum(exp(list_dot_product(a.q[1:2], b.k[1:2]) / sqrt(2)) * b.v[1]) AS v1, sum(exp(list_dot_product(a.q[1:2], b.k[1:2]) / sqrt(2)) * b.v[2]) AS v2,
+  sum(exp(list_dot_product(a.q[3:4], b.k[3:4]) / sqrt(2)) * b.v[3]) AS v3, sum(exp(list_dot_product(a.q[3:4], b.k[3:4]) / sqrt(2)) * b.v[4]) AS v4 FROM q a JOIN q b USING (key) GROUP BY a.key, a.p),
+o AS (SELECT key, p, x, {_linear_sql("[v1 / n1, v2 / n1, v3 / n2, v4 / n2]", 4, 4, 4, 8.0)} AS o FROM s),
+h AS (SELECT key, p, list_transform(range(1, 5), lambda i: x[i] + o[i]) AS h FROM o),
+m AS (SELECT key, p, {_norm_sql("h", 1)} AS y FROM h),
+u AS (SELECT key, p, y, list_transform({_linear_sql("y", 6, 4, 5, 8.0)}, lambda z: greatest(z, 0)) AS u FROM m),
+d AS (SELECT key, p, list_transform(range(1, 5), lambda i: y[i] + ({_linear_sql("u", 4, 6, 6, 8.0)})[i]) AS d FROM u),
+z AS (SELECT key, p, {_norm_sql("d", 2)} AS z FROM d)"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+
+
+@query(_STATES_SQL + f""",
+g AS (SELECT key, [avg(z[1]), avg(z[2]), avg(z[3]), avg(z[4])] AS g FROM z GROUP BY key)
+SELECT key, round(p[1], 5) + 0 AS x, round(p[2], 5) + 0 AS y, round(p[3], 5) + 0 AS z FROM (SELECT key, {_linear_sql("g", 3, 4, 7, 8.0)} AS p FROM g) UNION ALL
+SELECT key, NULL, NULL, NULL FROM c WHERE len(words) = 0""")
+def text_encoder(spark, d):
+    """The pooled vector of every turn, from a Transformer of one layer, two heads and four numbers."""
+    ids = embed.token_ids(_turns(spark, d), "text", embed.hashing_tokens(_VOCABULARY), _PLACES, None)
+    out = transformer.encode_texts(ids, "input_ids", _small_transformer())
+    return _rounded(out.select("key", *[F.get("vector", F.lit(i)).alias(n) for i, n in enumerate("xyz")]), 5)
+
+
+@query(_STATES_SQL + " SELECT key, p::INT AS position, round(z[1], 5) + 0 AS x0, round(z[2], 5) + 0 AS x1, round(z[3], 5) + 0 AS x2, round(z[4], 5) + 0 AS x3 FROM z")
+def token_vectors(spark, d):
+    """The vector of every token of every turn."""
+    out = embed.token_vectors(_turns(spark, d), "key", "text", embed.hashing_tokens(_VOCABULARY), _small_transformer())
+    return _rounded(out.select("key", "position", *[F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(4)]), 5)
+
+
 @query(f"""
 WITH u AS (SELECT vec_id, dim, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12) AS x FROM {_UNNESTED}),
 g AS (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS v FROM u a JOIN u b USING (vec_id) GROUP BY a.dim, b.dim)
@@ -706,8 +797,9 @@ def graph_encoder(spark, d):
         _table(spark, d, "customer").select(name("c", "c_custkey"), pair(F.col("c_acctbal") / 1000, 0.5)),
         _table(spark, d, "orders").select(name("o", "o_orderkey"), pair(F.col("o_totalprice") / 100000, -1)),
     ]
-    indexed = graph.index_nodes(nodes).join(reduce(DataFrame.union, known), "node").select("graph", "type", F.col("type_pos").alias("pos"), "x")
-    out = encoder.encode(indexed, graph.typed_edges(nodes, edges), _encoder(), nodes.select("graph"))
+    indexed = cut(graph.index_nodes(nodes))
+    states = indexed.join(reduce(DataFrame.union, known), "node").select("graph", "type", F.col("type_pos").alias("pos"), "x")
+    out = encoder.encode(states, graph.typed_edges(indexed, edges), _encoder(), nodes.select("graph"))
     return _rounded(out.select("graph", F.get("x", F.lit(0)).alias("first"), F.get("x", F.lit(1)).alias("second")), 5)
 
 

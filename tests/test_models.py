@@ -1,0 +1,136 @@
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tabulon.functions import dense, embed
+from tabulon.functions.dense import Linear, Norm
+from tabulon.operators import transformer, vectors
+from tabulon.operators.fusion import GatedFusion, gated_fusion
+from tabulon.operators.transformer import Layer, Transformer, encode_texts, token_states
+
+
+def test_erf_and_gelu():
+    xs = np.array([0.0, 1e-8, -0.4, 1.0, 2.9999, 3.0, -3.5, 6.0, -30.0])
+    assert dense.erf(xs) == pytest.approx([math.erf(x) for x in xs], rel=1e-13)
+    assert dense.gelu(xs) == pytest.approx([x * (1 + math.erf(x / math.sqrt(2))) / 2 for x in xs], rel=1e-12, abs=1e-300)
+
+
+def test_blocks_and_lists():
+    given = pa.array([[1.0, 2.0], None, [3.0], [4.0, None], [5.0, 6.0], []])
+    rows, whole = dense.block(given, 2)
+    assert rows.tolist() == [[1, 2], [5, 6]] and whole.tolist() == [True, False, False, False, True, False]
+    rows, whole = dense.block(given.slice(3, 2), 2)
+    assert rows.tolist() == [[5, 6]] and whole.tolist() == [False, True]
+    assert dense.lists(np.array([[1.0, 2.0], [5.0, 6.0]]), np.array([True, False, True])).to_pylist() == [[1, 2], None, [5, 6]]
+    assert dense.block(given.slice(0, 0), 2)[0].shape == (0, 2)
+
+
+def linear(draw, outputs, inputs):
+    return Linear(draw.normal(size=(outputs, inputs)) / 2, draw.normal(size=outputs) / 2)
+
+
+@pytest.mark.parametrize("routed", [True, False])
+def test_fusion_equals_the_definition(spark, routed):
+    draw = np.random.default_rng(5)
+    model = GatedFusion(linear(draw, 4, 3), linear(draw, 4, 5), linear(draw, 6, 4), (linear(draw, 7, 8), linear(draw, 2, 7)) if routed else None, 0.02)
+    rows = [(i, draw.normal(size=3).tolist(), draw.normal(size=5).tolist()) for i in range(30)] + [(90, None, [1.0] * 5), (91, [1.0] * 3, None), (92, [1.0, None, 2.0], [1.0] * 5), (93, [1.0] * 4, [1.0] * 5), (94, [0.0] * 3, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "k long, a array<double>, b array<float>")
+    got = {r["k"]: r for r in gated_fusion(df, "a", "b", model).collect()}
+    gelu = lambda v: np.array([x * (1 + math.erf(x / math.sqrt(2))) / 2 for x in v])
+    for k, a, b in rows:
+        r = got[k]
+        if k in (90, 91, 92, 93):
+            assert (r["routing"], r["fused"], r["scores"], r["predicted"]) == (None, None, None, None)
+            continue
+        a, b = np.array(a), np.array(b, np.float32).astype(float)
+        w = np.array([0.5, 0.5])
+        if routed:
+            both = np.r_[a / max(np.linalg.norm(a), 1e-12), b / max(np.linalg.norm(b), 1e-12)]
+            s = model.router[1](gelu(model.router[0](both)))
+            w = 0.02 + 0.96 * np.exp(s) / np.exp(s).sum()
+        fused = w[0] * gelu(model.first(a)) + w[1] * gelu(model.second(b))
+        scores = model.classifier(fused)
+        assert r["routing"] == pytest.approx(w) and r["fused"] == pytest.approx(fused) and r["scores"] == pytest.approx(scores) and r["predicted"] == scores.argmax()
+    assert gated_fusion(df.limit(0), "a", "b", model).count() == 0
+    assert gated_fusion(df.filter("k = 90"), "a", "b", model).first()["predicted"] is None
+    with pytest.raises(ValueError):
+        gated_fusion(df.withColumn("fused", F.lit(1)), "a", "b", model)
+
+
+def build(draw, width=6, heads=3, layers=2, vocabulary=50, places=40, smooth=False):
+    norm = lambda: Norm(1 + draw.normal(size=width) / 5, draw.normal(size=width) / 5)
+    one = lambda: Layer(*[linear(draw, width, width) for _ in range(4)], norm(), linear(draw, 10, width), linear(draw, width, 10), norm(), heads, smooth)
+    return Transformer(draw.normal(size=(vocabulary, width)), draw.normal(size=(places, width)), [one() for _ in range(layers)], norm() if smooth else None, linear(draw, 2, width) if smooth else None)
+
+
+def plain(model, ids):
+    """The forward pass of one text, token by token and head by head."""
+    ids = [i for i in ids if i is not None and i >= 0][: len(model.positions)]
+    x = np.array([model.embedding[i] + model.positions[p] for p, i in enumerate(ids)])
+    if model.first_norm:
+        x = np.array([norm(model.first_norm, t) for t in x])
+    for layer in model.layers:
+        size = x.shape[1] // layer.heads
+        mixed = np.zeros_like(x)
+        for h in range(layer.heads):
+            part = slice(h * size, (h + 1) * size)
+            q, k, v = (np.array([f(t)[part] for t in x]) for f in (layer.query, layer.key, layer.value))
+            for t in range(len(x)):
+                weights = np.exp([q[t] @ other / math.sqrt(size) for other in k])
+                mixed[t, part] = (weights[:, None] * v).sum(axis=0) / weights.sum()
+        x = np.array([norm(layer.first_norm, t + layer.out(m)) for t, m in zip(x, mixed, strict=True)])
+        act = (lambda u: np.array([z * (1 + math.erf(z / math.sqrt(2))) / 2 for z in u])) if layer.smooth else (lambda u: np.maximum(u, 0))
+        x = np.array([norm(layer.second_norm, t + layer.down(act(layer.up(t)))) for t in x])
+    return x
+
+
+def norm(n, t):
+    return (t - t.mean()) / math.sqrt(((t - t.mean()) ** 2).mean() + n.eps) * n.scale + n.shift
+
+
+@pytest.mark.parametrize(("smooth", "bounds"), [(False, (16_384, 1 << 22)), (True, (64, 40))])
+def test_transformer_equals_the_plain_pass(spark, monkeypatch, smooth, bounds):
+    draw = np.random.default_rng(7)
+    model, pick = build(draw, smooth=smooth), random.Random(1)
+    monkeypatch.setattr(transformer, "TOKENS", bounds[0])
+    monkeypatch.setattr(transformer, "SCORES", bounds[1])
+    rows = [(k, [pick.randrange(50) for _ in range(pick.choice([1, 2, 7, 30, 40, 90]))]) for k in range(25)] + [(100, None), (101, []), (102, [None, 3, -1, 4]), (7, [1, 2, 3])]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").coalesce(2)
+    want = [(k, plain(model, ids or [])) if ids else (k, np.zeros((0, 6))) for k, ids in rows]
+    states = sorted(((r["k"], r["position"], r["vector"]) for r in token_states(df, "ids", "k", model).collect()), key=str)
+    expected = sorted(((k, p, x) for k, xs in want for p, x in enumerate(xs)), key=lambda r: str((r[0], r[1], list(r[2]))))
+    assert sorted((k, p) for k, p, _ in states) == sorted((k, p) for k, p, _ in expected)
+    total = lambda found: {kp: sum(sum(v) for k, p, v in found if (k, p) == kp) for kp in {(k, p) for k, p, _ in found}}
+    a, b = total(states), total(expected)
+    assert all(a[key] == pytest.approx(b[key], abs=1e-9) for key in b)
+    for pool in ("mean", "first"):
+        pooled = encode_texts(df, "ids", model, pool=pool).collect()
+        for r in pooled:
+            options = [x for k, x in want if k == r["k"]]
+            if not len(options[0]):
+                assert r["vector"] is None
+                continue
+            vectors_of = [x.mean(axis=0) if pool == "mean" else x[0] for x in options]
+            vectors_of = [model.projection(v) if model.projection else v for v in vectors_of]
+            assert any(r["vector"] == pytest.approx(v, abs=1e-9) for v in vectors_of)
+    assert encode_texts(df.limit(0), "ids", model).count() == 0
+
+
+def test_token_vectors_pool_to_the_encoder(spark):
+    model = build(np.random.default_rng(9))
+    texts = ["a b c a", "a b c a", None, "", "  ", "one " * 70, "tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    tokens = embed.token_vectors(df, "k", "t", embed.hashing_tokens(49), model).cache()
+    counts = {r["k"]: r["count"] for r in tokens.groupBy("k").count().collect()}
+    assert counts == {0: 4, 1: 4, 5: 40, 6: 1}  # places bound a text at 40
+    pooled = vectors.mean_pool(tokens.withColumn("m", F.lit(1)), "k", "vector", "m").groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+    ids = embed.token_ids(df, "t", embed.hashing_tokens(49), 40, None)
+    inside = {r["k"]: r["vector"] for r in encode_texts(ids, "input_ids", model).collect()}
+    assert {r["k"] for r in pooled.collect()} == {k for k, v in inside.items() if v}
+    for r in pooled.collect():
+        assert r["v"] == pytest.approx(inside[r["k"]], abs=1e-9)
+    assert inside[2] is None and inside[3] is None
