@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import code
-from tabulon.operators import evaluation, heads
+from tabulon.operators import evaluation, heads, sampling
 from tabulon.plans import analysis, graph_dataset, ingest
 from tabulon.session import session
 
@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     command("datasplit", "few-shot splits of a stored dataset", path, (("--tasks",), {"type": int, "default": 50}), (("--max_shot",), {"type": int, "default": 10}), (("--seed",), {"type": int, "default": 42}))
     command("obfuscate", "one source file, or - to print it", (("file",), {}), (("-l", "--lang"), {"choices": ["python", "java"]}), (("-o", "--output"), {}), (("--map",), {"action": "store_true"}))
     command("analyse", "the report on a feature table", (("table",), {}), (("--key",), {"required": True}), (("--label",), {"default": "model"}), (("--features",), {"required": True, "help": "names with commas between"}), (("--out",), {"default": "results"}))
-    command("run", "train or apply a linear head on embeddings", (("table",), {}), (("--task_name",), {"choices": ["downstream", "infer"], "default": "downstream"}), (("--vector",), {"default": "embedding"}), (("--label",), {"default": "label"}), (("--epochs",), {"type": int, "default": 100}), (("--checkpoints",), {"default": "checkpoints"}))
+    command("run", "train or apply a linear head on embeddings", (("table",), {}), (("--task_name",), {"choices": ["downstream", "infer"], "default": "downstream"}), (("--vector",), {"default": "embedding"}), (("--label",), {"default": "label"}), (("--epochs",), {"type": int, "default": 100}), (("--patience",), {"type": int, "help": "hold a fifth of the rows out and stop after so many epochs without improvement"}), (("--checkpoints",), {"default": "checkpoints"}))
     return out
 
 
@@ -78,6 +78,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         print(analysis.report(tables))
     else:
         table = spark.read.parquet(a.table)
+        if a.patience:
+            head = f"{a.checkpoints}/stopped_head"
+            parts = sampling.folds(table.withColumn("__id", F.xxhash64(a.vector, a.label)), a.label, "__id")
+            if a.task_name == "downstream":
+                heads.train_head(parts.withColumn("__held", F.col("fold") == 0), a.vector, a.label, "__held", a.patience, a.epochs, path=head)
+            shown = heads.apply_linear(heads.load_trained(spark, head), heads.encode_labels(table, a.label, "__truth"), a.vector)
+            print(evaluation.scores(shown, "__truth", "predicted").first().asDict())
+            return 0
         if a.task_name == "downstream":
             heads.save_head(heads.fit_head(table, a.vector, a.label, a.epochs), f"{a.checkpoints}/head")
         shown = heads.apply_head(heads.load_head(f"{a.checkpoints}/head"), heads.encode_labels(table, a.label, "__truth"), a.vector)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.effects import evidence
@@ -69,30 +68,65 @@ def few_shot(df: DataFrame, key: str, label: str, tasks: int = 50, max_shot: int
     return coded.select(label, "label_id").distinct(), parts, sampling.episodes(parts.filter("part = 'train'"), "label_id", key, tasks, max_shot, seed)
 
 
+def _json(value: Column) -> Column:
+    """A value as JSON by itself."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _section(rows: DataFrame, section: int, key: str, text: Column, opening: str) -> DataFrame:
+    """``section, label, key, text``: an opening, then the texts with a comma before all but the first in the order of ``key``."""
+    first = rows.agg(F.min(key).alias("__first"))  # one row
+    label = F.col(key).cast("long") if key == "label_id" else F.lit(None).cast("long")
+    comma = F.when(F.col(key) > F.col("__first"), ",").otherwise("")
+    listed = rows.crossJoin(F.broadcast(first)).select(F.lit(section).alias("section"), F.lit(1).alias("inner"), label.alias("label"), (F.lit(None) if key == "label_id" else F.col(key)).alias("key"), F.concat(comma, text).alias("text"))
+    start = rows.sparkSession.createDataFrame([(section, 0, opening)], "section int, inner int, text string")
+    return start.unionByName(listed, allowMissingColumns=True)
+
+
+def base_split_pieces(labels: DataFrame, parts: DataFrame) -> DataFrame:
+    """``section, inner, label, key, text``, in that order one JSON text: the label map, its inverse, and the keys of either part."""
+    key, name = parts.columns[0], labels.columns[0]
+    label = F.col("label_id").cast("string")
+    text = F.coalesce(F.col(name).cast("string"), F.lit("None"))
+    sections = [
+        _section(labels, 0, "label_id", F.concat(_json(text), F.lit(": "), label), '{"label_map": {'),
+        _section(labels, 1, "label_id", F.concat(F.lit('"'), label, F.lit('": '), _json(text)), '}, "id_map": {'),
+        *[_section(parts.filter(F.col("part") == part), 2 + i, key, _json(F.col(key)), f'{"]" if i else "}"}, "{part}_indices": [') for i, part in enumerate(("train", "test"))],
+        labels.sparkSession.createDataFrame([(4, 0, "]}")], "section int, inner int, text string"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sections)
+
+
+def episode_pieces(episodes: DataFrame) -> DataFrame:
+    """``task, k, inner, class, text``, in that order one JSON list of tasks, each with its classes' members for every k. No task is ever one row."""
+    drawn = episodes.groupBy(F.col("task_id").alias("task"), "k", F.col("class_id").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "member"))), lambda x: x["member"]).alias("m"))  # k members
+    sets = drawn.groupBy("task", "k").agg(F.min("class").alias("first"))
+    tasks = drawn.groupBy("task").agg(F.min("k").alias("first"))
+    least = tasks.agg(F.min("task").alias("first"))  # one row
+    comma = lambda own, first: F.when(F.col(own) > F.col(first), ",").otherwise("")
+    no_class = F.lit(None).cast(drawn.schema["class"].dataType).alias("class")
+    place = lambda k, inner: [F.col("task"), k.cast("long").alias("k"), F.lit(inner).alias("inner")]
+    edge = lambda task, text: episodes.sparkSession.createDataFrame([(task, text)], "task long, text string").select("task", F.lit(0).cast("long").alias("k"), F.lit(0).alias("inner"), no_class, "text")
+    pieces = [
+        drawn.join(sets, ["task", "k"]).select(*place(F.col("k"), 1), "class", F.concat(comma("class", "first"), F.lit('"'), F.col("class").cast("string"), F.lit('": '), F.to_json("m")).alias("text")),
+        sets.join(tasks.withColumnRenamed("first", "least"), "task").select(*place(F.col("k"), 0), no_class, F.concat(comma("k", "least"), F.lit('"'), F.col("k").cast("string"), F.lit('_shot": {')).alias("text")),
+        sets.select(*place(F.col("k"), 2), no_class, F.lit("}").alias("text")),
+        tasks.drop("first").crossJoin(F.broadcast(least)).select(*place(F.lit(-1), 0), no_class, F.concat(comma("task", "first"), F.lit('{"task_id": '), F.col("task").cast("string"), F.lit(', "data": {')).alias("text")),
+        tasks.select(*place(F.lit(2**40), 2), no_class, F.lit("}}").alias("text")),
+        edge(-1, "["),
+        edge(2**40, "]"),
+    ]
+    return reduce(DataFrame.unionByName, [p.withColumn("task", F.col("task").cast("long")) for p in pieces])
+
+
 def write_few_shot(labels: DataFrame, parts: DataFrame, episodes: DataFrame, folder: str, task: str) -> list[str]:
-    """Two JSON files, named by classes and tasks. Rows reach the driver a partition at a time, on their way to the file."""
-    ids = {str(r[0]): r[1] for r in labels.collect()}  # one a class
-    key, tasks = parts.columns[0], episodes.agg(F.count_distinct("task_id")).first()[0]
-    files = [f"{len(ids)}way_base_split_{task}.json", f"{len(ids)}way_{tasks}tasks_{task}.json"]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    with (Path(folder) / files[0]).open("w", encoding="utf-8") as out:
-        out.write(json.dumps({"label_map": ids, "id_map": {str(v): k for k, v in ids.items()}}, ensure_ascii=False)[:-1])
-        for part in ("train", "test"):
-            chosen = parts.filter(F.col("part") == part).select(key).orderBy(key)
-            out.write(f', "{part}_indices": [')
-            out.writelines(("" if n == 0 else ", ") + json.dumps(r[0]) for n, r in enumerate(chosen.toLocalIterator()))
-            out.write("]")
-        out.write("}")
-    drawn = episodes.groupBy("task_id", "k", "class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "member"))), lambda x: x["member"]).alias("m"))
-    per_task = drawn.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k", "class_id", "m"))).alias("sets")).orderBy("task_id")
-    with (Path(folder) / files[1]).open("w", encoding="utf-8") as out:
-        out.write("[")
-        for n, r in enumerate(per_task.toLocalIterator()):
-            data: dict[str, dict] = {}
-            for k, class_id, members in r["sets"]:
-                data.setdefault(f"{k}_shot", {})[str(class_id)] = list(members)
-            out.write(("" if n == 0 else ", ") + json.dumps({"task_id": r["task_id"], "data": data}, ensure_ascii=False))
-        out.write("]")
+    """Two JSON documents below ``folder``, named by classes and tasks, in part files with a manifest (``records.write_document``). No row passes the driver."""
+    tasks = episodes.agg(F.count_distinct("task_id")).first()[0]
+    ways = labels.count()
+    files = {f"{ways}way_base_split_{task}.json": (base_split_pieces(labels, parts), ["section", "inner", "label", "key"]), f"{ways}way_{tasks}tasks_{task}.json": (episode_pieces(episodes), ["task", "k", "inner", "class"])}
+    for name, (pieces, order) in files.items():
+        records.write_document(pieces, order, "text", f"{folder}/{name}")
     return sorted(files)
 
 

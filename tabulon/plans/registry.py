@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import code, effects, embed
 from tabulon.functions.dense import Linear, Norm
-from tabulon.operators import clean, encoder, evaluation, forest, fusion as fusions, graph, heads, ranks, sampling, transformer, vectors
+from tabulon.operators import clean, density, encoder, evaluation, forest, fusion as fusions, graph, heads, ranks, sampling, transformer, vectors
 from tabulon.plans import graph_dataset, ingest
 from tabulon.sources import graphml, syntax
 from tabulon.session import cut
@@ -634,7 +634,8 @@ def _norm_sql(x: str, n: int) -> str:
 
 
 _STATES_SQL = rf"""
-WITH c AS (SELECT conv_id || ':' || turn AS key, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM conversations),
+WITH c AS (SELECT conv_id || ':' || turn AS key, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM conversations),
 t AS (SELECT key, unnest(range(0, least(len(words), {_PLACES}))) AS p, unnest(words[1:{_PLACES}]) AS w FROM c),
 e AS (SELECT key, p, 1 + ('0x' || substr(md5(w), 1, 8))::BIGINT % {_VOCABULARY} AS id FROM t),
 x AS (SELECT key, p, list_transform(range(0, 4), lambda k: (id * (k + 3) % 17 - 8)::DOUBLE / 16 + (p * (k + 1) % 5 - 2)::DOUBLE / 10) AS x FROM e),
@@ -810,6 +811,30 @@ def linear_head(spark, d):
     return _rounded(evaluation.scores(shown, "truth", "predicted"), 2)
 
 
+@query()
+def early_stopped_head(spark, d):
+    """The epochs of a head trained on four folds of the embeddings until the loss on the fifth stops improving."""
+    rows = sampling.folds(_table(spark, d, "embeddings"), "label", "vec_id").withColumn("held", F.col("fold") == 0)
+    trained = heads.train_head(rows, "embedding", "label", "held", patience=3, epochs=30, rate=2.0)
+    epochs = [(*e, trained.stopped_at) for e in trained.epochs]
+    return _rounded(spark.createDataFrame(epochs, "epoch int, train_loss double, held_loss double, best boolean, stopped_at int"))
+
+
+@query(f"""
+WITH v AS ({" UNION ALL ".join(f"SELECT l_returnflag AS class, '{f}' AS feature, {f}::DOUBLE AS v FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') AND {f} IS NOT NULL" for f in _LINE_FEATURES)}),
+c AS (SELECT class, v.feature, least(v, cap) AS v FROM v JOIN (SELECT feature, quantile_cont(v, 0.99) AS cap FROM v GROUP BY feature) q ON q.feature = v.feature),
+b AS (SELECT feature, min(v) AS low, (max(v) - min(v)) / 64 AS width FROM c GROUP BY feature),
+s AS (SELECT feature, class, count(*) AS n, pow(count(*), -0.2) * stddev_samp(v) AS band FROM c GROUP BY feature, class),
+h AS (SELECT feature, class, least(63, floor((v - low) / width))::INT AS j, count(*) AS n FROM c JOIN b USING (feature) GROUP BY ALL),
+g AS (SELECT feature, class, low, width, s.n, band, unnest(range(0, 64))::INT AS bin FROM s JOIN b USING (feature))
+SELECT feature, class, bin, round(low + (bin + 0.5::DOUBLE) * width, 6) AS x, round(sum(h.n * exp(-pow((bin - j) * width / band, 2) / 2) / sqrt(2 * pi())) / (g.n * band), 9) AS density
+FROM g JOIN h USING (feature, class) GROUP BY feature, class, bin, low, width, g.n, band""")
+def feature_densities(spark, d):
+    """The curves of four features by return flag, each capped at its 99th percentile."""
+    out = density.densities(_table(spark, d, "lineitem"), "l_returnflag", _LINE_FEATURES, ["A", "N", "R"])
+    return out.select("feature", "class", "bin", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 _WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+')"
 
 

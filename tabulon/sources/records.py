@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import signal
+import subprocess
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +117,84 @@ def in_temp_folder(analyse: Callable[[str, str, str], str | None]) -> Callable[[
     return run
 
 
+#: A process that has not ended by then is ended, with all that it has started.
+LIMIT_SECONDS = 120.0
+
+
+def analyse_by_process(command: Sequence[str], code: str, end: str, limit: float) -> tuple[str | None, str, int | None, int]:
+    """What one process of ``command`` makes of a code text: output, status, exit status and bytes of output.
+
+    ``{code}`` in the command stands for the path of a file with the text, ``{out}`` for where the output is to go: a file, or a folder of which the first file by
+    name counts. Both are in a folder of their own, which goes whatever happens. The process and its children have a group of their own, so that a hanging one ends whole.
+    """
+    with tempfile.TemporaryDirectory() as folder:
+        source, target = Path(folder) / f"code{end}", Path(folder) / "out"
+        source.write_text(code or "", encoding="utf-8")
+        words = [w.replace("{code}", str(source)).replace("{out}", str(target)) for w in command]
+        with (Path(folder) / "said").open("w+b") as said:
+            try:
+                process = subprocess.Popen(words, cwd=folder, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=said, start_new_session=True)
+            except OSError as problem:
+                return None, f"error: {problem.strerror}", None, 0
+            try:
+                exit_status = process.wait(limit)
+            except subprocess.TimeoutExpired:
+                exit_status = None
+            finally:
+                with contextlib.suppress(ProcessLookupError):
+                    os.killpg(process.pid, signal.SIGKILL)
+                process.wait()
+            said.seek(0)
+            last = said.read()[-200:].decode(errors="replace").strip()
+        found = next((p for p in sorted(target.rglob("*")) if p.is_file()), None) if target.is_dir() else target if target.is_file() else None
+        size = found.stat().st_size if found else 0
+        if exit_status is None:
+            return None, f"error: no end after {limit:g} s", None, size
+        if exit_status:
+            return None, f"error: exit status {exit_status}{': ' + last if last else ''}", exit_status, size
+        if not size:
+            return None, "empty", 0, 0
+        return found.read_text(encoding="utf-8", errors="replace"), "success", 0, size
+
+
+def with_processes(samples: DataFrame, command: Sequence[str], limit: float = LIMIT_SECONDS, out: str = "graphml") -> DataFrame:
+    """``samples`` with ``out``, ``status``, ``exit_status`` and ``out_bytes`` of a process per row, on the executors; see ``analyse_by_process``.
+
+    A process that fails, hangs or writes nothing makes a row that says so and stops no other. A null code counts as empty. Rows that Spark computes again run again.
+    """
+    ship_code(samples.sparkSession)
+    names = [*samples.columns, out, "status", "exit_status", "out_bytes"]
+    rows = samples.withColumn("__suffix", suffix(F.col("language")))
+    schema = T.StructType([*samples.schema.fields, T.StructField(out, T.StringType()), T.StructField("status", T.StringType()), T.StructField("exit_status", T.IntegerType()), T.StructField("out_bytes", T.LongType())])
+    words = list(command)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # a row at a time, so that what is done waits for none that hangs
+                row = batch.slice(at, 1)
+                made = analyse_by_process(words, row.column("code")[0].as_py(), row.column("__suffix")[0].as_py(), limit)
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+                yield pa.record_batch([*row.columns[:-1], *(pa.array([v], k) for v, k in zip(made, kinds, strict=True))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def write_document(pieces: DataFrame, order: list[str], text: str, path: str) -> None:
+    """The ``text`` of all rows, a line each, in the order of ``order``, nulls first: part files at ``path`` that make one document when read one after the other by name.
+
+    Ranges of the order are written by the tasks that sort them. ``_manifest.json`` there lists the parts in order with their bytes; Spark's readers pass it over.
+    """
+    spark = pieces.sparkSession
+    pieces.repartitionByRange(*order).sortWithinPartitions(*order).select(text).write.mode("overwrite").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath().getName(), s.getLen()) for s in system.listStatus(folder) if s.getPath().getName().startswith("part-"))  # one a task
+    out = system.create(hadoop.Path(f"{path}/_manifest.json"), True)
+    out.write(bytearray(json.dumps({"parts": [{"name": n, "bytes": b} for n, b in parts]}).encode()))
+    out.close()
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -25,6 +25,17 @@ def _step(best, bad, loss, patience: int):
     return best, bad + 1, bad + 1 >= patience
 
 
+class Stopper:
+    """The fold for one run as it goes: ``step`` takes an epoch's loss and says whether it is the best yet; ``stopped`` whether to stop."""
+
+    def __init__(self, patience: int):
+        self.patience, self.best, self.bad, self.stopped = patience, None, 0, False
+
+    def step(self, loss: float) -> bool:
+        self.best, self.bad, self.stopped = _step(self.best, self.bad, loss, self.patience)
+        return self.bad == 0
+
+
 def stop_epochs(losses: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
     """``run, best_loss, stopped_at``: the epoch at which each run stops, null if it does not. Null losses are passed over.
 

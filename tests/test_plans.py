@@ -34,16 +34,46 @@ def test_analysis_and_report(spark):
     assert tables["pairwise"].filter("feature = 'f' AND significant = 'Yes'").count() == 3
 
 
+def joined(folder):
+    """The document of a folder's parts, which its manifest lists with their sizes."""
+    parts = json.loads((folder / "_manifest.json").read_text())["parts"]
+    assert [p["name"] for p in parts] == sorted(p.name for p in folder.iterdir() if p.name.startswith("part-"))
+    texts = [(folder / p["name"]).read_bytes() for p in parts]
+    assert [len(t) for t in texts] == [p["bytes"] for p in parts]
+    return json.loads(b"".join(texts))
+
+
 def test_few_shot_files(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" if i % 2 else "y") for i in range(100)], "id long, l string")
     names = write_few_shot(*few_shot(df, "id", "l", tasks=2, max_shot=3), str(tmp_path), "model")
     assert names == ["2way_2tasks_model.json", "2way_base_split_model.json"]
-    base, tasks = (json.loads((tmp_path / n).read_text()) for n in reversed(names))
-    assert base["label_map"] == {"x": 0, "y": 1} and len(base["train_indices"]) == 20 and len(base["test_indices"]) == 80
+    base, tasks = (joined(tmp_path / n) for n in reversed(names))
+    assert base["label_map"] == {"x": 0, "y": 1} and base["id_map"] == {"0": "x", "1": "y"} and len(base["train_indices"]) == 20 and len(base["test_indices"]) == 80
+    assert base["train_indices"] == sorted(base["train_indices"]) and sorted(base["train_indices"] + base["test_indices"]) == list(range(100))
     one = tasks[0]["data"]
     assert one["3_shot"]["0"][:2] == one["2_shot"]["0"] and set(one["3_shot"]["1"]) <= set(base["train_indices"])
 
 
+def test_few_shot_files_equal_their_tables(spark, tmp_path):
+    rows = [(f'k"{i}\n é', ["ü,", None, 'q"'][i % 3]) for i in range(160)]
+    labels, parts, drawn = few_shot(spark.createDataFrame(rows, "id string, l string"), "id", "l", tasks=12, max_shot=4)
+    base, tasks = (joined(tmp_path / n) for n in reversed(write_few_shot(labels, parts, drawn, str(tmp_path), "t")))
+    assert base["label_map"] == {"None": 0, 'q"': 1, "ü,": 2} and base["id_map"] == {"0": "None", "1": 'q"', "2": "ü,"}
+    for part in ("train", "test"):
+        assert base[f"{part}_indices"] == sorted(r["id"] for r in parts.filter(F.col("part") == part).collect())
+    want = {}
+    for r in drawn.orderBy("task_id", "k", "class_id", "rank").collect():
+        want.setdefault(r["task_id"], {}).setdefault(f"{r['k']}_shot", {}).setdefault(str(r["class_id"]), []).append(r["member"])
+    assert tasks == [{"task_id": t, "data": want[t]} for t in range(12)]
+    assert list(tasks[0]["data"]) == ["1_shot", "2_shot", "3_shot", "4_shot"]
+
+
+def test_few_shot_files_of_nothing(spark, tmp_path):
+    names = write_few_shot(*few_shot(spark.createDataFrame([], "id long, l string"), "id", "l", tasks=2, max_shot=3), str(tmp_path), "t")
+    assert names == ["0way_0tasks_t.json", "0way_base_split_t.json"]
+    assert [joined(tmp_path / n) for n in names] == [[], {"label_map": {}, "id_map": {}, "train_indices": [], "test_indices": []}]
+
+
 def test_each_text_is_embedded_once(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "id long, t string")
     got = {r["id"]: r["embedding"] for r in embed_texts(df, "t", hashing_embedder(4)).collect()}

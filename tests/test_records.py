@@ -1,4 +1,5 @@
 import os
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,52 @@ def test_covariances_of_ragged_vectors(spark):
     gram = {(r["i"], r["j"]): r["value"] for r in vectors.gram(df, "a").collect()}
     assert gram[0, 0] == pytest.approx(14 / 3) and gram[2, 2] == pytest.approx(25 / 3) and gram[0, 2] == pytest.approx(15 / 3)
     assert vectors.isotropy_penalty(df.limit(0), "a").first()[0] == 0.0
+
+
+ANALYSER = """
+import os, subprocess, sys, time
+code, out = sys.argv[1:]
+text = open(code).read()
+open(text.split()[0] + ".seen", "w").write(os.path.dirname(code)) if "/" in text else None
+if "fail" in text:
+    sys.exit("no such syntax") if "message" in text else sys.exit(3)
+if "hang" in text:
+    child = subprocess.Popen(["sleep", "600"])
+    open(text.split()[0] + ".pid", "w").write(str(child.pid))
+    time.sleep(600)
+if "folder" in text:
+    os.mkdir(out)
+    open(out + "/b", "w").write("second"), open(out + "/a", "w").write("first" + os.path.splitext(code)[1])
+elif "nothing" not in text:
+    open(out, "w").write("" if "blank" in text else text.upper())
+"""
+
+
+def test_a_process_for_each_row(spark, tmp_path):
+    script, mark = tmp_path / "analyser.py", f"{tmp_path}/mark"
+    script.write_text(ANALYSER)
+    texts = [f"{mark} fine", "fail", "fail message", f"{mark}2 hang", "nothing", "blank", "folder", None, "ümlaut"]
+    df = spark.createDataFrame([(i, t, "java", "x") for i, t in enumerate(texts)], "id long, code string, language string, graph string").repartition(4)
+    got = {r["id"]: (r["graphml"], r["status"], r["exit_status"], r["out_bytes"]) for r in records.with_processes(df, [sys.executable, str(script), "{code}", "{out}"], limit=4.0).collect()}
+    upper = f"{mark} fine".upper()
+    assert got == {
+        0: (upper, "success", 0, len(upper)),
+        1: (None, "error: exit status 3", 3, 0),
+        2: (None, "error: exit status 1: no such syntax", 1, 0),
+        3: (None, "error: no end after 4 s", None, 0),
+        4: (None, "empty", 0, 0),
+        5: (None, "empty", 0, 0),
+        6: ("first.java", "success", 0, 10),
+        7: (None, "empty", 0, 0),
+        8: ("ÜMLAUT", "success", 0, 7),
+    }
+    # Folders go, and so does what a hanging process has started.
+    assert not any(os.path.exists(open(f"{m}.seen").read()) for m in (mark, f"{mark}2"))
+    child = open(f"{mark}2.pid").read()
+    assert not os.path.exists(f"/proc/{child}") or "Z" in open(f"/proc/{child}/stat").read().split()[2]
+
+
+def test_a_command_that_is_not_there(spark):
+    df = spark.createDataFrame([(1, "x", None)], "id long, code string, language string")
+    assert [tuple(r)[3:] for r in records.with_processes(df, ["/no/such/command"]).collect()] == [(None, "error: No such file or directory", None, 0)]
+    assert records.with_processes(df.limit(0), ["/no/such/command"]).count() == 0
