@@ -86,7 +86,8 @@ class GraphDataset(GraphTables):
 
     @classmethod
     def shape(cls, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return graph.index_nodes(nodes), graph.typed_edges(nodes, edges)
+        indexed = graph.index_nodes(nodes)
+        return indexed, graph.typed_edges(indexed, edges)
 
     def padded(self) -> DataFrame:
         """``graph, type, n``: all known types for every graph, 0 nodes where it has none."""
@@ -99,8 +100,9 @@ class HomoDataset(GraphTables):
 
     @classmethod
     def shape(cls, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        numbered = graph.index_nodes(nodes).select("graph", F.col("pos0").alias("pos"), F.col("labelled_text").alias("text"))
-        bound = graph.typed_edges(nodes, edges)
+        indexed = graph.index_nodes(nodes)
+        numbered = indexed.select("graph", F.col("pos0").alias("pos"), F.col("labelled_text").alias("text"))
+        bound = graph.typed_edges(indexed, edges)
         return numbered, bound.select("graph", "epos", F.col("src_pos0").alias("src"), F.col("dst_pos0").alias("dst"), F.col("labelled_text").alias("text"))
 
     def embed(self, embedder: Embedder) -> Self:

@@ -280,7 +280,7 @@ def mann_whitney(spark, d):
 
 
 @query("""
-WITH RECURSIVE x AS (SELECT s_nationkey AS c, s_acctbal AS v FROM supplier WHERE s_nationkey < 5),
+WITH RECURSIVE x AS (SELECT s_nationkey AS c, s_acctbal AS v FROM supplier WHERE s_acctbal IS NOT NULL),
 p AS (SELECT a.c AS first, b.c AS second, count(DISTINCT a.v) AS n1, count(DISTINCT b.v) AS n2, sum((a.v > b.v)::INT + (a.v = b.v)::INT / 2) AS u, max((a.v = b.v)::INT) AS tied FROM x a JOIN x b ON a.c < b.c GROUP BY a.c, b.c),
 w AS (
   SELECT 0 AS m, 0 AS n, 0 AS u, 1::DOUBLE AS ways UNION ALL
@@ -291,7 +291,7 @@ FROM p WHERE n1 <= 8 AND n2 <= 8 AND tied = 0""")
 def mann_whitney_exact(spark, d):
     """The pairs of nations with few suppliers, whose p is exact."""
     rows = _table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("nation"), "s_acctbal")
-    out = ranks.mann_whitney_p(rows, "nation", ["s_acctbal"], [str(i) for i in range(5)]).filter("method = 'exact' AND n1 <= 8 AND n2 <= 8")
+    out = ranks.mann_whitney_p(rows, "nation", ["s_acctbal"], [str(i) for i in range(25)]).filter("method = 'exact' AND n1 <= 8 AND n2 <= 8")
     return _rounded(out.select("feature", "first", "second", "n1", "n2", "u", "p"), 9)
 
 
