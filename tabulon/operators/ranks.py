@@ -19,7 +19,7 @@ from tabulon.functions.effects import clip_above, cliff_effect, eta_effect, eta_
 from tabulon.functions.tails import chi_square_tail, normal_two_sided
 from tabulon.operators.order import in_ranges, running, totals_before
 from tabulon.operators.sampling import first_of_each
-from tabulon.session import ship_code
+from tabulon.session import cut, ship_code
 
 
 def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -56,6 +56,10 @@ def kruskal(df: DataFrame, label: str, features: list[str], classes: list[str])
     return out.select("feature", "n", "h", "p", "eta2", eta_effect(F.col("eta2")).alias("effect"))
 
 
+#: Pairs of classes that one aggregate takes; more of them are taken in turn from the same table of running counts.
+PAIRS = 45
+
+
 def _pairs(df: DataFrame, label: str, features: list[str], classes: list[str]) -> DataFrame:
     """``feature, first, second, n1, n2, u, ties`` for every unordered pair of classes, in the order given.
 
@@ -66,14 +70,22 @@ def _pairs(df: DataFrame, label: str, features: list[str], classes: list[str]) -
     numbers = range(len(classes))
     placed = totals_before(in_ranges(counts, ["feature", "value"]), "__part", ["feature"], ["value"], {f"b{i}": F.col(f"n{i}") for i in numbers})
     names = list(combinations(numbers, 2))
-    each = lambda i: F.col(f"n{i}").cast("double")
-    sums = [F.sum(f"n{i}").alias(f"c{i}") for i in numbers]
+    if len(names) > PAIRS:
+        placed = cut(placed)
+    return reduce(DataFrame.unionByName, [_some_pairs(placed, classes, names[at : at + PAIRS]) for at in range(0, len(names), PAIRS)])
+
+
+def _some_pairs(placed: DataFrame, classes: list[str], names: list[tuple[int, int]]) -> DataFrame:
+    # As SQL texts, one call each: building so many expressions a column at a time takes longer than running them.
+    sums = [F.expr(f"sum(n{i}) AS c{i}") for i in sorted({i for pair in names for i in pair})]
     for i, j in names:
-        n = each(i) + each(j)
-        sums += [F.sum(each(i) * (F.col(f"b{j}") + each(j) / 2)).alias(f"u{i}_{j}"), F.sum(n * n * n - n).alias(f"t{i}_{j}")]
+        n = f"double(n{i} + n{j})"
+        sums += [F.expr(f"sum(n{i} * (b{j} + n{j} / 2D)) AS u{i}_{j}"), F.expr(f"sum({n} * {n} * {n} - {n}) AS t{i}_{j}")]
     out = placed.groupBy("feature").agg(*sums)
-    pair = lambda i, j: F.struct(F.lit(classes[i]).alias("first"), F.lit(classes[j]).alias("second"), F.col(f"c{i}").alias("n1"), F.col(f"c{j}").alias("n2"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties"))
-    return out.select("feature", F.explode(F.array(*[pair(i, j) for i, j in names])).alias("p")).select("feature", "p.*").filter("n1 + n2 > 0")
+    pairs = ", ".join(f"named_struct('i', {i}, 'j', {j}, 'n1', c{i}, 'n2', c{j}, 'u', u{i}_{j}, 'ties', t{i}_{j})" for i, j in names)
+    names_of = F.array(*map(F.lit, classes))
+    told = [F.get(names_of, F.col(f"p.{c}")).alias(name) for c, name in (("i", "first"), ("j", "second"))]
+    return out.select("feature", F.explode(F.expr(f"array({pairs})")).alias("p")).select("feature", *told, "p.n1", "p.n2", "p.u", "p.ties").filter("n1 + n2 > 0")
 
 
 def _with_z(pairs: DataFrame) -> DataFrame:

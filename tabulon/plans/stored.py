@@ -135,7 +135,7 @@ def text_files(spark, d):
     path = _folder(spark, "files")
     texts = _table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("p_name")), " ").alias("text"))
     texts.repartition("p_brand").write.partitionBy("p_brand").text(path)
-    brand = F.url_decode(F.regexp_extract("path", "p_brand=([^/]*)", 1))
+    brand = F.url_decode(F.url_decode(F.regexp_extract("path", "p_brand=([^/]*)", 1)))  # the folder has escapes, and the path of a file more
     return records.read_texts(spark, path).select(brand.alias("p_brand"), F.md5(F.col("code").cast("binary")).alias("hash"), "language")
 
 
