@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import code, effects, embed
 from tabulon.functions.dense import Linear, Norm
-from tabulon.operators import clean, density, encoder, evaluation, forest, fusion as fusions, graph, heads, ranks, sampling, transformer, vectors
+from tabulon.operators import clean, density, encoder, evaluation, forest, graph, heads, order, projection, ranks, sampling, transformer, vectors
+from tabulon.operators import fusion as fusions
 from tabulon.plans import graph_dataset, ingest
 from tabulon.sources import graphml, syntax
 from tabulon.session import cut
@@ -804,6 +805,24 @@ def graph_encoder(spark, d):
     return _rounded(out.select("graph", F.get("x", F.lit(0)).alias("first"), F.get("x", F.lit(1)).alias("second")), 5)
 
 
+@query()
+def tsne_layout(spark, d):
+    """The plot sample of the embeddings in the plane."""
+    return projection.tsne(_table(spark, d, "embeddings"), "vec_id", "label", "embedding", rounds=120)
+
+
+@query()
+def umap_layout(spark, d):
+    return projection.umap(_table(spark, d, "embeddings"), "vec_id", "label", "embedding", rounds=80)
+
+
+@query()
+def neighbour_graph(spark, d):
+    """The fifteen nearest neighbours of every embedding by neighbour descent; distances are exact."""
+    points = order.running(_table(spark, d, "embeddings"), [], ["vec_id"], "pos").select("pos", F.col("embedding").cast("array<double>").alias("v"))
+    return projection.neighbours(cut(points)).withColumn("d", F.round("d", 6))
+
+
 @query()
 def linear_head(spark, d):
     rows = _table(spark, d, "embeddings")
