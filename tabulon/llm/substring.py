@@ -127,7 +127,7 @@ def _units(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], passage: int,
     return pa.record_batch([pa.array(digest, pa.int64()), pa.array(ids[owner].astype(np.int64)), pa.array(keys[owner].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(is_line)], names=["digest", "doc_id", "text_key", "start", "end", "line"])
 
 
-def repeated_spans(docs: DataFrame, passage: int = 50, span: int = 36, line_words: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, passage: int = 50, span: int = 36, line_words: int = 5) -> DataFrame:
     """``doc_id, text_key, start, end, first_doc_id``: disjoint stretches of text that an earlier document, or an earlier line, holds.
 
     Offsets count characters of the original text, ``end`` exclusive. Occurrences rank by ``doc_id``, then text key, then place.
@@ -184,5 +184,5 @@ def drop_repeats(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stretch of ``documents`` that repeats an earlier one, with its place and the first document that has it."""
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
+    """Every stretch of ``documents`` that repeats an earlier one, with its text's key, its place and the first document that has it."""
+    return repeated_spans(table(spark, sf_dir, "documents"))

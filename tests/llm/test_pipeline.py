@@ -93,7 +93,7 @@ def brute_pipeline(rows, learned):
         least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
     near = [(i, t) for (i, t), c in zip(exact, label, strict=True) if i is None or i == least[c]]
     yield near
-    marked = brute_spans([r for r in near if r[0] is not None], 50, 36, 20)
+    marked = brute_spans([r for r in near if r[0] is not None], 50, 36, 5)
     yield [(i, "".join(c for k, c in enumerate(t) if k not in marked.get(i, ()))) for i, t in near]
 
 

@@ -146,13 +146,13 @@ def test_op7(results, rows, labelled, statistics):
     assert Counter(got) == want and learned
 
 
-def test_op3_names_only_real_repeats(results, rows):
+def test_op3_spans_lie_within_texts(results, rows):
     _, _, got = results("op3_substring")
     texts = {}
     for i, t in rows:
         texts.setdefault(i, []).append(" ".join(lowered(t).split()))
     assert got and len(got) == len(set(got))
-    for i, start, end, first in got:
+    for i, _, start, end, first in got:
         assert 0 <= start < end and any(len(u or "") >= end for j, u in rows if j == i) and (first < i or first == i)
 
 
