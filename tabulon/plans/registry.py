@@ -556,10 +556,13 @@ def gram(spark, d):
 
 
 @query(f"""
-WITH u AS {_UNNESTED}, c AS (SELECT a.dim AS i, b.dim AS j, (sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)) / (count(*) - 1 + 1e-8) AS v FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.dim = (b.dim // 1) GROUP BY a.dim, b.dim)
+WITH u AS {_UNNESTED}, w AS (SELECT vec_id, dim, x * x + label AS x FROM u),
+c AS (SELECT a.dim AS i, b.dim AS j, (sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)) / (count(*) - 1 + 1e-8) AS v FROM u a JOIN w b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim)
 SELECT round(avg(v * v), 5) AS penalty FROM c""")
 def cross_penalty(spark, d):
-    return _rounded(vectors.cross_penalty(_table(spark, d, "embeddings").withColumn("other", F.col("embedding")), "embedding", "other"), 5)
+    """Of the vectors and of their squares, to which the label is added."""
+    other = F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + F.col("label"))
+    return _rounded(vectors.cross_penalty(_table(spark, d, "embeddings").withColumn("other", other), "embedding", "other"), 5)
 
 
 @query("""
@@ -755,15 +758,22 @@ def homo_edges(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_size % 7 AS n FROM part),
-k AS (SELECT p_partkey, n, unnest(range(0, n)) AS i FROM p)
+WITH q AS (SELECT p_partkey, p_size % 7 AS n FROM part), p AS (SELECT * FROM q WHERE p_partkey % 3 > 0),
+k AS (SELECT p_partkey, n, unnest(range(0, n)) AS i FROM p), r AS (SELECT * FROM q WHERE p_partkey % 3 = 0), d AS (SELECT p_partkey, n, unnest(range(0, n)) AS i FROM r)
 SELECT p_partkey, pos::BIGINT AS pos, label, parent::BIGINT AS parent, field FROM (
   SELECT p_partkey, 0 AS pos, '[Module]' AS label, NULL AS parent, NULL AS field FROM p UNION ALL SELECT p_partkey, 1, '[Assign]', 0, 'body' FROM p UNION ALL
   SELECT p_partkey, 2, '[Name] id=''x''', 1, 'targets' FROM p UNION ALL SELECT p_partkey, 3, '[Store]', 2, 'ctx' FROM p UNION ALL SELECT p_partkey, 4, '[List]', 1, 'value' FROM p UNION ALL
-  SELECT p_partkey, 5 + i, '[Constant] value=''' || i || '''', 4, 'elts' FROM k UNION ALL SELECT p_partkey, 5 + n, '[Load]', 4, 'ctx' FROM p)""")
+  SELECT p_partkey, 5 + i, '[Constant] value=''' || i || '''', 4, 'elts' FROM k UNION ALL SELECT p_partkey, 5 + n, '[Load]', 4, 'ctx' FROM p UNION ALL
+  SELECT p_partkey, 0, '[Module]', NULL, NULL FROM r UNION ALL SELECT p_partkey, 1 + 3 * i, '[If]', greatest(0, 3 * i - 2), 'body' FROM d UNION ALL
+  SELECT p_partkey, 2 + 3 * i, '[Name] id=''x' || i || '''', 1 + 3 * i, 'test' FROM d UNION ALL SELECT p_partkey, 3 + 3 * i, '[Load]', 2 + 3 * i, 'ctx' FROM d UNION ALL
+  SELECT p_partkey, 1 + 3 * n, '[Pass]', greatest(0, 3 * n - 2), 'body' FROM r)""")
 def ast_graph(spark, d):
-    numbers = F.transform(F.sequence(F.lit(0), F.col("p_size") % 7), lambda i: i.cast("string"))
-    code_text = F.concat(F.lit("x = ["), F.array_join(F.slice(numbers, F.lit(1), F.size(numbers) - 1), ", "), F.lit("]\n"))
+    """Programs of two shapes: a list of numbers, and conditions within each other, up to six of either."""
+    n = F.col("p_size") % 7
+    numbers = F.transform(F.sequence(F.lit(0), n), lambda i: i.cast("string"))
+    listed = F.concat(F.lit("x = ["), F.array_join(F.slice(numbers, F.lit(1), F.size(numbers) - 1), ", "), F.lit("]\n"))
+    lines = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.repeat(F.lit(" "), 4 * i), F.when(i < n, F.concat(F.lit("if x"), i.cast("string"), F.lit(":"))).otherwise("pass")))
+    code_text = F.when(F.col("p_partkey") % 3 == 0, F.array_join(lines, "\n")).otherwise(listed)
     return syntax.tree(_table(spark, d, "part").select("p_partkey", code_text.alias("code")), "p_partkey", "code")
 
 
@@ -825,8 +835,9 @@ def neighbour_graph(spark, d):
 
 @query()
 def linear_head(spark, d):
-    rows = _table(spark, d, "embeddings")
-    shown = heads.apply_head(heads.fit_head(rows, "embedding", "label"), heads.encode_labels(rows, "label", "truth"), "embedding")
+    """Fitted on four folds, scored on the fifth."""
+    rows = cut(sampling.folds(heads.encode_labels(_table(spark, d, "embeddings"), "label", "truth"), "label", "vec_id"))
+    shown = heads.apply_head(heads.fit_head(rows.filter("fold > 0"), "embedding", "label"), rows.filter("fold = 0"), "embedding")
     return _rounded(evaluation.scores(shown, "truth", "predicted"), 2)
 
 
