@@ -283,4 +283,4 @@ def sequences(packed: DataFrame, docs: DataFrame, capacity: int = 2048, vocabula
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every row of ``documents``."""
     packed = pack(table(spark, sf_dir, "documents"))
-    return packed.withColumn("piece", F.col("piece").cast("int"))
+    return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset", "text_key")

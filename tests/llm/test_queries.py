@@ -11,9 +11,12 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from test_audit import brute as brute_audit
+from test_importance import brute as brute_importance
 from tokenizers import Tokenizer
 
 from tabulon.llm import ensemble, queries, rules, toxicity
+from tabulon.llm.audit import EDGE_COUNTS
 from tabulon.llm.packing import cut_pieces
 from tabulon.llm.tokens import default_vocabulary
 
@@ -59,6 +62,9 @@ def labelled(rows):
     return [(i, int(i % 4 != 0), int(i % 5 == 0)) for i in range(240)] + [(300, 0, 0), (999, 1, 1), (None, 1, 1), (12, None, None)]
 
 
+BENCHMARK = ["Some words of a Target text", None, "", "words again, words again"]
+
+
 @pytest.fixture(scope="module")
 def results(spark, rows, labelled, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("tables"))
@@ -66,6 +72,7 @@ def results(spark, rows, labelled, tmp_path_factory):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdefg") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + clash)
     frame.repartition(3).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame(labelled, "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(t,) for t in BENCHMARK], "text string").write.parquet(f"{where}/benchmark.parquet")
     spark.createDataFrame([(0, 0, "user", "a"), (1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{where}/conversations.parquet")
     found = {}
 
@@ -264,6 +271,26 @@ def test_op10(results, rows):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables_give_no_rows(spark, tmp_path, name):
-    for table, kind in {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "conversations": "conv_id bigint, turn bigint, role string, text string"}.items():
+    for table, kind in {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string", "conversations": "conv_id bigint, turn bigint, role string, text string"}.items():
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.queries()[name](spark, str(tmp_path)).collect() == []
+
+
+def test_op11(results, rows, labelled):
+    columns, kinds, got = results("op11_filter_audit")
+    assert columns == ["part", "filter_order", "step", *EDGE_COUNTS, "shapley"] and kinds["step"] == "int" and {kinds[c] for c in columns[3:]} == {"bigint"}
+    assert {r[:3]: list(r[3:]) for r in got} == brute_audit([(i, t, "en") for i, t in rows], labelled) and len(got) == 600
+
+
+def test_op12(results, rows):
+    columns, kinds, got = results("op12_mixing")
+    assert columns == ["doc_id", "size", "source_size", "target", "taken"] and kinds["target"] == "double" and kinds["taken"] == "bigint"
+    whole = sum(len(words_of(t)) for _, t in rows)
+    assert Counter(r[:4] for r in got) == Counter((i, len(words_of(t)), whole, float(whole)) for i, t in rows)  # one source gets all there is
+    assert all(r[4] == r[1] for r in got)
+
+
+def test_op13(results, rows):
+    columns, kinds, got = results("op13_importance")
+    assert columns == ["doc_id", "n_features", "weight", "score", "rank"] and set(kinds.values()) == {"bigint"}
+    assert sorted(str(list(r)) for r in got) == brute_importance(rows, BENCHMARK)
