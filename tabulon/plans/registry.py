@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import code, effects, embed
 from tabulon.functions.dense import Linear, Norm
-from tabulon.operators import clean, density, encoder, evaluation, forest, graph, heads, order, projection, ranks, sampling, transformer, vectors
+from tabulon.operators import align, clean, density, encoder, evaluation, forest, graph, heads, order, projection, ranks, sampling, transformer, vectors
 from tabulon.operators import fusion as fusions
 from tabulon.plans import graph_dataset, ingest
 from tabulon.sources import graphml, syntax
@@ -620,6 +620,28 @@ def gated_fusion(spark, d):
     return _rounded(out.select("vec_id", "predicted", F.posexplode(F.concat("routing", "fused", "scores")).alias("dim", "value")), 5)
 
 
+_PROJECTED = "list_transform(range(0, 4), lambda o: list_dot_product({x}, list_transform(range(0, 64), lambda j: ((31 * o + 17 * j + 7 * {seed}) % 23 - 11)::DOUBLE / 60)))"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, vec_id // 32 AS batch, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings),
+p AS (SELECT vec_id, batch, {_PROJECTED.format(x="a", seed=8)} AS g, {_PROJECTED.format(x="list_reverse(a)", seed=9)} AS t FROM v),
+n AS (SELECT *, count(*) OVER (PARTITION BY batch) AS n, list_transform(g, lambda z: z / sqrt(list_dot_product(g, g))) AS u, list_transform(t, lambda z: z / sqrt(list_dot_product(t, t))) AS w FROM p),
+s AS (SELECT a.batch, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.u, b.w) * 10 AS s FROM n a JOIN n b ON a.batch = b.batch WHERE a.n > 1),
+l AS (SELECT *, ln(sum(exp(s)) OVER (PARTITION BY batch, i)) AS li, ln(sum(exp(s)) OVER (PARTITION BY batch, j)) AS lj FROM s),
+c AS (SELECT batch, count(*) AS n, (avg(li - s) + avg(lj - s)) / 2 AS contrastive FROM l WHERE i = j GROUP BY batch),
+d AS (SELECT vec_id, batch, unnest(g) AS g, unnest(t) AS t, unnest(u) AS u, unnest(range(0, 4)) AS k FROM n),
+q AS (SELECT a.batch, a.k AS i, b.k AS j, sum(a.u * b.u) / count(*) AS c, (sum(a.g * b.t) - sum(a.g) * sum(b.t) / count(*)) / (count(*) - 1 + 1e-6::DOUBLE) AS x FROM d a JOIN d b ON a.batch = b.batch AND a.vec_id = b.vec_id GROUP BY ALL),
+m AS (SELECT batch, sum(c * c) / 4 - pow(sum(CASE WHEN i = j THEN c ELSE 0 END) / 4, 2) AS isotropy, avg(x * x) AS "cross" FROM q GROUP BY batch)
+SELECT batch, n, round(contrastive, 5) AS contrastive, round(isotropy, 5) AS isotropy, round("cross", 5) AS "cross", round(contrastive + isotropy + 0.5::DOUBLE / (contrastive + 1e-6::DOUBLE) * "cross", 5) AS total
+FROM c JOIN m USING (batch)""")
+def alignment_losses(spark, d):
+    """The terms of the pre-training loss in every batch of embeddings, projected to 4 numbers by fixed weights."""
+    rows = _table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).cast("long").alias("batch"), "embedding", F.reverse("embedding").alias("other"))
+    weights = {"first": _weights(4, 64, 8).weight, "second": _weights(4, 64, 9).weight, "scale": np.array([np.log(10.0)])}
+    return _rounded(align.batch_losses(rows, "batch", "embedding", "other", weights), 5)
+
+
 #: Tokens of the small model's texts, its places and its layer, all by rule.
 _VOCABULARY, _PLACES = 500, 512
 
@@ -850,6 +872,24 @@ def early_stopped_head(spark, d):
     return _rounded(spark.createDataFrame(epochs, "epoch int, train_loss double, held_loss double, best boolean, stopped_at int"))
 
 
+def _epochs(spark, fitted):
+    return _rounded(spark.createDataFrame([(*e, fitted.stopped_at) for e in fitted.epochs], "epoch int, train_loss double, held_loss double, best boolean, stopped_at int"))
+
+
+@query()
+def aligned_embeddings(spark, d):
+    """The epochs of two projections trained on batches of the embeddings, every fifth batch held out."""
+    rows = sampling.mini_batches(_table(spark, d, "embeddings").withColumn("other", F.reverse("embedding")), "vec_id")
+    return _epochs(spark, align.align(rows.withColumn("held", F.col("batch_id") % 5 == 0), "batch_id", "embedding", "other", "held", 16, patience=3, epochs=15))
+
+
+@query()
+def trained_fusion(spark, d):
+    """The epochs of a router, two experts and a classifier trained on four folds of the embeddings, the fifth held out."""
+    rows = sampling.folds(_table(spark, d, "embeddings"), "label", "vec_id").withColumn("held", F.col("fold") == 0).withColumn("other", F.reverse("embedding"))
+    return _epochs(spark, fusions.train_fusion(rows, "embedding", "other", "label", "held", 32, epochs=15))
+
+
 @query(f"""
 WITH v AS ({" UNION ALL ".join(f"SELECT l_returnflag AS class, '{f}' AS feature, {f}::DOUBLE AS v FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') AND {f} IS NOT NULL" for f in _LINE_FEATURES)}),
 c AS (SELECT class, v.feature, least(v, cap) AS v FROM v JOIN (SELECT feature, quantile_cont(v, 0.99) AS cap FROM v GROUP BY feature) q ON q.feature = v.feature),
