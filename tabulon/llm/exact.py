@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,48 +14,94 @@ from tabulon.session import cut, shared_dir
 from tabulon.session import remove as remove_folder
 
 
+#: Lets a scan of a bucketed table tell its order where each bucket is one file; it holds while a batch is planned.
+_STORED_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+#: Digests that one bucket is meant for, about 200 MB of an index.
+BUCKET_ROWS = 4_000_000
+
+
+@contextmanager
+def _stored_order(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_STORED_ORDER)
+    spark.conf.set(_STORED_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORED_ORDER, before)
+
+
 class DigestIndex:
     """What is known of every distinct text ever added, as a Parquet table bucketed and sorted by digest.
 
-    The table only grows. A digest's first row is its entry, ``entry`` being true; each later batch that has copies of the text adds one more
-    row with their largest id and their number, so ``current`` always tells the largest id and the size of a group.
+    The table only grows, by a segment a batch, in which a bucket is one file. A digest's first row is its entry, ``entry`` being true; each later batch that has
+    copies of the text adds one more row with their largest id and their number, so ``current`` always tells the largest id and the size of a group.
     ``location`` is a folder that driver and executors share. Opening an index that exists there continues it, in any
     later session. ``buckets`` is fixed when the folder is first written: choose it so that one bucket of digests
-    (about 50 bytes a row) sorts in one task.
+    (about 50 bytes a row) sorts in one task. A batch is joined with each segment, so an index of many is worth compacting (``compact``).
     """
 
-    SCHEMA = "digest binary, keep_id bigint, group_size bigint, entry boolean"
+    SCHEMA = "digest binary, keep_id bigint, group_size bigint, entry boolean, segment int"
 
     def __init__(self, spark: SparkSession, location: str, buckets: int):
         self.spark, self.location, self.buckets = spark, location, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.SCHEMA}) USING parquet PARTITIONED BY (segment) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'")
+        spark.catalog.recoverPartitions(self.name)
 
     def rows(self) -> DataFrame:
         """The table with its bucketing known to the planner: joins and groups by digest need no exchange of it."""
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).drop("segment")
+
+    def segments(self) -> list[int]:
+        """The segments' numbers, from the names of their folders."""
+        return sorted(int(r[0].removeprefix("segment=")) for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
 
     def current(self) -> DataFrame:
         """``digest, keep_id, group_size`` of every distinct text."""
         return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` whose digest the index lacks, by one sort-merge anti-join a segment.
+
+        A segment is read in its buckets and in its stored order, so its side has neither exchange nor sort; the batch is dealt and sorted once for
+        all of them. Plan it within ``_stored_order``.
+        """
+        for number in self.segments():
+            known = self.spark.table(self.name).filter((F.col("segment") == number) & F.col("entry")).select("digest")
+            batch = batch.join(known.hint("merge"), "digest", "left_anti")
+        return batch
+
     def add(self, digests: DataFrame) -> DataFrame:
         """Appends a batch of ``doc_id, digest`` and returns the entries made: the digests that the index lacked.
 
         Copies within the batch collapse before the shuffle (partial aggregation), the largest ``doc_id`` standing for
-        them; the index side of the sort-merge anti-join is read in its buckets without an exchange. The collapsed batch is
-        cut off, since the optimizer would otherwise move the anti-join, whose key is the grouping key, below the
+        them. The collapsed batch is cut off, since the optimizer would otherwise move the anti-joins, whose key is the grouping key, below the
         aggregation and shuffle every copy. A batch is appended by one commit, so a lost executor leaves no part of it.
         """
         batch = cut(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-        known = self.rows().filter("entry").select("digest").hint("merge")
-        new = cut(batch.join(known, "digest", "left_anti").withColumn("entry", F.lit(True)))
+        with _stored_order(self.spark):
+            new = cut(self.unknown(batch).withColumn("entry", F.lit(True)))
         more = batch.join(new.select("digest"), "digest", "left_anti").withColumn("entry", F.lit(False))
-        out = new.unionByName(more).repartition(self.buckets, "digest")
-        out.write.mode("append").format("parquet").option("path", self.location).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        self._append(new.unionByName(more), max(self.segments(), default=-1) + 1)
         return new.drop("entry")
 
+    def _append(self, rows: DataFrame, number: int) -> None:
+        """One segment. Rows are dealt as buckets are, so that each bucket is written by one task into one file."""
+        out = rows.repartition(self.buckets, "digest").withColumn("segment", F.lit(number))
+        out.write.mode("append").format("parquet").option("path", self.location).partitionBy("segment").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def compact(self, location: str, buckets: int | None = None) -> DigestIndex:
+        """A new index at ``location`` with one row a digest, in one segment. This one stays as it is, so that nothing is lost if the job is; close it after."""
+        out = DigestIndex(self.spark, location, buckets or self.buckets)
+        if out.segments():
+            raise ValueError("there is an index at that place")
+        out._append(self.current().withColumn("entry", F.lit(True)), 0)
+        return out
+
     def close(self, remove: bool = False) -> None:
         """Forgets the table's name; the folder stays for the next time unless ``remove`` asks for its end."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -79,12 +127,13 @@ def exact_groups(docs: DataFrame, location: str | None = None, buckets: int | No
     shared checkpoint folder and removed at the end. Texts never travel: only id and digest are shuffled. Null text equals
     empty text. Rows that repeat a ``doc_id`` with the same text count each and are kept alike. A null ``doc_id`` loses to
     any other; a group of nothing else has a null ``keep_id``. Other columns of ``docs`` are ignored. An empty table gives an empty
-    result. ``keep_id`` and ``group_size`` cover all that the index has seen, so with a continued index the row that stays
+    result. A new index has as many buckets as shuffles have partitions, more beyond ``BUCKET_ROWS`` rows each. ``keep_id`` and ``group_size`` cover all that the index has seen, so with a continued index the row that stays
     may be one of an earlier call.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, location or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     digests = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), digest(F.col("text")).alias("digest")))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // BUCKET_ROWS))
+    index = DigestIndex(spark, location or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets)
     for number in range(batches):
         index.add(digests.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
     current = cut(index.current())

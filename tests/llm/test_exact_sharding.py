@@ -5,8 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm.exact import DigestIndex, digest, drop_exact_copies, exact_groups
+from tabulon.llm.exact import DigestIndex, _stored_order, digest, drop_exact_copies, exact_groups
 from tabulon.llm.sharding import external_shuffle
+from tabulon.session import cut
 
 ROWS = [(1, "Same", "x"), (5, "sAME", "y"), (3, "same", None), (2, None, "z"), (4, "", None), (6, "É", "e"), (7, "é", "e"), (8, "long " * 5000, None), (9, "solo", "s"), (None, "solo", None), (9, "solo", "twice")]
 SCHEMA = "doc_id bigint, text string, keep_id string"
@@ -43,6 +44,29 @@ def test_index_persists_and_takes_only_what_is_new(spark, tmp_path):
     assert not (tmp_path / "index").exists()
 
 
+def test_segments_are_read_in_their_order_and_compacted(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), 4)
+    batch = lambda ids: spark.createDataFrame([(i, f"t{i % 30}") for i in ids], "doc_id bigint, text string").select("doc_id", digest(F.col("text")).alias("digest"))
+    made = [index.add(batch(ids)).count() for ids in (range(20), range(10, 45), range(40, 90), [])]
+    assert made == [20, 10, 0, 0] and index.segments() == [0, 1, 2]
+    files = [p.name for p in (tmp_path / "index" / "segment=0").iterdir() if p.name.endswith(".parquet")]
+    assert len({name.split("_")[-1].split(".")[0] for name in files}) == len(files) <= 4
+    with _stored_order(spark):
+        plan = index.unknown(cut(batch(range(100, 140)))).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    small = index.compact(str(tmp_path / "small"), 2)
+    rows = lambda i: sorted(map(tuple, i.current().collect()))
+    assert rows(small) == rows(index) and len(rows(small)) == 30 and small.segments() == [0] and small.rows().count() == 30
+    with pytest.raises(ValueError):
+        index.compact(str(tmp_path / "small"))
+    assert small.add(batch([7, 1000])).count() == 0 and small.segments() == [0, 1]
+    small.close(), index.close()
+    every = [*range(20), *range(10, 45), *range(40, 90), 7, 1000]
+    got = DigestIndex(spark, str(tmp_path / "small"), 2).current().collect()
+    assert sorted((r["keep_id"], r["group_size"]) for r in got) == sorted((max(i for i in every if i % 30 == k), sum(i % 30 == k for i in every)) for k in range(30))
+
+
 def test_a_continued_index_covers_earlier_calls(spark, tmp_path):
     where = str(tmp_path / "index")
     rows = lambda *r: spark.createDataFrame(list(r), "doc_id bigint, text string")
