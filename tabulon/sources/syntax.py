@@ -5,11 +5,11 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import ship_code
+from tabulon.session import ship_code, spread
 
 #: Which attribute of a node is its content, and under which name it is shown.
 _SHOWN = {
@@ -20,6 +20,12 @@ _SHOWN = {
 }
 
 
+#: Texts of a task at most, about, and rows of trees that are handed on at once.
+TEXTS, ROWS = 20_000, 20_000
+
+_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string())
+
+
 def label(node: ast.AST) -> str:
     """``[Type] name='...'``; constants are cut at 20 characters; other nodes show their type alone."""
     kind = type(node)
@@ -54,12 +60,23 @@ def tree(docs: DataFrame, key: str, code: str) -> DataFrame:
     ship_code(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, text in zip(frame["k"], frame["c"], strict=True):
-                rows = tree_rows(text)
-                if rows:
-                    out = pd.DataFrame(rows, columns=["pos", "label", "parent", "field"])
-                    yield out.assign(**{key: k}).astype({"parent": "Int64"})[[key, "pos", "label", "parent", "field"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places, rows = batch.column("k"), [], []
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*rows, strict=True)
+                return pa.record_batch([keys.take(pa.array(places, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=[key, "pos", "label", "parent", "field"])
+
+            for place, text in enumerate(batch.column("c").to_pylist()):
+                found = tree_rows(text) or []
+                rows += found
+                places += [place] * len(found)
+                if len(rows) >= ROWS:
+                    yield made()
+                    places, rows = [], []
+            if rows:
+                yield made()
 
-    return docs.select(F.col(key).alias("k"), F.col(code).alias("c")).mapInPandas(run, f"{key} {kind}, pos long, label string, parent long, field string")
+    texts = spread(docs.select(F.col(key).alias("k"), F.col(code).alias("c")), TEXTS)
+    return texts.mapInArrow(run, f"{key} {kind}, pos long, label string, parent long, field string")
