@@ -34,3 +34,21 @@ def test_trees_of_one_file_are_made_by_all_cores(spark, monkeypatch):
     rows = made.collect()
     assert len(rows) == 200 * 5 and {r["label"] for r in rows if r["pos"] == 4} == {f"[Constant] value='{i}'" for i in range(300) if i % 3}
     same_as_sql(spark, "ast_graph")
+
+
+def test_processes_of_one_file_run_on_all_cores(spark, monkeypatch):
+    rows = spark.range(40).coalesce(1).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 'fail' WHEN id % 4 = 1 THEN '' ELSE 'text ' || id END AS code", "'python' AS language")
+    made = records.with_processes(rows, ["sh", "-c", 'grep -q "^fail$" "$0" && exit 1; cp "$0" "$1"', "{code}", "{out}"])
+    assert made.rdd.getNumPartitions() == 4
+    got = {r["id"]: (r["graphml"], r["status"], r["exit_status"], r["out_bytes"]) for r in made.collect()}
+    kinds = [lambda i: (None, "error: exit status 1", 1, 0), lambda i: (None, "empty", 0, 0)] + [lambda i: (f"text {i}", "success", 0, len(f"text {i}"))] * 2
+    assert got == {i: kinds[i % 4](i) for i in range(40)}
+
+
+def test_the_end_of_a_process_is_told_at_once():
+    import subprocess
+
+    slow, quick = subprocess.Popen(["sleep", "60"]), subprocess.Popen(["sh", "-c", "exit 3"])
+    assert records._end(quick, 10.0) == 3 and records._end(slow, 0.1) is None
+    slow.kill()
+    assert slow.wait() == -9
