@@ -52,3 +52,14 @@ def test_the_end_of_a_process_is_told_at_once():
     assert records._end(quick, 10.0) == 3 and records._end(slow, 0.1) is None
     slow.kill()
     assert slow.wait() == -9
+
+
+def test_graphs_of_one_file_are_parsed_by_all_cores(spark):
+    from tabulon.plans import registry
+
+    assert registry.queries()["xml_nodes"](spark, SMALL).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["homo_edges", "xml_graph", "xml_nodes", "node_embeddings"])
+def test_graphs_equal_sql(spark, name):
+    same_as_sql(spark, name)
