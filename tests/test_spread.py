@@ -63,3 +63,11 @@ def test_graphs_of_one_file_are_parsed_by_all_cores(spark):
 @pytest.mark.parametrize("name", ["homo_edges", "xml_graph", "xml_nodes", "node_embeddings"])
 def test_graphs_equal_sql(spark, name):
     same_as_sql(spark, name)
+
+
+def test_file_inventory_sends_no_language_to_one_task(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a language would go through one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", refuse)
+    same_as_sql(spark, "file_inventory")
