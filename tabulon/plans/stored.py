@@ -122,9 +122,9 @@ def csv_sink(spark, d):
 
 @query("SELECT lang, sum(strlen(text) + 1)::BIGINT AS length FROM documents GROUP BY lang")
 def file_inventory(spark, d):
-    """The files of a folder, one a language, with their bytes; a line break ends each text."""
+    """The files of a folder, by language, with their bytes; a line break ends each text."""
     path = _folder(spark, "inventory")
-    _table(spark, d, "documents").select("lang", "text").repartition("lang").write.partitionBy("lang").text(path)
+    _table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)  # each task has a file of its own a language
     files = records.inventory(spark, path).withColumn("lang", F.regexp_extract("path", "lang=([^/]*)", 1))
     return files.filter("lang <> ''").groupBy("lang").agg(F.sum("length").alias("length"))
 
