@@ -71,3 +71,13 @@ def test_file_inventory_sends_no_language_to_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.range(1)), "repartition", refuse)
     same_as_sql(spark, "file_inventory")
+
+
+def test_obfuscation_remembers_names():
+    import pyarrow as pa
+
+    from tabulon.functions import code
+
+    code._hidden.cache_clear()
+    assert code._obfuscator("python")(pa.array(["a a a if", None, "é_a á"])).to_pylist() == ["he40c292c he40c292c he40c292c if", None, "é_a he40c292ć"]
+    assert code._hidden.cache_info().hits == 3
