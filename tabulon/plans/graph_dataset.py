@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.embed import Embedder, embed_texts
 from tabulon.operators import clean, graph
+from tabulon.session import cut
 from tabulon.sources import graphml, records
 
 Hook = Callable[["GraphTables"], "GraphTables"]
@@ -47,8 +48,9 @@ class GraphTables:
         ``pre_transform`` changes the tables once, before they are stored.
         """
         decoded = records.decode_records(records.read_lines(spark, records.resolve(spark, root, name), first))
-        parsed = graphml.parse(decoded.filter("status = 'success'").drop("status"), "graphml", exact)
-        good = clean.keep_last(parsed.filter("status = 'success'"), "idx", "line_no")
+        # Nodes, edges and metadata all read the parsed graphs, and each is read twice when it is dealt into ranges: they are parsed once and cut.
+        parsed = cut(graphml.parse(decoded.filter("status = 'success'").drop("status"), "graphml", exact).drop("graphml"))
+        good = cut(clean.keep_last(parsed.filter("status = 'success'"), "idx", "line_no"))
         bad = decoded.filter("status <> 'success'").select("status").unionByName(parsed.filter("status <> 'success'").select("status"))
         built = cls(records.metadata(good), *cls.shape(graphml.node_rows(good, "idx"), graphml.edge_rows(good, "idx")), records.status_counts(bad))
         return pre_transform(built) if pre_transform else built

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import code, effects
 from tabulon.operators import ranks, vectors
 from tabulon.plans import analysis, graph_dataset, registry
-from tabulon.session import shared_dir
+from tabulon.session import shared_dir, spread
 from tabulon.sources import graphml, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,7 +205,7 @@ def _graph_text() -> F.Column:
 
 def _graph_lines(spark: SparkSession, d: str) -> str:
     """A folder with the lines; a seventh of the graphs are given twice, the first time with one node, an eleventh are blank and a thirteenth no XML."""
-    part = _table(spark, d, "part").select("p_partkey", (1 + F.col("p_size") % 6).alias("n"), "p_brand").withColumn("version", F.lit(1))
+    part = spread(_table(spark, d, "part")).select("p_partkey", (1 + F.col("p_size") % 6).alias("n"), "p_brand").withColumn("version", F.lit(1))
     early = part.filter("p_partkey % 7 = 0").withColumns({"version": F.lit(0), "n": F.lit(1)})
     text = F.when(F.col("p_partkey") % 11 == 0, " ").when(F.col("p_partkey") % 13 == 0, "<graphml").otherwise(_graph_text())
     record = F.struct(F.col("p_partkey").alias("idx"), F.lit("h").alias("hash"), F.col("p_brand").alias("target"), F.lit("m").alias("model"), F.when(F.col("p_partkey") % 2 == 0, "python").otherwise("java").alias("language"), F.lit("train").alias("split"), F.lit("s").alias("source"), F.lit("x").alias("code"), text.alias("graphml"))
