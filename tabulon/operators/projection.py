@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.dense import block, lists
-from tabulon.operators import order, sampling
+from tabulon.operators import order, sampling, tiles
 from tabulon.session import cut, ship_code
 
 #: Points of a layout at most: the plot sample. The layout, and what tasks hold of it, is bounded by this.
@@ -20,6 +21,9 @@ MOST_POINTS = 6000
 #: Rows whose distances to all points are held at once.
 ROWS = 256
 
+#: Neighbours that products choose beyond those asked for, before differences decide.
+SPARE = 8
+
 # Shape of UMAP's similarity curve for a least distance of 0.1 and a spread of 1.
 CURVE_A, CURVE_B = 1.5769434603113077, 0.8950608779109733
 
@@ -145,54 +149,68 @@ def _placed(points: DataFrame, key: str, y: np.ndarray) -> DataFrame:
     return points.join(F.broadcast(layout), "pos").select(key, "x", "y")  # a row a point
 
 
-def _with_distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """``a, b, d``: the Euclidean distance of each pair of places."""
-    side = lambda name: points.select(F.col("pos").alias(name), F.col("v").alias(f"v{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            width = len(batch.column("va")[0]) if batch.num_rows else 0
-            (x, _), (y, _) = (block(batch.column(c), width) for c in ("va", "vb"))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)))], names=["a", "b", "d"])
-
-    ship_code(pairs.sparkSession)
-    return joined.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, d double")
+def _finite(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and vectors of the rows with ``width`` finite numbers, in the order of their places."""
+    x, whole = block(table.column("v"), width)
+    at = table.column("pos").to_numpy()[whole]
+    known = np.flatnonzero(np.isfinite(x).all(axis=1))
+    known = known[np.argsort(at[known], kind="stable")]
+    return at[known], x[known]
 
 
-def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    best = edges.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, k).alias("near"))
-    return best.select("a", F.explode("near").alias("n")).select("a", "n.b", "n.d")
+def _nearest(left: pa.Table, right: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """``a, near``: for each row of ``left`` the ``k`` nearest others of its length in ``right``.
 
-
-def neighbours(points: DataFrame, k: int = 15, rounds: int = 12, sample: int = 20, least: float = 0.002, seed: int = 7) -> DataFrame:
-    """``a, b, d``: the ``k`` nearest points of each, nearly, by neighbour descent; ``points`` has ``pos`` from 0 without gaps, and ``v`` of one length.
-
-    It begins with random neighbours. In a round every point introduces its neighbours, in either direction, to each other, and each keeps the nearest it has met;
-    it ends when fewer than ``least`` of all entries change. A link takes part with a probability that leaves either end ``sample`` links
-    or so, so a point that very many others have as neighbour is no hot key, and the work of a round is linear in the points.
+    Products of the centred vectors choose ``SPARE`` more than are asked for, and those are measured by differences. After the first piece only what is
+    nearer than the farthest row held so far is looked at.
     """
-    n = points.count()
-    k = min(k, max(0, n - 1))
-    other = lambda t: F.pmod(F.xxhash64(F.lit(seed), "pos", t), F.lit(max(1, n)))
-    drawn = points.select(F.col("pos").alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(2 * k + 2)), other)).alias("b")).filter("a <> b").distinct()
-    state = cut(_nearest(_with_distances(drawn, points), k))
-    for turn in range(rounds):
-        ways = state.select("a", "b").unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        degrees = ways.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        sized = ways.join(degrees, "a").join(degrees.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
-        chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.least("a", "b"), F.greatest("a", "b")), F.lit(1 << 20)) / float(1 << 20)
-        links = cut(sized.filter(chance * F.greatest("n", "m") < sample).select("a", "b"))
-        meet = links.select("a", F.col("b").alias("x")).join(links, "a").filter("x <> b").select(F.col("x").alias("a"), "b").distinct()
-        worst = state.groupBy("a").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("have"))
-        fresh = _with_distances(meet.join(state.select("a", "b"), ["a", "b"], "left_anti"), points)
-        nearer = fresh.join(worst, "a").filter((F.col("d") < F.col("worst")) | (F.col("have") < k)).select("a", "b", "d")
-        after = cut(_nearest(state.unionByName(nearer), k))
-        changed = after.join(state.select("a", "b"), ["a", "b"], "left_anti").count()
-        state = after
-        if changed <= least * n * k:
-            break
-    return state
+    lengths = [set(pc.unique(pc.list_value_length(t.column("v"))).to_pylist()) for t in (left, right)]
+    for width in sorted(w for w in lengths[0] & lengths[1] if w):
+        (apos, x), (bpos, y) = _finite(left, width), _finite(right, width)
+        if not len(x) or not len(y):
+            continue
+        x, y = x - y.mean(axis=0), y - y.mean(axis=0)
+        held = min(len(y), k + 1 + SPARE)  # one may be the row itself
+        for rows, pieces in tiles.by_rows(x, y, 128, [max(2048, held), 8192]):
+            n = rows.stop - rows.start
+            for columns, s in pieces:
+                if not columns.start:
+                    at = np.argpartition(s, held - 1, axis=1)[:, :held]
+                    best = np.take_along_axis(s, at, axis=1)
+                    far = best.max(axis=1)
+                    continue
+                r, c = np.nonzero(s < far[:, None])
+                if not len(r):
+                    continue
+                rows_of = np.concatenate([np.repeat(np.arange(n), held), r])
+                values, places = np.concatenate([best.ravel(), s[r, c]]), np.concatenate([at.ravel(), columns.start + c])
+                order_of = np.lexsort((values, rows_of))
+                starts = np.searchsorted(rows_of[order_of], np.arange(n))
+                chosen = order_of[starts[:, None] + np.arange(held)]
+                best, at = values[chosen], places[chosen]
+                far = best[:, -1]
+            d = np.sqrt(((x[rows, None] - y[at]) ** 2).sum(axis=2))
+            own = bpos[at] == apos[rows, None]
+            d, b = np.where(own, np.inf, d), bpos[at]
+            ranked = np.lexsort((b, d), axis=1)[:, :k]
+            d, b = np.take_along_axis(d, ranked, axis=1), np.take_along_axis(b, ranked, axis=1)
+            there = np.isfinite(d)
+            ends = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32))
+            near = pa.StructArray.from_arrays([pa.array(d[there]), pa.array(b[there])], names=["d", "b"])
+            yield pa.record_batch([pa.array(apos[rows]), pa.ListArray.from_arrays(ends, near)], names=["a", "near"])
+
+
+def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
+    """``a, b, d``: the ``k`` nearest points of each, all found; ``points`` has ``pos``, all different, and ``v``. Of equally near ones the smaller places come first.
+
+    Every block of points meets every other in a task (``tiles.meet``), which leaves each point's ``k`` nearest of the block, so no pairs are rows: what is
+    shuffled is the vectors, and ``k`` numbers a point, once a block. Neighbour descent, which introduces neighbours to each other in rounds, shuffled hundreds
+    of vectors a point and round and still found too few in 64 dimensions. Vectors that are null, or have an entry that is null or not finite, have no
+    neighbours and are none; those of another length are not compared.
+    """
+    found = tiles.meet(points.select("pos", "v"), "v", lambda left, right: _nearest(left, right, k), "a long, near array<struct<d: double, b: long>>")
+    best = found.groupBy("a").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return best.select("a", F.explode("near").alias("n")).select("a", "n.b", "n.d")
 
 
 def fuzzy_union(near: DataFrame, k: int) -> DataFrame:
@@ -252,7 +270,7 @@ def umap_moves(edges: DataFrame, y: np.ndarray, turn: int, seed: int, negatives:
 
 
 def umap(rows: DataFrame, key: str, label: str, vector: str, k: int = 15, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """``key, x, y``: a UMAP layout of the plot sample, from neighbour descent, the fuzzy union of its edges, and rounds whose steps shrink to nothing.
+    """``key, x, y``: a UMAP layout of the plot sample, from the nearest neighbours, the fuzzy union of its edges, and rounds whose steps shrink to nothing.
 
     A round moves all points at once. Points without neighbours, and tables of one row, stay where the seed has put them. As for ``tsne`` in all else.
     """
