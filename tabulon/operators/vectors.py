@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.dense import block
+from tabulon.operators import tiles
 from tabulon.session import ship_code
 
 
@@ -149,43 +152,125 @@ def fuse(a: Column, b: Column, weights: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.get(weights, F.lit(0)) * x.cast("double") + F.get(weights, F.lit(1)) * y.cast("double"))
 
 
-def silhouette(rows: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
+#: Pairs of rows whose difference is taken at once; a squared distance below ``CLOSE`` of a row's own square has lost digits and is taken from the difference.
+PAIRS, CLOSE = 1 << 14, 1e-7
+
+
+class _Points:
+    """The rows of a block that have a class and a vector of one length, copies of a class once: ``x``, ``weight``, ``starts`` of the classes; ``rows`` of each from ``first`` on."""
+
+    def __init__(self, table: pa.Table, width: int):
+        x, whole = block(table.column("v"), width)
+        known = np.flatnonzero(whole & np.asarray(table.column("c").is_valid()))
+        x, classes = x[np.cumsum(whole)[known] - 1], table.column("c").combine_chunks().take(pa.array(known)).dictionary_encode()
+        code = classes.indices.to_numpy()
+        bytes_of = np.ascontiguousarray(np.hstack([code[:, None].astype(float), x + 0.0])).view(np.dtype((np.void, 8 * (width + 1)))).ravel()
+        _, first, place, self.weight = np.unique(bytes_of, return_index=True, return_inverse=True, return_counts=True)
+        by_class = np.argsort(code[first], kind="stable")
+        rank = np.empty_like(by_class)
+        rank[by_class] = np.arange(len(by_class))
+        self.x, self.weight, code = x[first[by_class]], self.weight[by_class], code[first[by_class]]
+        self.of = np.full(table.num_rows, -1)
+        self.of[known] = rank[place.ravel()]
+        order = np.argsort(rank[place.ravel()], kind="stable")
+        self.rows, self.first = known[order], np.r_[0, np.cumsum(self.weight)]
+        self.starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, int)
+        self.names = [classes.dictionary[int(c)].as_py() for c in code[self.starts]]
+        self.sizes = np.add.reduceat(self.weight, self.starts) if len(code) else np.zeros(0)
+        self.keys, self.classes = table.column("k").combine_chunks(), table.column("c").combine_chunks()
+
+    def records(self, points: slice, names: list[str | None], d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """The sums ``d`` of the points, a row each and a column a name, over ``n`` rows, for all their rows."""
+        ends = self.first[points.start], self.first[points.stop]
+        rows, at = self.rows[ends[0] : ends[1]], np.repeat(np.arange(len(d)), self.weight[points])
+        return _sums(self, np.repeat(rows, len(names)), np.tile(np.array(names, object), len(rows)), d[at].ravel(), np.tile(n, len(rows)))
+
+
+def _sums(points: _Points, rows: np.ndarray, names: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(rows)
+    return pa.record_batch([points.keys.take(at), points.classes.take(at), pa.array(names, pa.string()), pa.array(d, pa.float64()), pa.array(n, pa.float64())], names=["k", "c", "c2", "d", "n"])
+
+
+def _apart(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of pairs of rows by their differences."""
+    return np.concatenate([np.sqrt(((x[i[s : s + PAIRS]] - y[j[s : s + PAIRS]]) ** 2).sum(axis=1)) for s in range(0, len(i), PAIRS)] or [np.zeros(0)])
+
+
+def _distance_sums(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    """``k, c, c2, d, n``: sums and numbers of the distances of each row to the rows of each class in the other block, either way. Rows of the same key count back."""
+    own = right is None
+    right = left if own else right
+    lengths = [set(pc.unique(pc.list_value_length(t.column("v"))).to_pylist()) for t in (left, right)]
+    for width in sorted(w for w in lengths[0] & lengths[1] if w is not None):
+        a = _Points(left, width)
+        b = a if own else _Points(right, width)
+        if not len(a.x) or not len(b.x):
+            continue
+        finite = b.x[np.isfinite(b.x).all(axis=1)]
+        middle = finite.mean(axis=0) if len(finite) else 0.0
+        x, y = a.x - middle, b.x - middle
+        own_square, even = (x * x).sum(axis=1), [bool((p.weight == 1).all()) for p in (a, b)]
+        ends = np.r_[a.starts[1:], len(x)]
+        at_class, total = 0, np.zeros(len(y))
+        for rows, pieces in tiles.by_rows(x, y, 128, [2048, 2048]):
+            sums = np.zeros((rows.stop - rows.start, len(b.names)))
+            cuts = [rows.start, *(int(s) for s in a.starts if rows.start < s < rows.stop), rows.stop]
+            parts = np.zeros((len(cuts) - 1, len(y)))
+            for columns, d in pieces:
+                d += own_square[rows, None]
+                r, c = np.nonzero(d < CLOSE * own_square[rows, None] + 1e-300)
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                d[r, c] = _apart(x, y, rows.start + r, columns.start + c)
+                if not own:
+                    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        part = d[s - rows.start : e - rows.start]
+                        parts[k, columns] = part.sum(axis=0) if even[0] else a.weight[s:e] @ part
+                if not even[1]:
+                    d *= b.weight[columns]
+                first, last = np.searchsorted(b.starts, [columns.start, columns.stop - 1], side="right") - 1
+                sums[:, first : last + 1] += np.add.reduceat(d, np.maximum(b.starts[first : last + 1] - columns.start, 0), axis=1)
+            yield a.records(rows, b.names, sums, b.sizes)
+            for k, e in enumerate(cuts[1:]):
+                total += parts[k]
+                if not own and e == ends[at_class]:
+                    for s in range(0, len(y), PAIRS):
+                        piece = slice(s, min(s + PAIRS, len(y)))
+                        yield b.records(piece, [a.names[at_class]], total[piece, None], a.sizes[[at_class]])
+                    at_class, total = at_class + 1, np.zeros(len(y))
+        yield from _of_same_key(a, b, x, y, own)
+    if own:  # so that every key has a row
+        n = left.num_rows
+        yield pa.record_batch([left.column("k").combine_chunks(), left.column("c").combine_chunks(), left.column("c").combine_chunks(), pa.array(np.zeros(n)), pa.array(np.zeros(n))], names=["k", "c", "c2", "d", "n"])
+
+
+def _of_same_key(a: _Points, b: _Points, x: np.ndarray, y: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+    """What the rows of the same key have been given of each other, to be taken off again."""
+    codes = pa.chunked_array([a.keys, b.keys]).combine_chunks().dictionary_encode().indices.to_numpy()
+    i, j = np.flatnonzero(a.of >= 0), np.flatnonzero(b.of >= 0)
+    ka, kb = codes[: len(a.keys)][i], codes[len(a.keys) :][j]
+    j, kb = j[np.argsort(kb, kind="stable")], np.sort(kb)
+    low = np.searchsorted(kb, ka)
+    ends = np.cumsum(np.searchsorted(kb, ka, side="right") - low)
+    for s in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        pair = np.arange(s, min(s + PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, pair, side="right")
+        p, q = i[row], j[low[row] + pair - np.r_[0, ends][row]]
+        d = _apart(x, y, a.of[p], b.of[q])
+        for one, other, u, v in ((a, b, p, q),) if own else ((a, b, p, q), (b, a, q, p)):
+            yield _sums(one, u, np.array(other.names, object)[np.searchsorted(other.starts, other.of[v], side="right") - 1], -d, -np.ones(len(d)))
+
+
+def silhouette(rows: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """``silhouette``: the mean Euclidean silhouette over all rows.
 
-    Rows are dealt into blocks of about ``block``; each pair of blocks is a task of its own and leaves a sum and a count of
-    distances per row and class. A vector that is null, has a null or another length has no distance.
+    Every two blocks of rows meet in a task (``tiles.meet``), which leaves a sum and a count of distances per row and class. Distances come from products of the
+    centred vectors, and from differences where rows are so close that products lose digits; copies of a class in a block are measured once. A vector that is null, has
+    a null or another length has no distance.
     """
-    n = max(1, -(-rows.count() // block))
-    base = rows.select(F.col(key).cast("string").alias("k"), F.col(label).cast("string").alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("k IS NOT NULL")
-    base = base.withColumn("at", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = base.withColumn("x", F.col("at")).withColumn("y", every), base.withColumn("y", F.col("at")).withColumn("x", every)
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        ka, kb = (np.array(t.column("k").to_pylist(), object) for t in (a, b))
-        va, vb = (t.column("v").to_pylist() for t in (a, b))
-        size = lambda v: -1 if v is None or None in v else len(v)
-        la, lb = np.array([size(v) for v in va], int), np.array([size(v) for v in vb], int)
-        ca, cb = a.column("c").to_pylist(), b.column("c").to_pylist()
-        names = list(dict.fromkeys(cb))
-        place = np.array([names.index(c) for c in cb], int)
-        totals, counts, met = (np.zeros((len(ka), len(names))) for _ in range(3))
-        for length in np.unique(np.r_[la, lb]):
-            i, j = np.flatnonzero(la == length), np.flatnonzero(lb == length)
-            if length < 0 or not len(i) or not len(j):
-                continue
-            onto = np.eye(len(names))[place[j]]
-            x, y = (np.array([v[r] for r in at], float).reshape(len(at), length) for v, at in ((va, i), (vb, j)))
-            for s in range(0, len(i), 16):
-                far, other = np.sqrt(((x[s : s + 16, None] - y[None]) ** 2).sum(axis=2)), ka[i[s : s + 16], None] != kb[None, j]
-                totals[i[s : s + 16]] += np.where(other, far, 0) @ onto
-                counts[i[s : s + 16]] += other @ onto
-        for r in range(len(ka)):
-            met[r] = np.bincount(place[kb != ka[r]], minlength=len(names))
-        r, c = np.nonzero(met)
-        return pa.table({"k": pa.array(ka[r], pa.string()), "c": pa.array([ca[q] for q in r], pa.string()), "c2": pa.array([names[q] for q in c], pa.string()), "d": totals[r, c], "n": counts[r, c]})
-
-    sums = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, "k string, c string, c2 string, d double, n double")
+    base = rows.select(F.col(key).cast("string").alias("k"), F.col(label).cast("string").alias("c"), F.col(vector).alias("v")).filter("k IS NOT NULL")
+    if not base.agg(F.min("k") < F.max("k")).first()[0]:
+        base = base.limit(0)  # no row has another to be compared with
+    sums = tiles.meet(base, "v", _distance_sums, "k string, c string, c2 string, d double, n double", once=True)
     means = sums.groupBy("k", "c", "c2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
     ab = means.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
     return ab.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).alias("silhouette"))

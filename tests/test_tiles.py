@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabulon.operators import tiles
+from tabulon.operators import tiles, vectors
 from tabulon.operators.projection import neighbours
 
 
@@ -47,3 +47,42 @@ def test_odd_vectors_are_no_neighbours(spark):
     points = spark.createDataFrame(rows, "pos long, v array<float>")
     assert sorted(tuple(r) for r in neighbours(points).collect()) == [(0, 1, 5.0), (1, 0, 5.0), (5, 6, 1.0), (6, 5, 1.0)]
     assert neighbours(points.limit(0)).count() == 0
+
+
+def reference(rows):
+    """As the SQL has it, over plain lists."""
+    means = {}
+    for k, c, v in rows:
+        for k2, c2, w in rows:
+            if k is not None and k2 is not None and k != k2:
+                cell = means.setdefault(k, {}).setdefault((c, c2), [])
+                if v is not None and w is not None and len(v) == len(w) and None not in [*v, *w]:
+                    cell.append(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)))))
+    out = []
+    for cells in means.values():
+        a = [np.mean(d) for (c, c2), d in cells.items() if d and None not in (c, c2) and c == c2]
+        b = [np.mean(d) for (c, c2), d in cells.items() if d and None not in (c, c2) and c != c2]
+        out.append((min(b) - max(a)) / max(max(a), min(b)) if a and b and max(max(a), min(b)) > 0 else 0.0)
+    return float(np.mean(out)) if out else None
+
+
+@pytest.mark.parametrize("numbers", [1 << 22, 30])
+def test_silhouette_of_odd_rows(spark, monkeypatch, numbers):
+    """Copies within and across classes, keys that repeat, null classes and vectors, other lengths, clusters far from the origin."""
+    monkeypatch.setattr(tiles, "NUMBERS", numbers)
+    draw = np.random.default_rng(4)
+    rows = [(i, i % 4 if i % 11 else None, [float(x) for x in 1e6 + draw.normal(size=3) * 1e-3 + 1e3 * (i % 2)]) for i in range(90)]
+    rows += [(100 + i, i % 3, [1e6, 1e6, 1e6]) for i in range(20)] + [(200 + i // 3, i % 2, [float(i), 2.0, 3.0]) for i in range(15)]
+    rows += [(300, 1, None), (301, 2, [1.0, None, 2.0]), (302, 1, [1.0]), (303, 2, [2.5]), (304, 2, [9.0]), (None, 1, [1.0, 2.0, 3.0]), (305, 9, [4.0, 4.0, 4.0])]
+    df = spark.createDataFrame(rows, "k long, c long, v array<double>")
+    got = vectors.silhouette(df, "k", "c", "v").first()[0]
+    assert got == pytest.approx(reference(rows), abs=1e-8)
+    same = [(i, i % 2, [5.0, 1e5 * (i % 3 == 0)]) for i in range(40)]
+    assert vectors.silhouette(spark.createDataFrame(same, df.schema), "k", "c", "v").first()[0] == pytest.approx(reference(same), abs=1e-9)
+    assert vectors.silhouette(df.filter("k = 200"), "k", "c", "v").first()[0] is None
+
+
+def test_silhouette_sends_no_row_a_pair_of_small_blocks(spark):
+    """10,000 rows were dealt into five blocks and met 25 times, with as many rows of sums a row and class; now the blocks hold 4 million numbers."""
+    df = spark.range(10_000).selectExpr("id AS k", "id % 2 AS c", "array(rand(1), rand(2)) AS v")
+    assert tiles.blocks(df, "v", once=True) == 5 and tiles.blocks(df.unionByName(df).unionByName(df), "v", once=True) == 5
