@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ def project(nodes: DataFrame, projections: dict[str, Linear]) -> DataFrame:
 MAX_COLUMNS = 32
 
 
-def _mean(x: str, width: int) -> Column:
+def _mean(x: str | Column, width: int) -> Column:
     if width <= MAX_COLUMNS:
         return F.array(*[F.avg(F.get(x, F.lit(i))) for i in range(width)])
     return vector_to_array(Summarizer.mean(array_to_vector(x)))
@@ -94,13 +95,18 @@ def convolve(nodes: DataFrame, edges: DataFrame, convolutions: dict[EdgeType, Co
     used = {e: c for e, c in convolutions.items() if e[0] in present}
     reached = sorted({e[2] for e in used})
     source = nodes.select("graph", F.col("type").alias("src_type"), F.col("pos").alias("src_pos"), "x")
-    kinds = edges.select("graph", "src_type", F.col("src_pos").cast("long").alias("src_pos"), "rel", "dst_type", F.col("dst_pos").cast("long").alias("dst_pos"))
-    means = kinds.join(source, ["graph", "src_type", "src_pos"]).groupBy("graph", F.col("dst_type").alias("type"), F.col("dst_pos").alias("pos"), "src_type", "rel").agg(_mean("x", _width(nodes)).alias("mean"))
-    names = {e: f"mean{i}" for i, e in enumerate(used)}
+    kinds = edges.select("graph", "src_type", F.col("src_pos").cast("long").alias("src_pos"), "rel", F.col("dst_type").alias("type"), F.col("dst_pos").cast("long").alias("pos"))
     from_edge = lambda e: (F.col("src_type") == e[0]) & (F.col("rel") == e[1]) & (F.col("type") == e[2])
-    each = [F.any_value(F.when(from_edge(e), F.col("mean")), ignoreNulls=True).alias(name) for e, name in names.items()]
-    given = means.groupBy("graph", "type", "pos").agg(*each) if each else nodes.select("graph", "type", "pos").limit(0)
-    both = nodes.filter(F.col("type").isin(reached)).join(given, ["graph", "type", "pos"], "left").select("graph", "type", "pos", "x", *names.values())
+    met = kinds.filter(reduce(Column.__or__, map(from_edge, used), F.lit(False))).join(source, ["src_pos", "src_type", "graph"])  # the key with most values first, for the sorts
+    names, width = {e: f"mean{i}" for i, e in enumerate(used)}, _width(nodes)
+    if used and width * len(used) <= MAX_COLUMNS:
+        given = met.groupBy("pos", "type", "graph").agg(*[_mean(F.when(from_edge(e), F.col("x")), width).alias(name) for e, name in names.items()])
+    elif used:
+        means = met.groupBy("pos", "type", "graph", "src_type", "rel").agg(_mean("x", width).alias("mean"))
+        given = means.groupBy("pos", "type", "graph").agg(*[F.any_value(F.when(from_edge(e), F.col("mean")), ignoreNulls=True).alias(name) for e, name in names.items()])
+    else:
+        given = nodes.select("pos", "type", "graph").limit(0)
+    both = nodes.filter(F.col("type").isin(reached)).join(given, ["pos", "type", "graph"], "left").select("graph", "type", "pos", "x", *names.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

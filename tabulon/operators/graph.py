@@ -23,7 +23,7 @@ def index_nodes(nodes: DataFrame) -> DataFrame:
     of_graph = Window.partitionBy("graph").orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
     starts = totals.select("graph", "type", "__part", *[F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(name) for w, name in ((of_type, "__t"), (of_graph, "__g"))])
     within = lambda *by: F.row_number().over(Window.partitionBy("graph", "__part", *by).orderBy("pos", "node")) - 1
-    counted = placed.withColumn("type_pos", within("type")).withColumn("pos0", within())
+    counted = placed.withColumn("pos0", within()).withColumn("type_pos", within("type"))  # dealt once, for the wider window
     joined = order.join_null_safe(counted, starts, ["graph", "type", "__part"])
     return joined.select(*nodes.columns, (F.col("__t") + F.col("type_pos")).alias("type_pos"), (F.col("__g") + F.col("pos0")).alias("pos0"))
 
@@ -34,10 +34,10 @@ def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Where a graph repeats a node id, all nodes stay but edges bind to the last. Nodes that ``index_nodes`` has numbered already are not numbered again.
     """
     indexed = nodes if "type_pos" in nodes.columns else index_nodes(nodes)
-    last = indexed.groupBy("graph", "node").agg(F.max_by(F.struct("type", "type_pos", "pos0"), "pos0").alias("at"))
+    last = indexed.groupBy("node", "graph").agg(F.max_by(F.struct("type", "type_pos", "pos0"), "pos0").alias("at"))
     for end, name in (("source", "src"), ("target", "dst")):
         found = last.select("graph", F.col("node").alias(end), F.col("at.type").alias(f"{name}_type"), F.col("at.type_pos").alias(f"{name}_pos"), F.col("at.pos0").alias(f"{name}_pos0"))
-        edges = edges.join(found, ["graph", end])
+        edges = edges.join(found, [end, "graph"])  # sorts compare the first key's first bytes, of which a graph's id would be the same for many
     return edges
 
 

@@ -114,3 +114,22 @@ def test_isotropy_of_orthogonal_vectors_is_zero(spark):
     df = spark.createDataFrame([([2.0, 0.0],), ([0.0, 3.0],)], "v array<double>")
     assert vectors.isotropy_penalty(df, "v").first()[0] == pytest.approx(0)
     assert vectors.total_loss(2.0, 0.5, 0.1, 1.0, use_isotropy=False, use_cross=False) == 2.0
+
+
+def test_a_layer_sends_only_edges_it_uses_and_averages_them_once(spark):
+    import numpy as np
+
+    from tabulon.functions.dense import Linear
+    from tabulon.operators import encoder
+
+    one = lambda w: encoder.Convolution(Linear(np.eye(2) * w, np.zeros(2)), np.zeros((2, 2)))
+    nodes = spark.createDataFrame([("g", "a", 0, [1.0, 2.0]), ("g", "a", 1, [3.0, 4.0]), ("g", "b", 0, [5.0, 6.0]), ("g", "b", 1, [0.0, 1.0])], "graph string, type string, pos long, x array<double>")
+    edges = spark.createDataFrame([("g", "a", 0, "r", "b", 0), ("g", "a", 1, "r", "b", 0), ("g", "b", 0, "s", "b", 1), ("g", "b", 1, "unused", "a", 0), ("g", "b", 1, "r", "b", 0)], "graph string, src_type string, src_pos long, rel string, dst_type string, dst_pos long")
+    convolutions = {("a", "r", "b"): one(1.0), ("b", "s", "b"): one(10.0)}
+    out = encoder.convolve(nodes, edges, convolutions)
+    assert {(r["type"], r["pos"]): r["x"] for r in out.collect()} == {("b", 0): [7.0, 9.0], ("b", 1): [50.0, 61.0]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "unused" not in plan and "(rel" in plan  # one pass, with the edge types as a filter
+    wide = nodes.select("graph", "type", "pos", F.expr("concat(x, array_repeat(0.0D, 38))").alias("x"))
+    far = {e: encoder.Convolution(Linear(np.eye(40) * c.neighbours.weight[0, 0], np.zeros(40)), np.zeros((40, 40))) for e, c in convolutions.items()}
+    assert {(r["type"], r["pos"]): r["x"][:2] for r in encoder.convolve(wide, edges, far).collect()} == {("b", 0): [7.0, 9.0], ("b", 1): [50.0, 61.0]}
