@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -55,8 +56,8 @@ def embed_texts(df: DataFrame, text: str, embedder: Embedder, batch: int = 256,
     return df.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
-#: From texts to the token ids of each.
-TokenEncoder = Callable[[list[str]], list[list[int]]]
+#: From texts to the token ids of each, which may come one by one as they are asked for.
+TokenEncoder = Callable[[list[str]], list[Iterable[int]]]
 
 
 def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int = 512, pad: int | None = 0, batch: int = 128, out: str = "input_ids") -> DataFrame:
@@ -71,9 +72,15 @@ def token_ids(df: DataFrame, text: str, encoder: TokenEncoder, max_length: int =
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                ids = [list(x)[:max_length] for x in encoder([t or "" for t in part.column(place).to_pylist()])]
-                width = 0 if pad is None else max(map(len, ids), default=0)
-                yield pa.record_batch([*part.columns, pa.array([x + [pad] * (width - len(x)) for x in ids], pa.list_(pa.int32()))], names=[*part.schema.names, out])
+                ids = [list(islice(x, max_length)) for x in encoder([t or "" for t in part.column(place).to_pylist()])]
+                lengths = np.array([len(x) for x in ids], np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, lengths.sum())
+                if pad is not None:
+                    width = lengths.max(initial=0)
+                    padded = np.full((len(ids), width), pad, np.int32)
+                    padded[np.arange(width) < lengths[:, None]] = flat
+                    flat, lengths = padded.ravel(), np.full(len(ids), width, np.int32)
+                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -90,6 +97,22 @@ def token_vectors(df: DataFrame, key: str, text: str, encoder: TokenEncoder, mod
     return coded.select(key, "__digest").join(states, "__digest").drop("__digest")
 
 
+class _Ids(dict):
+    """Ids of words by their bytes; of words met before they are remembered, up to a bound."""
+
+    MOST = 1 << 18
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, word: bytes) -> int:
+        found = 1 + int(hashlib.md5(word).hexdigest()[:8], 16) % self.size
+        if len(self) < self.MOST:
+            self[word] = found
+        return found
+
+
 def hashing_tokens(size: int = 50_000) -> TokenEncoder:
-    """Words hashed to ids from 1 on, for use where no tokenizer is at hand."""
-    return lambda texts: [[1 + h % size for h in _hashes(t)] for t in texts]
+    """Words hashed to ids from 1 on, for use where no tokenizer is at hand. A word is hashed when its id is asked for, so what a cut leaves out costs nothing."""
+    ids = _Ids(size)
+    return lambda texts: [map(ids.__getitem__, t.encode().split()) for t in texts]  # bytes are split at the six blanks of ASCII only

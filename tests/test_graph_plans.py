@@ -140,3 +140,22 @@ def test_command_lines(spark, root, tmp_path, capsys):
         assert cli.main(["run", str(tmp_path / "e"), "--task_name", task, "--checkpoints", str(tmp_path / "c")], spark) == 0
         assert "'accuracy': 1.0" in capsys.readouterr().out
     assert json.loads(json.dumps({"n": spark.read.parquet(str(root / "processed_homo" / "nodes")).filter(F.col("graph") == 1).count()})) == {"n": 3}
+
+
+def test_words_beyond_the_cut_are_not_hashed(spark):
+    """Ids are made as they are asked for, and words met before are remembered; blanks are the six of ASCII only."""
+    asked = []
+
+    def encoder(texts):
+        return [(asked.append(w) or int(w) for w in t.split()) for t in texts]
+
+    df = spark.createDataFrame([(1, "4 5 6 7 8"), (2, None), (3, "9")], "id long, t string").coalesce(1)
+
+    def kept(rows):
+        return {r["id"]: r["input_ids"] for r in rows.collect()}
+
+    assert kept(token_ids(df, "t", encoder, max_length=2, pad=None)) == {1: [4, 5], 2: [], 3: [9]}
+    assert kept(token_ids(df, "t", encoder, max_length=2, pad=7)) == {1: [4, 5], 2: [7, 7], 3: [9, 7]}
+    ids = hashing_tokens(97)(["a\x1cb  a\u00a0b\x0b\tc a\x1cb"])[0]
+    assert next(ids) == 1 + int(hashlib.md5(b"a\x1cb").hexdigest()[:8], 16) % 97  # one by one
+    assert len(list(ids)) == 3
