@@ -132,3 +132,33 @@ def test_a_command_that_is_not_there(spark):
     df = spark.createDataFrame([(1, "x", None)], "id long, code string, language string")
     assert [tuple(r)[3:] for r in records.with_processes(df, ["/no/such/command"]).collect()] == [(None, "error: No such file or directory", None, 0)]
     assert records.with_processes(df.limit(0), ["/no/such/command"]).count() == 0
+
+
+def test_what_a_process_says_is_not_read_whole(tmp_path):
+    import tracemalloc
+
+    script = tmp_path / "loud.py"
+    script.write_text("import sys\nfor _ in range(20): sys.stderr.write('x' * 1_000_000)\nsys.stderr.write('\\nthe end')\nsys.exit(4)")
+    tracemalloc.start()
+    try:
+        got = records.analyse_by_process([sys.executable, str(script)], "x", ".py", 60.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0] is None and got[1].endswith("x\nthe end") and len(got[1]) == len("error: exit status 4: ") + 200 and got[2:] == (4, 0)
+    assert peak < 1_000_000
+
+
+def test_a_folder_with_nothing_unforeseen_is_not_listed(tmp_path, monkeypatch):
+    import tempfile
+
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    listed, scan = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda *a: listed.append(a) or scan(*a))
+    assert records.analyse_by_process(["cp", "{code}", "{out}"], "a", ".py", 60.0) == ("a", "success", 0, 1)
+    assert records.analyse_by_process(["sh", "-c", "exit 3"], "a", ".py", 60.0) == (None, "error: exit status 3", 3, 0)
+    assert records.analyse_by_process(["/no/such/command"], "a", ".py", 60.0) == (None, "error: No such file or directory", None, 0)
+    assert not listed and not os.listdir(tmp_path)
+    more = ["sh", "-c", 'mkdir -p "$0/sub" && echo b > "$0/sub/b" && mkdir other && echo c > other/c', "{out}"]
+    assert records.analyse_by_process(more, "a", ".py", 60.0) == ("b\n", "success", 0, 2)
+    assert listed and not os.listdir(tmp_path)
